@@ -11,6 +11,7 @@ import html as _html
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import data_extension
 
@@ -23,7 +24,7 @@ CODE_BLOCK = r"(?is)<(?:code|pre)\b[^>]*>(.*?)</(?:code|pre)\s*>"
 TAG = r"(?s)<[^>]*>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Character references of the HTML standard (its table is Python's)."""
     return s.map(_html.unescape, na_action="ignore")

@@ -66,10 +66,6 @@ class Assertion:
     detail: str = ""
 
 
-REPORT = T.StructType.fromDDL(
-    "kind string, expected string, actual string, ok boolean, evaluated boolean, detail string")
-
-
 def check(df: DataFrame | None, assertions: Sequence[Assertion], order: str | None = None,
           error: str | None = None, present: bool | None = None,
           spark: SparkSession | None = None) -> DataFrame:
@@ -142,7 +138,7 @@ def content_digests(files: DataFrame, key: str, content: str) -> DataFrame:
                         F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
-DIGEST_SCHEMA = T.StructType.fromDDL("path string, bytes long, sha256 string, error string")
+DIGEST_SCHEMA = "path string, bytes long, sha256 string, error string"
 
 
 def file_digests(inv: DataFrame) -> DataFrame:
@@ -167,7 +163,7 @@ def file_digests(inv: DataFrame) -> DataFrame:
                     rows.append((path, n, h.hexdigest(), None))
                 except Exception as e:
                     rows.append((path, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=DIGEST_SCHEMA.names).astype({"bytes": "Int64"})
+            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256", "error"]).astype({"bytes": "Int64"})
 
     return spread(inv.select("path")).mapInPandas(run, DIGEST_SCHEMA)
 
@@ -182,20 +178,18 @@ def manifest_diff(tree: DataFrame, manifest: DataFrame) -> DataFrame:
         .when(F.col("t") == F.col("m"), F.lit("same")).otherwise(F.lit("different")).alias("status"))
 
 
-# Verdicts that count as accepted and as defects.
-ACCEPTED_VERDICTS = ["PASS", "EXPECTED_REJECTION"]
-DEFECT_VERDICTS = ["FAIL", "UNEXPECTED_SUCCESS", "ERROR"]
+def verdict_summary(results: DataFrame, verdict: str = "verdict", accepted: str = "accepted",
+                    harness_only: Sequence[str] = ("DRY_RUN", "NOT_STAGED")) -> DataFrame:
+    """Counts per verdict plus the totals ``ACCEPTED`` and ``DEFECTS``.
 
-
-def verdict_summary(results: DataFrame, verdict: str = "verdict") -> DataFrame:
-    """Counts per verdict plus the totals ``ACCEPTED`` and ``DEFECTS``."""
-    counts = results.groupBy(F.col(verdict).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-    tags = F.array_compact(F.array(
-        F.col("verdict"),
-        F.when(F.col("verdict").isin(ACCEPTED_VERDICTS), F.lit("ACCEPTED")).otherwise(F.lit(None)),
-        F.when(F.col("verdict").isin(DEFECT_VERDICTS), F.lit("DEFECTS")).otherwise(F.lit(None))))
-    return counts.select(F.explode(tags).alias("verdict"), "n").groupBy("verdict").agg(
-        F.sum("n").cast("long").alias("n"))
+    Verdicts that only describe the run itself are neither accepted nor defects.
+    """
+    counts = results.groupBy(F.col(verdict).alias("verdict"), F.col(accepted).alias("a")).agg(
+        F.count(F.lit(1)).alias("n"))
+    total = F.when(F.col("verdict").isin(list(harness_only)), F.lit(None)).when(
+        F.col("a"), F.lit("ACCEPTED")).otherwise(F.lit("DEFECTS"))
+    rows = counts.select(F.explode(F.array_compact(F.array(F.col("verdict"), total))).alias("verdict"), "n")
+    return rows.groupBy("verdict").agg(F.sum("n").cast("long").alias("n"))
 
 
 def shape_diff(columns: DataFrame, declared: DataFrame, max_length: str = "max_length") -> DataFrame:

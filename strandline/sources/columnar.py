@@ -6,17 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .inventory import spread
 
-FOOTER_SCHEMA = T.StructType.fromDDL(
+FOOTER_SCHEMA = (
     "path string, num_rows long, num_row_groups int, serialized_size long, compression string,"
     " created_by string, format_version string, kv map<string,string>,"
     " columns array<struct<pos int,name string,type string,physical string,nullable boolean>>,"
     " row_groups array<struct<rows long,bytes long>>, error string")
 
 
+FOOTER_FIELDS = ["path", "num_rows", "num_row_groups", "serialized_size", "compression", "created_by",
+                 "format_version", "kv", "columns", "row_groups", "error"]
+
+
 def _parquet_footer(path: str) -> dict:
     import pyarrow.parquet as pq
 
@@ -58,7 +61,7 @@ def _orc_footer(path: str) -> dict:
 def _footers(inv: DataFrame, read_one) -> DataFrame:
     """One task per batch of paths reads only the footer bytes of each file; a
     file that cannot be read becomes a row with ``error``."""
-    names = FOOTER_SCHEMA.names
+    names = FOOTER_FIELDS
 
     def run(batches):
         import pandas as pd

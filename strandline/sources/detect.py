@@ -13,6 +13,7 @@ import io
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import tokens as tk
 from ..functions.lookups import (
@@ -89,7 +90,8 @@ LEGACY_CODECS = [
 ]
 
 
-@F.pandas_udf("encoding string, confidence double")
+@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()),
+                            T.StructField("confidence", T.DoubleType())]))
 def legacy_charset(head: pd.Series) -> pd.DataFrame:
     """Best legacy codec of a sample: strict decoding, then the share of its
     non-ASCII characters that lie in the codec's own script."""
@@ -156,7 +158,8 @@ def charset(encoding: Column) -> Column:
 
 # --- dialect ----------------------------------------------------------------------
 
-@F.pandas_udf("delimiter string, cells array<string>")
+@F.pandas_udf(T.StructType([T.StructField("delimiter", T.StringType()),
+                            T.StructField("cells", T.ArrayType(T.StringType()))]))
 def _sniff(sample: pd.Series, path: pd.Series) -> pd.DataFrame:
     """Delimiter whose quote-aware split gives equally wide rows and the best
     ``rows x width``; the first row's cells come with it."""
