@@ -179,7 +179,7 @@ def manifest_diff(tree: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def verdict_summary(results: DataFrame, verdict: str = "verdict", accepted: str = "accepted",
-                    harness_only: Sequence[str] = ("DRY_RUN", "NOT_STAGED")) -> DataFrame:
+                    harness_only: Sequence[str] = ("DRY_RUN_ACCEPTED",)) -> DataFrame:
     """Counts per verdict plus the totals ``ACCEPTED`` and ``DEFECTS``.
 
     Verdicts that only describe the run itself are neither accepted nor defects.

@@ -118,13 +118,18 @@ def logical_rows(spark: SparkSession, paths, d: Dialect) -> DataFrame:
         "path", (F.coalesce("records", F.lit(0)) + F.coalesce("blank", F.lit(0))).alias("row_count"))
 
 
-def estimate_rows(spark: SparkSession, inv: DataFrame, path: str, d: Dialect, sample: int = 500) -> DataFrame:
-    """Opt-in estimate for one huge file from the length of its first lines."""
-    width = F.octet_length(F.encode("line", ENCODING_CHARSETS.get(d.encoding, "UTF-8"))) + 1
-    avg = read_lines(spark, path, d.encoding).limit(sample).agg(F.avg(width)).scalar()
-    one = inv.filter(F.col("path") == path).select("path", "size")
-    rows = F.floor(F.col("size") / avg) - (1 if d.has_header else 0)
-    return one.select(
+def estimate_rows(spark: SparkSession, inv: DataFrame, paths, d: Dialect, sample: int = 500) -> DataFrame:
+    """Opt-in estimate per file: size over the mean length of its first lines."""
+    from pyspark.sql import Window
+
+    from .jsondocs import frame_documents
+    width = F.octet_length(F.encode("doc", ENCODING_CHARSETS.get(d.encoding, "UTF-8"))) + 1
+    w = Window.partitionBy("path").orderBy("row_id")
+    lines = frame_documents(spark, paths, encoding=d.encoding).select("path", "row_id", width.alias("w"))
+    firsts = lines.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample)
+    mean = firsts.groupBy("path").agg(F.avg("w").alias("w"))
+    rows = F.floor(F.col("size") / F.col("w")) - (1 if d.has_header else 0)
+    return inv.select("path", "size").join(mean, "path").select(
         "path", F.greatest(rows, F.lit(0)).cast("long").alias("row_count"),
         F.lit(True).alias("row_count_estimated"))
 
