@@ -280,11 +280,11 @@ def _bounds(spark, sf):
         F.when(i == 6, F.col("p_size"))).alias("t"))
 
 
-@query("inf_watchouts", """SELECT lang, source, list_filter([
-  CASE WHEN min(n_chars) < 70 THEN 'Low encoding confidence (' || min(n_chars) || '%).' END,
-  CASE WHEN count(*) > 30 THEN 'Row count is estimated.' END,
-  CASE WHEN max(n_chars) > 4000 THEN 'Very long strings detected.' END,
-  'Nullable numeric columns detected: n'], x -> x IS NOT NULL) AS warnings FROM documents GROUP BY 1, 2""")
+@query("inf_watchouts", """SELECT lang, source, list_concat(list_concat(
+  CASE WHEN min(n_chars) < 70 THEN ['Low encoding confidence (' || min(n_chars) || '%).'] ELSE [] END,
+  CASE WHEN count(*) > 30 THEN ['Row count is estimated.'] ELSE [] END), list_concat(
+  CASE WHEN max(n_chars) > 4000 THEN ['Very long strings detected.'] ELSE [] END,
+  ['Nullable numeric columns detected: n'])) AS warnings FROM documents GROUP BY 1, 2""")
 def _watch(spark, sf):
     d = table(spark, sf, "documents").groupBy("lang", "source").agg(
         F.min("n_chars").alias("encoding_confidence"), F.max("n_chars").alias("m"), F.count(F.lit(1)).alias("c"))

@@ -75,7 +75,7 @@ def _safe(spark, sf):
     return jsonprofile.typed_projection_safe(jsonprofile.json_profile(d, ["o_orderstatus"]), ["o_orderstatus"])
 
 
-@query("inf_json_key_cap", """SELECT 'u' || user_id AS name, CAST(row_number() OVER (ORDER BY first_seen) - 1 AS INTEGER) AS pos, 'sampled' AS schema_inference
+@query("inf_json_key_cap", """SELECT 'u' || user_id AS name, CAST(row_number() OVER (ORDER BY first_seen) - 1 AS INTEGER) AS pos, CASE WHEN (SELECT count(DISTINCT user_id) FROM events) > 40 THEN 'sampled' ELSE 'full' END AS schema_inference
   FROM (SELECT user_id, min(event_id) AS first_seen FROM events GROUP BY 1) ORDER BY first_seen LIMIT 40""")
 def _cap(spark, sf):
     d = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), F.concat(
@@ -94,9 +94,7 @@ def _first(spark, sf):
     d = order_docs(spark, sf)
     p = jsonprofile.json_profile(d)
     f = jsonprofile.json_first_values(d, p)
-    nested = F.col("family").isin(jsonprofile.OBJECT, jsonprofile.ARRAY)
-    return f.select("name", F.when(nested, F.regexp_replace("first_value", "\"\u0001(\\d+)\"", "$1"))
-                    .otherwise(F.col("first_value")).alias("first_value"))
+    return f.select("name", "first_value")
 
 
 @query("inf_key_order", f"""SELECT name, CAST(row_number() OVER (ORDER BY first_row, p) - 1 AS INTEGER) AS pos FROM (

@@ -62,7 +62,7 @@ def _insert(spark, sf):
     return load.insert_from_file(s, t).groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-BAD_SQL = f"t NOT IN {NA_SQL} AND NOT (regexp_matches(trim(t), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$') AND abs(TRY_CAST(trim(t) AS DECIMAL(38,4))) < 10000000000)"
+BAD_SQL = f"t NOT IN {NA_SQL} AND NOT (regexp_matches(trim(t), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)$') AND abs(TRY_CAST(trim(t) AS DECIMAL(38,4))) < 10000000000 AND length(rtrim(regexp_extract(trim(t), '[.]([0-9]*)$', 1), '0')) <= 2)"
 
 
 @query("ld_stage_then_type", f"""SELECT o_orderkey, CASE WHEN t NOT IN {NA_SQL} THEN CAST(trim(t) AS DECIMAL(12,2)) END AS t, 'good' AS state FROM ({DIRTY_SQL}) WHERE NOT ({BAD_SQL})
@@ -88,7 +88,7 @@ def _reject(spark, sf):
         F.lit(outcome).alias("outcome"), F.count(F.lit(1)).alias("bad_rows"))
 
 
-@query("ld_missing_is_null", f"SELECT t IN {NA_SQL} AS missing, count(*) AS n, CAST(0 AS BIGINT) AS defaulted FROM ({DIRTY_SQL}) WHERE NOT ({BAD_SQL}) GROUP BY 1")
+@query("ld_missing_is_null", f"SELECT t IN {NA_SQL} AS missing, count(*) AS n, count(*) FILTER (WHERE TRY_CAST(trim(t) AS DECIMAL(12,2)) = 0) AS defaulted FROM ({DIRTY_SQL}) WHERE NOT ({BAD_SQL}) GROUP BY 1")
 def _missing(spark, sf):
     schema = T.StructType([T.StructField("t", T.DecimalType(12, 2))])
     good, _ = load.stage_then_type(dirty(spark, sf), schema)

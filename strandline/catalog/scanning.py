@@ -181,7 +181,7 @@ def _sniff(spark, sf):
     d = F.element_at(F.expr("array(',', '\\t', ';', '|', ':')"), F.col("c_nationkey") % 5 + 1)
     row = F.concat_ws("\u0000", F.col("c_custkey").cast("string"), F.concat(F.lit('"'), "c_name", F.lit(',;"')), "c_mktsegment")
     head = F.when(F.col("c_nationkey") % 2 == 0, F.lit("id\u0000name\u0000segment\n")).otherwise(F.lit(""))
-    sample = F.translate(F.concat(head, row, F.lit("\n"), row, F.lit("\n"), row), "\u0000", "\u0000")
+    sample = F.concat(head, row, F.lit("\n"), row, F.lit("\n"), row)
     s = table(spark, sf, "customer").select("c_custkey", F.replace(sample, F.lit("\u0000"), d).alias("sample"), F.lit("x.csv").alias("path"))
     return detect.detect_dialect(s).select("c_custkey", "delimiter", "has_header", "header")
 
@@ -276,7 +276,7 @@ def text_copy(spark, sf):
 LINES = "length(text) - length(replace(text, chr(10), '')) + 1"
 
 
-@query("scan_text", f"SELECT CAST(sum({LINES}) AS BIGINT) AS lines, CAST(sum(list_count(list_filter(string_split(text, chr(10)), x -> x = ''))) AS BIGINT) + 0 AS blank_lines FROM (SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)")
+@query("scan_text", f"SELECT CAST(sum({LINES}) AS BIGINT) AS lines, CAST((SELECT count(*) FROM (SELECT unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS l FROM documents) WHERE l = '') AS BIGINT) AS blank_lines FROM (SELECT replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)")
 def _text(spark, sf):
     s = delimited.line_stats(delimited.read_lines(spark, text_copy(spark, sf)))
     return s.agg(F.sum("lines").alias("lines"), F.sum("blank_lines").alias("blank_lines"))
@@ -461,9 +461,9 @@ def _active(spark, sf):
     return a.select("path", F.col("partition_values")["t"].alias("t"), F.get_json_object("stats", "$.numRecords").cast("long").alias("num_records"))
 
 
-@query("jn_anti_removed", """WITH r AS (SELECT user_id, max(event_id) AS at FROM events WHERE event_type = 'error' GROUP BY 1)
+@query("jn_anti_removed", """WITH r AS (SELECT user_id, max(event_id) AS gone FROM events WHERE event_type = 'error' GROUP BY 1)
   SELECT 'part-' || e.user_id || '.parquet' AS path, event_id AS version FROM events e LEFT JOIN r USING (user_id)
-  WHERE event_type NOT IN ('error', 'signup') AND (at IS NULL OR event_id > at)""")
+  WHERE event_type NOT IN ('error', 'signup') AND (gone IS NULL OR event_id > gone)""")
 def _removed(spark, sf):
     a = event_log(spark, sf)
     adds = a.filter("action.add is not null").select(F.col("action.add.path").alias("path"), "version")
@@ -520,7 +520,7 @@ def _delta_rows(spark, sf):
 def metadata_docs(spark, sf):
     """One metadata document per part, in the three shapes tables use."""
     p = table(spark, sf, "part")
-    return p.select("p_partkey", F.expr("""concat('{"current-snapshot-id":', CASE WHEN p_size % 5 = 0 THEN 'null' ELSE p_partkey END,
+    return p.select("p_partkey", F.expr("""concat('{"current-snapshot-id":', CASE WHEN p_size % 5 = 0 THEN 'null' ELSE string(p_partkey) END,
       ',"snapshots":[{"snapshot-id":', p_partkey + p_size % 4, ',"summary":{"total-records":"', p_size, '"}}],"current-schema-id":', p_size % 3,
       ',"schemas":[{"schema-id":0,"fields":[{"id":1,"name":"a","required":true,"type":"long"}]},',
       '{"schema-id":1,"fields":[{"id":1,"name":"b","required":false,"type":"decimal(', p_size % 9 + 1, ', 0)"},{"id":2,"name":"l","required":false,"type":{"type":"list","element":"int"}}]}],',

@@ -124,19 +124,22 @@ def numeric_token(c: Column) -> Column:
 
 def exact_sample(c: Column) -> Column:
     """True when a double shows the token's value exactly, so it may be
-    published as a number; otherwise the text itself must be kept."""
+    published as a number; otherwise the text itself must be kept.
+
+    Up to 15 significant digits always survive and more than 17 never do; only
+    what lies between is read back and compared.
+    """
     t = strip_blanks(c)
-    shape = numeric_token(t)
-    exact = t.try_cast("decimal(38,18)")
-    as_double = t.try_cast("double")
-    # the double's shortest text, read back as an exact decimal
-    round_trip = as_double.try_cast("string").try_cast("decimal(38,18)")
-    fits = (shape["scale"] <= 18) & (shape["int_digits"] <= 20)
-    return F.coalesce(
-        shape.isNotNull() & ~shape["has_exp"] & (shape["precision"] <= MAX_DECIMAL_PRECISION)
-        & F.when(shape["int_syntax"],
-                 t.try_cast("decimal(38,0)").between(-SAFE_INTEGER, SAFE_INTEGER))
-        .otherwise(fits & (exact == round_trip)
-                   & ~((exact == F.floor(exact)) & (F.abs(exact) > SAFE_INTEGER))),
-        F.lit(False),
-    )
+    whole, frac = _unsigned_parts(t)
+    lead = F.ltrim(whole, F.lit("0"))
+    digits = F.rtrim(F.ltrim(F.concat(whole, frac), F.lit("0")), F.lit("0"))
+    is_whole = F.rtrim(frac, F.lit("0")) == ""
+    n = F.length(lead)
+    safe_whole = (n < 16) | ((n == 16) & (lead <= str(SAFE_INTEGER)))
+    round_trip = F.when((n <= 20) & (F.length(frac) <= 18),
+                        t.try_cast("decimal(38,18)")
+                        == t.try_cast("double").try_cast("string").try_cast("decimal(38,18)"))
+    survives = (F.length(digits) <= 15) | ((F.length(digits) <= 17) & F.coalesce(round_trip, F.lit(False)))
+    shown = F.when(is_whole, safe_whole & (~t.contains(".") | survives)).otherwise(survives)
+    plain = is_numeric_token(t) & ~t.contains("e") & ~t.contains("E")
+    return F.coalesce(F.when(plain, (n + F.length(frac) <= MAX_DECIMAL_PRECISION) & shown), F.lit(False))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jsontext import parse_document
+
 # Entry type codes: 0 null, 1 string, 2 number, 3 bool, 4 array, 5 object.
 
 
@@ -37,10 +39,12 @@ def spark_path(name: str) -> str:
 def apply_json(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     """Lateral apply: every top-level entry of every document as a row
     ``(keep..., pos, key, value variant)``."""
-    v = df.select(*keep, F.try_parse_json(col).alias("v"))
+    v = df.select(*keep, parse_document(F.col(col)).alias("v"), F.json_object_keys(col).alias("names"))
     tvf = df.sparkSession.tvf
     rows = v.lateralJoin(tvf.variant_explode(F.col("v").outer()))
-    return rows.select(*keep, "pos", F.coalesce("key", F.col("pos").cast("string")).alias("key"), "value")
+    # a variant keeps its keys sorted; the position is the one in the text
+    pos = F.coalesce(F.array_position("names", F.col("key")).cast("int") - 1, F.col("pos"))
+    return rows.select(*keep, pos.alias("pos"), F.coalesce("key", F.col("pos").cast("string")).alias("key"), "value")
 
 
 def json_entries(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
@@ -65,7 +69,7 @@ def json_expand(df: DataFrame, col: str, keep: Sequence[str], path: str = "$") -
 
 def is_json(c: Column) -> Column:
     """1 for a valid object or array, 0 for anything else."""
-    t = F.schema_of_variant(F.try_parse_json(c))
+    t = F.schema_of_variant(parse_document(c))
     return F.when(t.startswith("OBJECT") | t.startswith("ARRAY"), F.lit(1)).otherwise(F.lit(0))
 
 

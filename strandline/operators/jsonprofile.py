@@ -16,6 +16,8 @@ BOOLEAN, NUMERIC, STRING, OBJECT, ARRAY = (1 << i for i in range(5))
 MARK = "\u0001"
 # Numbers whose text the JSON functions would rewrite: fractions, exponents, very long ones.
 LOSSY_NUMBER = r"[0-9](?:\.|[eE])|[0-9]{18}"
+# A tagged number inside the JSON text of a nested value.
+TAGGED_INSIDE = r'"\\u0001(-?[0-9][0-9.eE+-]*)"'
 # Up to the next number outside strings (possessive, so linear and without recursion).
 NEXT_NUMBER = r'\G((?:[^"\d-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?\d[\d.eE+-]*+)'
 
@@ -44,8 +46,11 @@ def json_fields(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_i
     ``token`` is the exact text of a number, the value of a string and the JSON
     text of anything else; a null value has family 0.
     """
-    parsed = docs.select(*by, row_id, F.try_parse_json(tag_numbers(F.col(doc))).alias("v"))
-    entries = parsed.lateralJoin(_explode_variant()).select(*by, row_id, "pos", "key", "value")
+    parsed = docs.select(*by, row_id, F.json_object_keys(doc).alias("names"),
+                         F.try_parse_json(tag_numbers(F.col(doc))).alias("v"))
+    # a variant keeps its keys sorted; the position is the one in the text
+    entries = parsed.lateralJoin(_explode_variant()).select(
+        *by, row_id, (F.array_position("names", F.col("key")) - 1).cast("int").alias("pos"), "key", "value")
     with_type = entries.select("*", F.schema_of_variant("value").alias("t"),
                                F.col("value").try_cast("string").alias("text"))
     t, text = F.col("t"), F.col("text")
@@ -53,9 +58,11 @@ def json_fields(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_i
               .when((t == "STRING") & _is_tagged(text), F.lit(NUMERIC))
               .when(t == "STRING", F.lit(STRING)).when(t.startswith("OBJECT"), F.lit(OBJECT))
               .when(t.startswith("ARRAY"), F.lit(ARRAY)).otherwise(F.lit(NUMERIC)))
-    token = F.when(text.contains(MARK), F.when(
-        t == "STRING", F.when(_is_tagged(text), F.substring(text, 2, F.length(text)))
-        .otherwise(F.replace(text, F.lit(MARK + MARK), F.lit(MARK)))).otherwise(text)).otherwise(text)
+    nested = F.replace(F.regexp_replace(text, TAGGED_INSIDE, "$1"), F.lit("\\u0001\\u0001"), F.lit("\\u0001"))
+    token = (F.when((t == "STRING") & text.contains(MARK), F.when(
+                 _is_tagged(text), F.substring(text, 2, F.length(text)))
+                 .otherwise(F.replace(text, F.lit(MARK + MARK), F.lit(MARK))))
+             .when((t != "STRING") & text.contains("\\u0001"), nested).otherwise(text))
     return with_type.select(*by, row_id, "pos", "key", family.alias("family"), token.alias("token"))
 
 

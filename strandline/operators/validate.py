@@ -28,15 +28,15 @@ def exact_rows_diff(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
     Counts come from the same single grouping that finds the differences.
     """
-    a = expected.withColumns({"_e": F.lit(1), "_a": F.lit(0)})
-    b = actual.select(*expected.columns).withColumns({"_e": F.lit(0), "_a": F.lit(1)})
+    a = expected.withColumns({"_in_e": F.lit(1), "_in_a": F.lit(0)})
+    b = actual.select(*expected.columns).withColumns({"_in_e": F.lit(0), "_in_a": F.lit(1)})
     keys = [F.col(f"`{c}`") for c in expected.columns]
-    per_row = a.union(b).groupBy(*keys).agg(F.sum("_e").alias("e"), F.sum("_a").alias("a"))
+    per_row = a.union(b).groupBy(*keys).agg(F.sum("_in_e").alias("_n_e"), F.sum("_in_a").alias("_n_a"))
     z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     return per_row.agg(
-        z("e").alias("expected_rows"), z("a").alias("actual_rows"),
-        z(F.greatest(F.col("e") - F.col("a"), F.lit(0))).alias("missing_rows"),
-        z(F.greatest(F.col("a") - F.col("e"), F.lit(0))).alias("extra_rows")
+        z("_n_e").alias("expected_rows"), z("_n_a").alias("actual_rows"),
+        z(F.greatest(F.col("_n_e") - F.col("_n_a"), F.lit(0))).alias("missing_rows"),
+        z(F.greatest(F.col("_n_a") - F.col("_n_e"), F.lit(0))).alias("extra_rows")
     ).withColumn("exact", (F.col("missing_rows") == 0) & (F.col("extra_rows") == 0))
 
 

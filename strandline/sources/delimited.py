@@ -52,7 +52,9 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], d: Dialect,
     schema = ", ".join(cols + ([f"{RAW} string"] if ragged else []))
     r = _reader(spark, d).schema(schema)
     if ragged:
-        r = r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+        # all columns are parsed even when few are used, else width faults go unseen
+        r = (r.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+             .option("columnPruning", False))
     df = r.csv(paths if isinstance(paths, str) else list(paths))
     named = [F.col(f"c{i}").alias(n) for i, n in enumerate(d.names)]
     tail = [F.col(RAW)] if ragged else []
@@ -109,8 +111,8 @@ def logical_rows(spark: SparkSession, paths, d: Dialect) -> DataFrame:
         return s.select("path", F.greatest(F.col("lines") - header, F.lit(0)).alias("row_count"))
     records = read_delimited(spark, paths, d).groupBy("path").agg(F.count(F.lit(1)).alias("records"))
     q = re.escape(d.quote)
-    whole = spark.read.option("wholetext", True).option(
-        "encoding", ENCODING_CHARSETS.get(d.encoding, "UTF-8")).text(paths)
+    whole = spark.read.format("text").option("wholetext", True).option(
+        "encoding", ENCODING_CHARSETS.get(d.encoding, "UTF-8")).load(paths)
     bare = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), f"{q}[^{q}]*{q}", "x")
     blank = whole.select(F.col("_metadata.file_path").alias("path"), F.greatest(F.size(F.filter(
         F.split(F.regexp_replace(bare, "\n$", ""), "\n"), lambda x: x == "")), F.lit(0)).alias("blank"))

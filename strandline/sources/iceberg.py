@@ -92,7 +92,8 @@ def iceberg_row_count(doc: Column) -> Column:
     snaps = F.coalesce(_variants(doc, "$.snapshots"), F.array().cast("array<variant>"))
     hit = F.try_element_at(F.filter(snaps, lambda x: _long(x, "$['snapshot-id']") == current), F.lit(1))
     total = F.try_variant_get(hit, "$.summary['total-records']", "bigint")
-    return F.when(current.isNull() & named, F.lit(0).cast("long")).otherwise(F.greatest(total, F.lit(0)))
+    return F.when(current.isNull() & named, F.lit(0).cast("long")).otherwise(
+        F.when(total.isNotNull(), F.greatest(total, F.lit(0))))
 
 
 def iceberg_current(spark: SparkSession, inv: DataFrame) -> DataFrame:

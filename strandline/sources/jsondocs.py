@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import parse_document
 from ..functions.lookups import ENCODING_CHARSETS, JSON_DOC_BYTES, JSON_LINE_CHARS, JSON_SAMPLE_CHARS
 
 
@@ -14,9 +15,10 @@ def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str
     ``row_id`` grows with the position inside a file: split offset first, then
     the reader's own order within the split.
     """
-    r = spark.read.option("wholetext", per == "file").option(
+    # not read.text(): its own wholetext argument would override the option
+    r = spark.read.format("text").option("wholetext", per == "file").option(
         "encoding", ENCODING_CHARSETS.get(encoding, "UTF-8"))
-    rows = r.text(paths)
+    rows = r.load(paths if isinstance(paths, str) else list(paths))
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
         F.struct(F.col("_metadata.file_block_start").alias("split"),
@@ -27,7 +29,7 @@ def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str
 def doc_family(doc: Column, cap: int = JSON_LINE_CHARS) -> Column:
     """``blank`` / ``object`` / ``array`` / ``scalar`` / ``invalid``."""
     t = F.trim(doc)
-    shape = F.schema_of_variant(F.try_parse_json(F.when(F.length(doc) <= cap, doc)))
+    shape = F.schema_of_variant(parse_document(F.when(F.length(doc) <= cap, doc)))
     return (F.when(F.coalesce(t, F.lit("")).rlike(r"^\s*$"), F.lit("blank"))
             .when(shape.startswith("OBJECT"), F.lit("object"))
             .when(shape.startswith("ARRAY"), F.lit("array"))
@@ -61,14 +63,23 @@ def ndjson_decision(lines: DataFrame, path: str = "path") -> DataFrame:
                F.format_string("Skipped %d invalid NDJSON line(s).", F.col("invalid"))).alias("warning"))
 
 
-def read_json_doc(spark: SparkSession, paths) -> DataFrame:
-    """``(path, doc variant)``: an array's elements as rows, an object as one row.
+def read_json_doc(spark: SparkSession, paths, schema: str | None = None) -> DataFrame:
+    """``(path, doc)``: an array's elements as rows, an object as one row.
 
-    Spark's multi-line reader streams through each file, so the size of a
-    document is not limited by what one string can hold.
+    Without a schema the rows are variants and a document must fit into one.
+    With a schema (from a profile) the multi-line reader streams through each
+    file element by element, so documents may be of any size; the row's columns
+    then come next to the path.
     """
-    df = (spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(paths))
-    return df.select(F.col("_metadata.file_path").alias("path"), "doc")
+    r = spark.read.option("multiLine", True)
+    if schema is not None:
+        df = r.schema(schema).json(paths)
+        return df.select(F.col("_metadata.file_path").alias("path"), *df.columns)
+    df = r.option("singleVariantColumn", "doc").json(paths).select(
+        F.col("_metadata.file_path").alias("path"), "doc")
+    items = F.when(F.schema_of_variant("doc").startswith("ARRAY"),
+                   F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array("doc"))
+    return df.select("path", F.explode(items).alias("doc"))
 
 
 def json_shape(whole: DataFrame, doc: str = "doc") -> DataFrame:

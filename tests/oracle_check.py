@@ -85,6 +85,8 @@ if __name__ == "__main__":
         except Exception as e:
             problem = "".join(traceback.format_exception_only(type(e), e))[:700]
         times[name] = time.time() - t
+        if os.environ.get("VERBOSE"):
+            print(f"{name} {times[name]:.1f}", flush=True)
         if problem:
             bad += 1
             print(f"FAIL {name}: {problem}", flush=True)
