@@ -30,6 +30,12 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(_html.unescape, na_action="ignore")
 
 
+def decode(c: Column) -> Column:
+    """Text with its character references decoded; text without an ampersand
+    does not travel to the Python worker."""
+    return F.coalesce(unescape(F.when(c.contains("&"), c)), c)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -41,7 +47,7 @@ def raw_title(html: Column) -> Column:
 def page_titles(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """First ``<title>``, white space collapsed, up to the first ``|``."""
     titles = df.select(key, raw_title(F.col(html)).alias("t"))
-    return titles.select(key, F.trim(F.substring_index(collapse(unescape("t")), "|", 1)).alias("title"))
+    return titles.select(key, F.trim(F.substring_index(collapse(decode(F.col("t"))), "|", 1)).alias("title"))
 
 
 def _resolve(href: Column, base: Column) -> Column:
@@ -96,8 +102,8 @@ def page_links(df: DataFrame, key: str = "page_id", url: str = "url", html: str
                           F.regexp_replace("x.label", TAG, "").alias("raw_label"))
     found = found.filter(F.col("raw") != "")
     # references are decoded after the anchors are isolated, on short strings only
-    decoded = found.select(key, "base", "pos", unescape("raw").alias("href"),
-                           unescape("raw_label").alias("text"))
+    decoded = found.select(key, "base", "pos", decode(F.col("raw")).alias("href"),
+                           decode(F.col("raw_label")).alias("text"))
     links = decoded.select(key, "pos", _resolve(F.col("href"), F.col("base")).alias("url"),
                            collapse(F.col("text")).alias("label"))
     if host_pattern:
@@ -117,7 +123,7 @@ def storage_candidates(df: DataFrame, key: str = "page_id", html: str = "html")
     """Storage locations named in code blocks, distinct per page:
     ``(key, pos, url, scheme, kind, extension, wildcard)``."""
     has_code = df.filter(F.col(html).rlike(r"(?i)<(?:code|pre)\b"))
-    text = has_code.select(key, code_text(F.col(html)).alias("t")).select(key, unescape("t").alias("t"))
+    text = has_code.select(key, code_text(F.col(html)).alias("t")).select(key, decode(F.col("t")).alias("t"))
     urls = text.select(key, F.posexplode(F.regexp_extract_all("t", F.lit(STORAGE_URL), F.lit(1))).alias("pos", "raw"))
     url = urls.select(key, "pos", F.rtrim("raw", F.lit(".,;:'\")")).alias("url"))
     firsts = url.groupBy(key, "url").agg(F.min("pos").alias("pos"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import bind
+
 
 def parse_document(doc: Column) -> Column:
     """Variant of a document, null unless the whole text is one JSON value.
@@ -16,8 +18,6 @@ def parse_document(doc: Column) -> Column:
     wrapped = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
     no_bracket = ~doc.contains("]")
     in_object = F.try_parse_json(F.concat(F.lit('{"a":'), doc, F.lit("}"))).isNotNull()
-    # the lambda variable stands for the parsed array, so it is parsed once
-    single = F.transform(F.array(wrapped), lambda w: F.when(
+    return bind(wrapped, lambda w: F.when(
         F.try_variant_get(w, "$[1]", "variant").isNull() & (no_bracket | in_object),
         F.try_variant_get(w, "$[0]", "variant")))
-    return F.element_at(single, 1)

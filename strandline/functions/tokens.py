@@ -122,6 +122,11 @@ def numeric_token(c: Column) -> Column:
     )
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def exact_sample(c: Column) -> Column:
     """True when a double shows the token's value exactly, so it may be
     published as a number; otherwise the text itself must be kept.
@@ -129,7 +134,10 @@ def exact_sample(c: Column) -> Column:
     Up to 15 significant digits always survive and more than 17 never do; only
     what lies between is read back and compared.
     """
-    t = strip_blanks(c)
+    return bind(strip_blanks(c), _exact_trimmed)
+
+
+def _exact_trimmed(t: Column) -> Column:
     whole, frac = _unsigned_parts(t)
     lead = F.ltrim(whole, F.lit("0"))
     digits = F.rtrim(F.ltrim(F.concat(whole, frac), F.lit("0")), F.lit("0"))

@@ -135,17 +135,25 @@ def lines_to_array(df: DataFrame, group: str, col: str, max_bytes: int = 64 * 10
 
     The order of lines is free.  A group larger than ``max_bytes`` comes as
     several parts, each a valid array, so no task ever holds an unbounded group;
-    every line is in exactly one part.
+    every line is in exactly one part.  Copies of a line are counted first and
+    dealt out over the parts, and a part follows from the line alone, so a task
+    that runs again places its lines as before.
     """
     line = F.regexp_replace(col, "\r", "")
     clean = df.select(group, line.alias("line")).filter(F.trim("line") != "")
     sizes = clean.groupBy(group).agg(F.sum(F.octet_length("line") + 1).alias("bytes"))
     parts = sizes.select(group, F.ceil(F.col("bytes") / max_bytes).cast("int").alias("parts"))
-    placed = clean.join(parts, group).withColumn(
-        "part", F.when(F.col("parts") > 1, F.floor(F.rand(7) * F.col("parts"))).otherwise(0).cast("int"))
+    copies = clean.groupBy(group, "line").agg(F.count(F.lit(1)).alias("n"))
+    p, n = F.col("parts"), F.col("n")
+    dealt = copies.join(parts, group).select(
+        group, "line", "n", "parts", F.explode(F.sequence(F.lit(0), F.least(n, p).cast("int") - 1)).alias("j"))
+    share = F.floor(n / F.least(n, p)) + F.when(F.col("j") < n % F.least(n, p), 1).otherwise(0)
+    placed = dealt.select(group, "line", "parts", share.cast("int").alias("k"),
+                          F.pmod(F.xxhash64("line") + F.col("j"), p).cast("int").alias("part"))
+    repeated = F.flatten(F.collect_list(F.array_repeat("line", F.col("k"))))
     return placed.groupBy(group, "part", "parts").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.concat(F.lit("["), F.array_join(F.collect_list("line"), ","), F.lit("]")).alias("document"))
+        F.sum("k").cast("long").alias("n_lines"),
+        F.concat(F.lit("["), F.array_join(repeated, ","), F.lit("]")).alias("document"))
 
 
 def rows_to_json(df: DataFrame, cols: Sequence[str] | None = None, include_nulls: bool = False,

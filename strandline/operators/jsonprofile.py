@@ -85,7 +85,7 @@ def key_evidence(fields: DataFrame, by: Sequence[str] = (), row_id: str = "row_i
         F.max(f["scale"]).alias("scale"),
         F.bool_or(numeric & (F.octet_length("token") > MAX_NUMERIC_TOKEN)).alias("rejected"),
         F.max(F.when(F.col("family") == STRING, tk.utf16_len(F.col("token")))).alias("width"),
-        F.min(F.struct(F.col(row_id), F.col("pos"))).alias("first_seen"),
+        F.min(F.col(row_id)).alias("first_row"), F.min_by("pos", F.col(row_id)).alias("first_pos"),
         F.min(F.when(F.col("family") != 0, F.col(row_id))).alias("first_value_row"),
         F.count(F.lit(1)).alias("seen"))
 
@@ -99,11 +99,11 @@ def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int = MAX_JS
     """
     total = evidence.groupBy(*by).agg((F.count(F.lit(1)) > max_keys).alias("keys_truncated"))
     if not by:
-        kept = evidence.orderBy("first_seen", "key").limit(max_keys)     # bounded from here on
-        order = Window.orderBy("first_seen", "key")
+        kept = evidence.orderBy("first_row", "first_pos", "key").limit(max_keys)     # bounded from here on
+        order = Window.orderBy("first_row", "first_pos", "key")
         return (kept.withColumn("pos", F.row_number().over(order) - 1)
                 .withColumn("keys_truncated", total.scalar()))
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("first_seen", "key")
+    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("first_row", "first_pos", "key")
     ranked = (evidence.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max_keys)
               .withColumn("pos", F.col("pos") - 1))
     return ranked.join(total, list(by))

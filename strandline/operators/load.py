@@ -191,10 +191,11 @@ def table_ddl(columns: DataFrame, by: str = "path", table: str = "table_name") -
 
 
 def convert_to_parquet(df: DataFrame, dst: str, partition_by: Sequence[str] = ()) -> None:
-    """Rewrite as parquet.  Rows go out of the tasks that read them; with
-    partition columns each task sorts its rows by them and writes one file per
-    value it holds, so a value with most of the rows is spread over many tasks."""
-    w = df.write.mode("errorifexists")
+    """Rewrite as parquet.  Without partition columns rows go out of the tasks that
+    read them.  With them the rows are rebalanced by value, which keeps the
+    number of files down while a value with most of the rows is still split
+    over many tasks."""
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(dst)
 
 

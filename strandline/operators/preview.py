@@ -38,7 +38,10 @@ def preview(df: DataFrame, n: int | None = 100, order: str | None = None,
 def preview_cell(token: Column, dtype: Column) -> Column:
     """``struct(kind, text)`` of a cell: missing is null, booleans and exact numbers
     are shown as such, everything else keeps its text untouched."""
-    t = tk.strip_blanks(token)
+    return tk.bind(tk.strip_blanks(token), lambda t: _cell(token, t, dtype))
+
+
+def _cell(token: Column, t: Column, dtype: Column) -> Column:
     numeric = dtype.rlike(r"^(int|decimal)") & tk.is_numeric_token(t)
     return (F.when(tk.is_missing(token), F.lit(None))
             .when((dtype == "bool") & tk.is_bool_token(token),

@@ -41,14 +41,25 @@ def text_dialects(units: DataFrame) -> DataFrame:
 def profile_csvs(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     """Column profiles of all delimited files, one read per distinct dialect and header.
 
-    The driver sees one row per distinct dialect (with its file list, which the
-    reader needs anyway), never data.
+    The driver sees folders and dialects, never data: a folder whose delimited
+    files all share a dialect is read as a folder, and only mixed folders give
+    their files one by one.
     """
-    d = text_dialects(units)
-    groups = d.groupBy("delimiter", "encoding", "has_header", "header").agg(
-        F.collect_list("path").alias("paths")).collect()
+    keys = ["delimiter", "encoding", "has_header", "header"]
+    from ..workspace import materialise
+    d = materialise(text_dialects(units).select(
+        "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"),
+        F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("suffix"), *keys), "dialects")
+    kinds = d.select("folder", *keys).distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("kinds"))
+    d = d.join(kinds, "folder")
+    place = F.when(F.col("kinds") == 1, F.concat("folder", F.lit("/*"), "suffix")).otherwise(F.col("path"))
+    places = d.select(place.alias("place"), *keys).distinct()
+    groups: dict[tuple, dict] = {}
+    for r in places.toLocalIterator():
+        k = (r["delimiter"], r["encoding"], r["has_header"], tuple(r["header"]))
+        groups.setdefault(k, {**r.asDict(), "paths": []})["paths"].append(r["place"])
     parts = []
-    for g in groups:
+    for g in groups.values():
         if not g["header"]:
             continue
         dialect = delimited.Dialect(g["header"], g["delimiter"], g["has_header"], g["encoding"])

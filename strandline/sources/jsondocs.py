@@ -12,8 +12,8 @@ from ..functions.lookups import ENCODING_CHARSETS, JSON_DOC_BYTES, JSON_LINE_CHA
 def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str = "utf-8") -> DataFrame:
     """``(path, row_id, doc)``: one document per line or per file.
 
-    ``row_id`` grows with the position inside a file: split offset first, then
-    the reader's own order within the split.
+    ``row_id`` is one long that grows with the position inside a file: the split's
+    offset (in MiB, splits are far larger) above the reader's own row number.
     """
     # not read.text(): its own wholetext argument would override the option
     r = spark.read.format("text").option("wholetext", per == "file").option(
@@ -21,8 +21,8 @@ def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str
     rows = r.load(paths if isinstance(paths, str) else list(paths))
     return rows.select(
         F.col("_metadata.file_path").alias("path"),
-        F.struct(F.col("_metadata.file_block_start").alias("split"),
-                 F.monotonically_increasing_id().alias("n")).alias("row_id"),
+        F.shiftleft(F.floor(F.col("_metadata.file_block_start") / 1048576).cast("long"), 33)
+        .bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))).alias("row_id"),
         F.regexp_replace("value", "^﻿", "").alias("doc"))
 
 
