@@ -77,16 +77,18 @@ def check(df: DataFrame | None, assertions: Sequence[Assertion], order: str | No
     spark = spark or df.sparkSession
     facts: list[Column] = []
     if df is not None:
+        width = len(df.columns)
+        names = df.columns
+        # without an order column the first row is the first one read
+        df = df.withColumn("_order", F.col(order) if order else F.monotonically_increasing_id())
         facts.append(F.count(F.lit(1)).alias("rows"))
         for i, a in enumerate(assertions):
             if a.kind == "value_equals":
-                by = F.col(order) if order else F.monotonically_increasing_id()
-                facts.append(F.min_by(F.col(f"`{a.key}`").cast("string"), by).alias(f"v{i}"))
+                facts.append(F.min_by(F.col(f"`{a.key}`").cast("string"), F.col("_order")).alias(f"v{i}"))
         if any(a.kind == "values_not_all_null" for a in assertions):
-            by = F.col(order) if order else F.monotonically_increasing_id()
             filled = reduce(lambda x, y: x + y,
-                            [F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in df.columns])
-            facts.append(F.min_by(filled, by).alias("filled"))
+                            [F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in names])
+            facts.append(F.min_by(filled, F.col("_order")).alias("filled"))
     base = df.agg(*facts) if facts else spark.range(1).select(F.lit(0).alias("rows"))
 
     def row(i: int, a: Assertion) -> Column:
@@ -95,7 +97,7 @@ def check(df: DataFrame | None, assertions: Sequence[Assertion], order: str | No
             act = F.col("rows").cast("string")
             ok = act == exp
         elif a.kind == "column_count":
-            act = F.lit(None if df is None else str(len(df.columns)))
+            act = F.lit(None if df is None else str(width))
             ok = F.coalesce(act == exp, F.lit(False))
         elif a.kind == "value_equals":
             act = F.col(f"v{i}")

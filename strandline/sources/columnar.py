@@ -72,7 +72,8 @@ def _footers(inv: DataFrame, read_one) -> DataFrame:
                     rows.append({"path": path, "error": None, **read_one(path)})
                 except Exception as e:
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(rows, columns=names).astype(
+            full = [[r.get(n) for n in names] for r in rows]
+            yield pd.DataFrame(full, columns=names, dtype=object).astype(
                 {"num_rows": "Int64", "num_row_groups": "Int32", "serialized_size": "Int64"})
 
     return spread(inv.select("path")).mapInPandas(run, FOOTER_SCHEMA)
@@ -120,7 +121,13 @@ def read_parquet_tolerant(spark: SparkSession, footers: DataFrame, paths: Sequen
     with open_input(paths[0]) as f:
         arrow = pq.read_schema(f)
     import pyarrow as pa
-    schema = from_arrow_schema(pa.schema([arrow.field(n) for n in names]))
+    # what Spark reads for the types it has no counterpart of
+    wider = {pa.uint8(): pa.int16(), pa.uint16(): pa.int32(), pa.uint32(): pa.int64(),
+             pa.uint64(): pa.decimal128(20, 0)}
+    fields = [arrow.field(n) for n in names]
+    fields = [f.with_type(wider.get(f.type, pa.int64() if str(f.type).startswith("timestamp[ns") else f.type))
+              for f in fields]
+    schema = from_arrow_schema(pa.schema(fields))
     return spark.read.schema(schema).parquet(*paths), bad
 
 

@@ -80,7 +80,7 @@ def split_ragged(df: DataFrame, d: Dialect) -> tuple[DataFrame, DataFrame]:
     """Rows that are evidence (short ones padded) and rows that are too long."""
     marked = mark_ragged(df, d)
     return (marked.filter("row_kind <> 'long'").drop(RAW, "row_kind"),
-            marked.filter("row_kind = 'long'").select("path", RAW))
+            marked.filter("row_kind = 'long'").drop("row_kind"))
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "utf-8") -> DataFrame:

@@ -81,8 +81,8 @@ def utf8_class(head: Column, truncated: Column) -> Column:
 
 # Legacy codecs that are tried, with the code-point ranges their text uses.
 LEGACY_CODECS = [
-    ("cp932", [(0x3040, 0x30FF), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF)]),
-    ("euc-jp", [(0x3040, 0x30FF), (0x4E00, 0x9FFF)]),
+    ("cp932", [(0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF)]),
+    ("euc-jp", [(0x3000, 0x30FF), (0x4E00, 0x9FFF)]),
     ("gbk", [(0x4E00, 0x9FFF), (0x3000, 0x303F)]),
     ("big5", [(0x4E00, 0x9FFF), (0x3000, 0x303F)]),
     ("cp1251", [(0x0410, 0x044F), (0x0401, 0x0401), (0x0451, 0x0451)]),
@@ -99,7 +99,6 @@ def legacy_charset(head: pd.Series) -> pd.DataFrame:
         best = ("cp1252", 0.4)
         if raw is None:
             return best
-        high = sum(b >= 0x80 for b in raw)
         for codec, ranges in LEGACY_CODECS:
             try:
                 text = raw.decode(codec)
@@ -112,11 +111,15 @@ def legacy_charset(head: pd.Series) -> pd.DataFrame:
                 continue
             share = sum(any(a <= c <= b for a, b in ranges) for c in wide) / len(wide)
             kana = sum(0x3041 <= c <= 0x30FE for c in wide) / len(wide)
-            # single-byte codecs decode anything, so they need more than a decodable text
-            multi = codec not in ("cp1251", "cp1252")
-            score = share * (0.85 + 0.14 * kana if multi and len(wide) * 2 <= high + 2 else 0.7)
-            if codec == "cp1252":
-                score *= min(1.0, 4 * (len(text) - len(wide)) / max(len(text), 1))
+            plain = sum(ch.isascii() and ch.isalpha() for ch in text)
+            # single-byte codecs decode anything: Cyrillic text must be mostly
+            # Cyrillic letters, Western text mostly ASCII ones
+            if codec == "cp1251":
+                score = 0.8 * share * len(wide) / (len(wide) + plain)
+            elif codec == "cp1252":
+                score = 0.75 * share * min(1.0, 2 * plain / (len(wide) + plain))
+            else:
+                score = share * (0.85 + 0.14 * kana)
             if score > best[1]:
                 best = (codec, round(score, 4))
         return best
