@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """Chosen columns, dealt out over all cores when the table is small."""
+    from ..workspace import spread_small
+    return spread_small(table(spark, sf_dir, name).select(*cols))
+
+
 # A lake listing derived from documents: loose files, a table folder with a log,
 # its data files, an Iceberg-style folder and a hidden folder per source.
 LISTING_SQL = """
@@ -70,7 +76,7 @@ SELECT o_orderkey, '{"id":' || o_orderkey || ',"total":' || CAST(o_totalprice AS
 
 
 def order_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     s = F.col("o_orderstatus")
     text = lambda c: F.col(c).cast("string")
     doc = F.concat(

@@ -15,7 +15,7 @@ from ..operators import infer, setops
 from ..sources import columnar, delimited, delta, detect, iceberg, inventory, jsondocs
 from ..workspace import staged
 from .inference import TEXT, infer_sql, text_sql, text_table, OUT
-from .registry import LISTING_SQL, listing, query, table
+from .registry import LISTING_SQL, listing, query, spread_table, table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -412,7 +412,7 @@ META = '{"type":"struct","fields":[{"name":"id","type":"long","nullable":false,"
 def event_log(spark, sf):
     """Events as an action log: errors remove the user's file, sign-ups set
     metadata, all other events add it."""
-    e = table(spark, sf, "events")
+    e = spread_table(spark, sf, "events", "event_id", "user_id", "event_type", "props")
     path = F.concat(F.lit("part-"), F.col("user_id").cast("string"), F.lit(".parquet"))
     k = F.get_json_object("props", "$.k").cast("long")
     add = F.to_json(F.struct(F.struct(path.alias("path"), k.alias("size"), F.create_map(F.lit("t"), F.col("event_type")).alias("partitionValues"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import html, text, urls
 from ..functions.text import FULL_REDACT_RULES, REDACT_RULES, SECRET_SHAPES
 from ..operators import setops
-from .registry import query, table
+from .registry import query, spread_table, table
 
 
 def _lit(s: str) -> str:
@@ -22,12 +22,12 @@ def fold_sql(expr: str, rules) -> str:
 
 @query("tx_redact", f"SELECT doc_id, {fold_sql('text', REDACT_RULES)} AS redacted FROM documents")
 def _redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.redact(F.col("text")).alias("redacted"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
 @query("tx_redact_full", f"SELECT doc_id, {fold_sql('text', FULL_REDACT_RULES)} AS redacted FROM documents")
 def _redact_full(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.redact_full(F.col("text")).alias("redacted"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.redact_full(F.col("text")).alias("redacted"))
 
 
 @query("tx_redact_url", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN split_part(url, '?', 1) || '?[redacted]' ELSE u END AS u FROM (
@@ -59,12 +59,12 @@ hits AS ({_SHAPE_SQL})
 SELECT doc_id, CAST(line AS INTEGER) AS line, kind, split_part(substr(found, 1, 12), '=', 1) || '=<' || length(found) || ' chars>' AS excerpt
 FROM hits WHERE found <> ''""")
 def _findings(spark, sf):
-    return text.secret_findings(table(spark, sf, "documents"), "doc_id", "text")
+    return text.secret_findings(spread_table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @query("tx_sensitive_flag", f"""SELECT doc_id, {' OR '.join(f"regexp_matches(text, {_lit(p)})" for p in text.SENSITIVE_SHAPES)} AS sensitive FROM documents""")
 def _sensitive(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.sensitive_flag(F.col("text")).alias("sensitive"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", text.sensitive_flag(F.col("text")).alias("sensitive"))
 
 
 @query("tx_clean_name", """SELECT s_suppkey, regexp_replace(s_name, '[^A-Za-z0-9_]', '_', 'g') AS clean,
@@ -107,7 +107,7 @@ URL_SQL = "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {e}" for i, (_, e)
 
 
 def order_urls(spark, sf):
-    o = table(spark, sf, "orders").withColumn("r", F.col("o_orderkey") % 10)
+    o = spread_table(spark, sf, "orders", "o_orderkey", "o_custkey").withColumn("r", F.col("o_orderkey") % 10)
     chain = F
     for i, (_, e) in enumerate(URL_CASES):
         chain = chain.when(F.col("r") == i, F.expr(e))
@@ -196,12 +196,12 @@ c AS (SELECT page_id, pos, label, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-
 
 @query("html_links", _LINKS + "SELECT page_id, url, CAST(min(pos) AS INTEGER) AS pos, arg_min(label, pos) AS label FROM c GROUP BY 1, 2")
 def _links(spark, sf):
-    return html.page_links(table(spark, sf, "pages"))
+    return html.page_links(spread_table(spark, sf, "pages", "page_id", "url", "html"))
 
 
 @query("st_distinct_first", _LINKS + "SELECT url, min(page_id) AS page_id FROM c GROUP BY 1")
 def _first_links(spark, sf):
-    links = html.page_links(table(spark, sf, "pages")).select("url", "page_id", "pos")
+    links = html.page_links(spread_table(spark, sf, "pages", "page_id", "url", "html")).select("url", "page_id", "pos")
     return setops.distinct_first(links, "url", ["page_id", "pos"]).select("url", "page_id")
 
 
@@ -221,7 +221,7 @@ SELECT page_id, 0 AS pos, url, split_part(url, '://', 1) AS scheme,
 
 
 def code_pages(spark, sf):
-    o = table(spark, sf, "orders")
+    o = spread_table(spark, sf, "orders", "o_orderkey", "o_custkey")
     url = F.expr("""CASE o_orderkey % 5
       WHEN 0 THEN 'https://data' || o_custkey || '.blob.core.windows.net/c/' || o_orderkey || '.parquet.'
       WHEN 1 THEN 'abfss://c@data' || o_custkey || '.dfs.core.windows.net/p/*.csv'

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .tokens import bind
+
 # Host suffixes of the storage endpoints.
 BLOB_HOST = (r"\.(?:blob\.core\.windows\.net|blob\.core\.usgovcloudapi\.net"
              r"|blob\.core\.chinacloudapi\.cn|blob\.core\.cloudapi\.de)$")
@@ -18,6 +20,13 @@ NAMED_SCHEMES = ["abs", "wasb", "wasbs", "adls", "abfs", "abfss", "azure", "s3",
 PLACEHOLDER_HOST = "<storage_account>.dfs.core.windows.net"
 
 
+def _with_parts(u: Column, body) -> Column:
+    """``body(parts)`` with the URL taken apart once."""
+    p = _split(u)
+    packed = F.struct(*[v.alias(k) for k, v in p.items()])
+    return bind(packed, lambda s: body({k: s[k] for k in p}))
+
+
 def _split(u: Column) -> dict[str, Column]:
     """Scheme, authority, host and path of a URL, by pattern (no parser errors)."""
     n = F.replace(F.trim(u), F.lit("\\"), F.lit("/"))
@@ -40,7 +49,10 @@ def url_kind(u: Column) -> Column:
 
     Hosts are matched by whole suffix, so a look-alike host is ``other``.
     """
-    p = _split(u)
+    return _with_parts(u, lambda p: _kind(u, p))
+
+
+def _kind(u: Column, p: dict[str, Column]) -> Column:
     s, host = p["scheme"], p["host"]
     web = s.isin("http", "https")
     return (F.when(u.isNull() | (u == ""), F.lit("local"))
@@ -60,7 +72,10 @@ def url_parts(u: Column, file_name: Column) -> Column:
     Parts that cannot be derived are shown as placeholders, so a caller never
     mistakes a local path for a container-relative one.
     """
-    p = _split(u)
+    return _with_parts(u, lambda p: _parts(p, file_name))
+
+
+def _parts(p: dict[str, Column], file_name: Column) -> Column:
     s, authority, host, path = p["scheme"], p["authority"], p["host"], p["path"]
     base = F.substring_index(F.replace(file_name, F.lit("\\"), F.lit("/")), "/", -1)
     fallback = F.when(base != "", base).otherwise(F.lit("<file>"))

@@ -109,10 +109,15 @@ def column_evidence(df: DataFrame, columns: Sequence[str] | None = None,
     per column grows into generated methods too large to be compiled.
     """
     names = list(columns or [n for n in df.columns if n not in by])
-    return merge_tokens(melt(df, names, by), by).withColumn(
+    return merge_tokens(melt(_spread(df.select(*[F.col(f"`{c}`") for c in [*by, *names]])), names, by), by).withColumn(
         "name", F.element_at(text_array(names), F.col("pos") + 1))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    from ..workspace import spread_small
+    return spread_small(df)
+
+
 def melt(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per cell: ``(by..., pos, token)``."""
     cells = F.array(*[F.col(f"`{n}`").cast("string") for n in names])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.lookups import MAX_JSON_KEYS, MAX_NUMERIC_TOKEN
+from ..workspace import spread_small
 from . import infer
 
 # Families as bits of the per-key evidence mask.
@@ -46,7 +47,7 @@ def json_fields(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_i
     ``token`` is the exact text of a number, the value of a string and the JSON
     text of anything else; a null value has family 0.
     """
-    parsed = docs.select(*by, row_id, F.json_object_keys(doc).alias("names"),
+    parsed = spread_small(docs.select(*by, row_id, doc)).select(*by, row_id, F.json_object_keys(doc).alias("names"),
                          F.try_parse_json(tag_numbers(F.col(doc))).alias("v"))
     # a variant keeps its keys sorted; the position is the one in the text
     entries = parsed.lateralJoin(_explode_variant()).select(

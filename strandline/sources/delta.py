@@ -101,23 +101,24 @@ def without_removed(adds: DataFrame, removes: DataFrame) -> DataFrame:
 def delta_row_count(actions: DataFrame, has_checkpoint: Column | None = None,
                     by: tuple[str, ...] = (), max_commits: int = DELTA_MAX_COMMITS) -> DataFrame:
     """Sum of ``numRecords`` of the live files, or null when it would be a guess."""
-    commits = actions.groupBy(*by).agg(
+    path = F.coalesce("action.add.path", "action.remove.path")
+    rows = actions.select(*by, path.alias("path"), "version", "line_no", "bad", F.col("action.add").alias("add"),
+                          F.get_json_object("action.add.stats", "$.numRecords").try_cast("long").alias("n"))
+    # one pass: the last action per path, and next to it what decides whether a sum is exact
+    per_path = rows.groupBy(*by, "path").agg(
+        F.max_by(F.struct(F.col("add").isNotNull().alias("live"), "n"), F.struct("version", "line_no")).alias("last"),
         F.count_if("bad").alias("bad_lines"),
-        (F.max("version") - F.min("version") + 1).alias("span"),
-        F.count_if(F.col("action.add").isNotNull()
-                   & F.get_json_object("action.add.stats", "$.numRecords").isNull()).alias("no_stats"))
-    n = F.get_json_object("stats", "$.numRecords").try_cast("long")
-    live = delta_active_files(actions, by).groupBy(*by).agg(
-        F.sum(n).alias("total"), F.count(F.lit(1)).alias("live_files"))
-    if by:
-        joined = commits.join(live, list(by), "left")
-    else:
-        joined = commits.withColumns({"total": live.select("total").scalar(),
-                                      "live_files": live.select("live_files").scalar()})
+        F.count_if(F.col("add").isNotNull() & F.col("n").isNull()).alias("no_stats"),
+        F.min("version").alias("first"), F.max("version").alias("latest"))
+    alive = F.col("path").isNotNull() & F.col("last.live")
+    total = per_path.groupBy(*by).agg(
+        F.count_if(alive).alias("live_files"), F.sum(F.when(alive, F.col("last.n"))).alias("total"),
+        F.sum("bad_lines").alias("bad_lines"), F.sum("no_stats").alias("no_stats"),
+        (F.max("latest") - F.min("first") + 1).alias("span"))
     blocked = has_checkpoint if has_checkpoint is not None else F.lit(False)
     exact = (F.col("bad_lines") == 0) & (F.col("no_stats") == 0) & ~blocked & (F.col("span") <= max_commits)
-    return joined.select(*by, F.coalesce("live_files", F.lit(0)).cast("long").alias("live_files"),
-                         F.when(exact, F.coalesce("total", F.lit(0))).cast("long").alias("row_count"))
+    return total.select(*by, F.col("live_files").cast("long").alias("live_files"),
+                        F.when(exact, F.coalesce("total", F.lit(0))).cast("long").alias("row_count"))
 
 
 def delta_schema(schema_string: str) -> tuple[T.StructType, list[dict]]:

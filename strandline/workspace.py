@@ -56,6 +56,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/strandline-{_RUN}"
 
 
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, per_core: int = SPREAD_BYTES_PER_CORE) -> DataFrame:
+    """Deal a small input out over all cores before per-row heavy work.
+
+    A parquet file with one row group is one task however many cores there are.
+    Only inputs below ``per_core`` bytes per core (by the optimizer's own size
+    estimate) are dealt out, so the extra exchange is bounded and large tables,
+    which have splits enough, never see it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size < per_core * cores else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and
     survives the loss of executors."""
