@@ -9,7 +9,7 @@ from ..functions import types as ty
 from ..functions.lookups import FALSE_TOKENS, MISSING_TOKENS, TRUE_TOKENS
 from ..operators import infer, preview
 from ..sources import delimited
-from .registry import query, table
+from .registry import query, spread_table, table
 
 NA = ", ".join("'" + x + "'" for x in MISSING_TOKENS)
 BOOLS = ", ".join("'" + x + "'" for x in TRUE_TOKENS + FALSE_TOKENS)
@@ -36,7 +36,7 @@ TEXT = {
 
 
 def text_table(spark, sf, name):
-    return table(spark, sf, name).select(
+    return spread_table(spark, sf, name, *[c for c, _ in TEXT[name]]).select(
         *[F.col(c).cast(t).cast("string").alias(c) for c, t in TEXT[name]])
 
 

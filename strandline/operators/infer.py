@@ -35,14 +35,20 @@ def token_bit(c: Column, t: Column) -> Column:
     """Class bit of a raw token ``c`` with its trimmed form ``t``; 0 = missing."""
     digits = F.ltrim(F.ltrim(t, F.lit("+-")), F.lit("0"))
     negative = t.startswith("-")
-    return (F.when(tk.is_missing(c), F.lit(0))
+    number = (F.when(t.contains("."), F.when(_has_exponent(t), F.lit(EXPONENT)).otherwise(F.lit(DECIMAL)))
+              .when(_fits(digits, negative, "2147483648", "2147483647") & ~_has_exponent(t), F.lit(INT32))
+              .when(_has_exponent(t), F.lit(EXPONENT))
+              .when(_fits(digits, negative, "9223372036854775808", "9223372036854775807"), F.lit(INT64))
+              .otherwise(F.lit(DECIMAL)))
+    # no missing or boolean token is numeric, so numbers need only the one test
+    return (F.when(tk.is_numeric_token(t), number)
+            .when(tk.is_missing(c), F.lit(0))
             .when(tk.is_bool_token(c), F.lit(BOOL))
-            .when(~tk.is_numeric_token(t), F.lit(TEXT))
-            .when(t.contains("e") | t.contains("E"), F.lit(EXPONENT))
-            .when(t.contains("."), F.lit(DECIMAL))
-            .when(_fits(digits, negative, "2147483648", "2147483647"), F.lit(INT32))
-            .when(_fits(digits, negative, "9223372036854775808", "9223372036854775807"), F.lit(INT64))
-            .otherwise(F.lit(DECIMAL)))
+            .otherwise(F.lit(TEXT)))
+
+
+def _has_exponent(t: Column) -> Column:
+    return t.contains("e") | t.contains("E")
 
 
 def with_token_bits(df: DataFrame, cells: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
@@ -130,6 +136,18 @@ def merge_tokens(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return bits.groupBy(*by, "pos").agg(*[v.alias(k) for k, v in merged.items()])
 
 
+_MAPPED: dict[int, Column] = {}
+
+
+def _mapped_type() -> Column:
+    """``map_type`` of the evidence columns; the large expression is built once."""
+    from pyspark import SparkContext
+    key = id(SparkContext._active_spark_context)
+    if key not in _MAPPED:
+        _MAPPED[key] = map_type(F.col("detected_type"), F.col("max_length"))
+    return _MAPPED[key]
+
+
 def finish_columns(evidence: DataFrame, full: bool = True, has_header: bool = True,
                    delimited: bool = True) -> DataFrame:
     """Typed columns from merged evidence.
@@ -140,7 +158,7 @@ def finish_columns(evidence: DataFrame, full: bool = True, has_header: bool = Tr
     detected = delimited_type(F.col("mask"), F.col("int_digits"), F.col("scale"))
     observed = F.when(F.col("detected_type") == "object", F.col("width")).cast("long")
     max_len = F.when(F.lit(full), tk.sized(F.col("observed_max_length")))
-    effective = map_type(F.col("detected_type"), F.col("max_length"))
+    effective = _mapped_type()
     bool_text = (F.col("detected_type") == "bool") & F.lit(delimited)
     out = (evidence.withColumn("detected_type", detected)
            .withColumn("observed_max_length", observed)

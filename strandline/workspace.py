@@ -68,7 +68,10 @@ def spread_small(df: DataFrame, per_core: int = SPREAD_BYTES_PER_CORE) -> DataFr
     which have splits enough, never see it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if "Repartition" in plan.toString():            # dealt out already
+        return df
+    size = int(str(plan.stats().sizeInBytes()))
     return df.repartition(cores) if cores > 1 and size < per_core * cores else df
 
 
