@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import data_extension
+from .tokens import bind
 
 # Storage URL shape, virtualisable schemes, storage host shape.
 STORAGE_URL = r"(?i)\b((?:abfss|abs|adls|wasbs|https)://[^\s\"'<>()\[\]]+)"
@@ -22,6 +23,7 @@ STORAGE_HOST = r"(?i)^https://(?:[^/?#@]*@)?[a-z0-9][a-z0-9-]{1,61}[a-z0-9]\.(bl
 ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>(.*?)</a\s*>"
 CODE_BLOCK = r"(?is)<(?:code|pre)\b[^>]*>(.*?)</(?:code|pre)\s*>"
 TAG = r"(?s)<[^>]*>"
+CODE_TAG = r"(?i)<(?:code|pre)\b"
 
 
 @F.pandas_udf(T.StringType())
@@ -30,12 +32,22 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(_html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def unescape_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [x if x is None else _html.unescape(x) for x in xs], na_action="ignore")
+
+
 def decode(c: Column) -> Column:
     """Text with its character references decoded; text without an ampersand
     does not travel to the Python worker."""
     return F.coalesce(unescape(F.when(c.contains("&"), c)), c)
 
 
+def decode_all(c: Column) -> Column:
+    """The same for an array of texts."""
+    return F.coalesce(unescape_all(F.when(F.exists(c, lambda x: x.contains("&")), c)), c)
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -92,25 +104,24 @@ def page_links(df: DataFrame, key: str = "page_id", url: str = "url", html: str
                host_pattern: str | None = None) -> DataFrame:
     """Distinct links ``(key, pos, url, label)`` of every page, first one kept.
 
-    Duplicates are removed with a map-side aggregate, not a window, so a page
-    (or a key) with very many links is reduced before it is shuffled.
+    All links of a page are in its own row, so they are resolved, sorted by URL
+    and thinned out there: no rows are exchanged at all.
     """
-    spread = df.select(key, F.col(url).alias("base"), F.posexplode(anchors(F.col(html))).alias("pos", "x"))
-    found = spread.select(key, "base", "pos",
-                          F.when(F.col("x.a") != "", F.col("x.a")).when(F.col("x.b") != "", F.col("x.b"))
-                          .otherwise(F.col("x.c")).alias("raw"),
-                          F.regexp_replace("x.label", TAG, "").alias("raw_label"))
-    found = found.filter(F.col("raw") != "")
+    found = df.select(key, F.col(url).alias("base"), F.filter(
+        F.transform(anchors(F.col(html)), lambda x, i: F.struct(
+            i.alias("pos"), F.when(x["a"] != "", x["a"]).when(x["b"] != "", x["b"]).otherwise(x["c"]).alias("href"),
+            F.regexp_replace(x["label"], TAG, "").alias("label"))), lambda x: x["href"] != "").alias("x"))
+    found = found.filter(F.size("x") > 0)
     # references are decoded after the anchors are isolated, on short strings only
-    decoded = found.select(key, "base", "pos", decode(F.col("raw")).alias("href"),
-                           decode(F.col("raw_label")).alias("text"))
-    links = decoded.select(key, "pos", _resolve(F.col("href"), F.col("base")).alias("url"),
-                           collapse(F.col("text")).alias("label"))
-    if host_pattern:
-        links = links.filter(F.col("url").rlike(host_pattern))
-    return (links.groupBy(key, "url")
-            .agg(F.min(F.struct("pos", "label")).alias("m"))
-            .select(key, F.col("m.pos").alias("pos"), "url", F.col("m.label").alias("label")))
+    decoded = found.select(key, "base", F.col("x.pos").alias("pos"), decode_all(F.col("x.href")).alias("href"),
+                           decode_all(F.col("x.label")).alias("label"))
+    links = F.transform(F.arrays_zip("href", "pos", "label"), lambda x: F.struct(
+        _resolve(x["href"], F.col("base")).alias("url"), x["pos"].alias("pos"), collapse(x["label"]).alias("label")))
+    ordered = decoded.select(key, F.array_sort(links).alias("links"))
+    firsts = F.filter(F.col("links"), lambda x, i: (i == 0) | (
+        x["url"] != F.try_element_at("links", i)["url"]))
+    out = ordered.select(key, F.inline(firsts)).select(key, "pos", "url", "label")
+    return out.filter(F.col("url").rlike(host_pattern)) if host_pattern else out
 
 
 def code_text(html: Column) -> Column:
@@ -119,23 +130,30 @@ def code_text(html: Column) -> Column:
                             TAG, "")
 
 
+def _candidates(text: Column) -> Column:
+    """``array<struct(pos, url, scheme, kind, extension, wildcard)>`` named in a text,
+    every location once, where it comes first."""
+    urls = F.transform(F.regexp_extract_all(text, F.lit(STORAGE_URL), F.lit(1)),
+                       lambda u: F.rtrim(u, F.lit(".,;:'\")")))
+
+    def describe(u: Column, all_urls: Column) -> Column:
+        scheme, ext, wild = F.lower(F.substring_index(u, "://", 1)), data_extension(u), u.rlike(r"[*?]")
+        kind = (F.when((scheme == "https") & ext.isNotNull() & ~wild, F.lit("download"))
+                .when((scheme == "https") & (u.rlike(STORAGE_HOST) | ext.isNotNull()), F.lit("folder"))
+                .when(scheme.isin(VIRTUAL_SCHEMES), F.lit("virtualise")))
+        return F.struct((F.array_position(all_urls, u) - 1).cast("int").alias("pos"), u.alias("url"),
+                        scheme.alias("scheme"), kind.alias("kind"), ext.alias("extension"), wild.alias("wildcard"))
+
+    found = bind(urls, lambda us: F.transform(F.array_distinct(us), lambda u: describe(u, us)))
+    return F.filter(found, lambda x: x["kind"].isNotNull())
+
+
 def storage_candidates(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Storage locations named in code blocks, distinct per page:
-    ``(key, pos, url, scheme, kind, extension, wildcard)``."""
-    has_code = df.filter(F.col(html).rlike(r"(?i)<(?:code|pre)\b"))
+    ``(key, pos, url, scheme, kind, extension, wildcard)``.  Narrow, like the links."""
+    has_code = df.filter(F.col(html).rlike(CODE_TAG))
     text = has_code.select(key, code_text(F.col(html)).alias("t")).select(key, decode(F.col("t")).alias("t"))
-    urls = text.select(key, F.posexplode(F.regexp_extract_all("t", F.lit(STORAGE_URL), F.lit(1))).alias("pos", "raw"))
-    url = urls.select(key, "pos", F.rtrim("raw", F.lit(".,;:'\")")).alias("url"))
-    firsts = url.groupBy(key, "url").agg(F.min("pos").alias("pos"))
-    d = firsts.select(key, "pos", "url", F.lower(F.substring_index("url", "://", 1)).alias("scheme"),
-                      data_extension(F.col("url")).alias("extension"),
-                      F.col("url").rlike(r"[*?]").alias("wildcard"))
-    https = F.col("scheme") == "https"
-    keep = (https & (F.col("url").rlike(STORAGE_HOST) | F.col("extension").isNotNull())) | F.col(
-        "scheme").isin(VIRTUAL_SCHEMES)
-    kind = (F.when(https & F.col("extension").isNotNull() & ~F.col("wildcard"), F.lit("download"))
-            .when(https, F.lit("folder")).otherwise(F.lit("virtualise")))
-    return d.filter(keep).select(key, "pos", "url", "scheme", kind.alias("kind"), "extension", "wildcard")
+    return text.select(key, F.inline(_candidates(F.col("t"))))
 
 
 def page_kind(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
@@ -145,13 +163,14 @@ def page_kind(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     A URL with a data suffix is data itself; a page that names storage locations
     is a dataset page; one that only links on is a catalog.
     """
-    counts = storage_candidates(df, key, html).groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
-    base = df.select(key, F.col(url).alias("url"), F.size(anchors(F.col(html))).alias("links"))
-    j = base.join(counts, key, "left")
+    code = F.when(F.col(html).rlike(CODE_TAG), code_text(F.col(html)))
+    base = df.select(key, F.col(url).alias("url"), F.size(anchors(F.col(html))).alias("links"), code.alias("t"))
+    decoded = base.select(key, "url", "links", decode(F.col("t")).alias("t"))
+    j = decoded.select(key, "url", F.col("links").cast("long").alias("links"), F.coalesce(
+        F.when(F.col("t").isNotNull(), F.size(_candidates(F.col("t")))), F.lit(0)).cast("long").alias("candidates"))
     in_catalog = F.lit(True) if catalog_pattern is None else F.col("url").rlike(catalog_pattern)
     kind = (F.when(data_extension(F.col("url")).isNotNull(), F.lit("data"))
             .when(~in_catalog, F.lit("rejected"))
             .when(F.col("candidates") > 0, F.lit("dataset"))
             .when(F.col("links") > 0, F.lit("catalog")).otherwise(F.lit("rejected")))
-    return j.select(key, F.col("links").cast("long").alias("links"),
-                    F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), kind.alias("kind"))
+    return j.select(key, "links", "candidates", kind.alias("kind"))

@@ -92,22 +92,25 @@ def key_evidence(fields: DataFrame, by: Sequence[str] = (), row_id: str = "row_i
 
 
 def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int = MAX_JSON_KEYS) -> DataFrame:
-    """First ``max_keys`` keys in order of appearance, with their position; the
-    rest is reported through ``keys_truncated``.
+    """First ``max_keys`` keys in order of appearance, with their position; that
+    there were more is reported through ``keys_truncated``.
 
-    The ranking is limited inside every task before rows are moved, so a source
+    One key beyond the limit is kept for that flag, so the documents are read
+    once.  Ranking is limited inside every task before rows are moved: a source
     with a key per row never lands in one task.
     """
-    total = evidence.groupBy(*by).agg((F.count(F.lit(1)) > max_keys).alias("keys_truncated"))
-    if not by:
-        kept = evidence.orderBy("first_row", "first_pos", "key").limit(max_keys)     # bounded from here on
-        order = Window.orderBy("first_row", "first_pos", "key")
-        return (kept.withColumn("pos", F.row_number().over(order) - 1)
-                .withColumn("keys_truncated", total.scalar()))
-    w = Window.partitionBy(*[F.col(b) for b in by]).orderBy("first_row", "first_pos", "key")
-    ranked = (evidence.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max_keys)
-              .withColumn("pos", F.col("pos") - 1))
-    return ranked.join(total, list(by))
+    order = ["first_row", "first_pos", "key"]
+    if by:
+        group = [F.col(b) for b in by]
+        w = Window.partitionBy(*group).orderBy(*order)
+        kept = evidence.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= max_keys + 1)
+        everything = Window.partitionBy(*group)
+    else:
+        top = evidence.orderBy(*order).limit(max_keys + 1)          # bounded from here on
+        kept = top.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
+        everything = Window.partitionBy()
+    flagged = kept.withColumn("keys_truncated", F.max("pos").over(everything) > max_keys)
+    return flagged.filter(F.col("pos") <= max_keys).withColumn("pos", F.col("pos") - 1)
 
 
 def finish_keys(capped: DataFrame, by: Sequence[str] = (), sampled: bool = False) -> DataFrame:
