@@ -9,11 +9,6 @@ from ..operators import jsonops, jsonprofile
 from ..sources import jsondocs
 from .registry import ORDER_DOC_SQL, order_docs, query, table
 
-PROFILE_SQL = """
-SELECT * FROM (VALUES (0, 'id', 'int32', 'scalar', NULL, true), (1, 'total', 'decimal', 'scalar', NULL, true),
-  (2, 'status', 'str', 'scalar', 1, true), (3, 'flag', 'bool', 'scalar', NULL, true), (4, 'mixed', 'str', 'scalar', NULL, false),
-  (5, 'tags', 'list', 'array', NULL, true), (5, 'note', 'str', 'scalar', NULL, true), (5, 'extra', 'dict', 'object', NULL, true))"""
-
 # what the shape rules give for the derived documents, computed from the base columns
 KEYS_SQL = f"""
 WITH d AS (SELECT *, CAST(o_totalprice AS DECIMAL(12,2)) AS total FROM orders),

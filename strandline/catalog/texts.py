@@ -171,7 +171,8 @@ def _valid(spark, sf):
 
 # --- HTML ----------------------------------------------------------------------------
 
-_UNESC = "replace(replace(replace(replace({0}, '&quot;', chr(34)), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&')"
+_UNESC = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', chr(34), 'g'), '&middot;?', chr(183), 'g'),"
+          " '&copy;?', chr(169), 'g'), '&amp;?', '&', 'g')")
 _COLL = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 
 

@@ -149,12 +149,12 @@ def redact_full(c: Column, literals: Sequence[str] = (), public_hosts: Sequence[
     usable = sorted({x for x in literals if x and len(x) >= MIN_LITERAL
                      and x.strip().lower() not in COMMON_LITERALS}, key=lambda x: (-len(x), x))
     for i, host in enumerate(public_hosts):
-        c = F.regexp_replace(c, "(?i)" + re.escape(host), f"\u0000PUBLICHOST{i}\u0000")
+        c = F.regexp_replace(c, "(?i)" + re.escape(host), f"\u0000{i}\u0000")
     for word in usable:
         c = F.regexp_replace(c, "(?i)" + re.escape(word), REDACTED)
     c = bind(c, lambda text: _apply(text, FULL_REDACT_RULES, FULL_REDACT_HINTS))
     for i, host in enumerate(public_hosts):
-        c = F.replace(c, F.lit(f"\u0000PUBLICHOST{i}\u0000"), F.lit(host))
+        c = F.replace(c, F.lit(f"\u0000{i}\u0000"), F.lit(host))
     return c
 
 
