@@ -73,7 +73,12 @@ def profile_csvs(spark: SparkSession, units: DataFrame) -> DataFrame | None:
 
 def profile_json(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     """Key profiles of all line-framed JSON files in one plan."""
-    paths = [r[0] for r in units.filter("file_type = 'json'").select("path").collect()]
+    suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    named = F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/*"), suffix)
+    # files named as JSON are read by folder; only those found by content are named one by one
+    place = F.when(F.lower(suffix).isin(".json", ".jsonl", ".ndjson"), named).otherwise(F.col("path"))
+    places = units.filter("file_type = 'json'").select(place.alias("place")).distinct()
+    paths = [r["place"] for r in places.toLocalIterator()]
     if not paths:
         return None
     lines = jsondocs.read_ndjson(spark, paths)

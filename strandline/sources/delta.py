@@ -178,18 +178,12 @@ def delta_or_parquet(spark: SparkSession, root: str) -> dict:
             "warning": "The table log could not be used; the schema comes from one data file."}
 
 
-def delta_read(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the current snapshot with the partition values as columns.
+# Up to this many live files are named to the reader; beyond it the folder is scanned.
+MAX_NAMED_FILES = 100_000
 
-    Live files are matched by name inside the plan (a join on the file path), so
-    the file list never passes through the driver as literals.
-    """
-    from .inventory import _glob_hits
-    root = root.rstrip("/")
-    actions = delta_actions(spark, root)
-    meta = delta_metadata(actions).first()
-    schema, _ = delta_schema(meta["schemaString"])
-    parts = list(meta["partitionColumns"] or [])
+
+def live_files(spark: SparkSession, root: str, actions: DataFrame) -> DataFrame:
+    """Live files ``(rel, partition_values)`` from the log and the last checkpoint."""
     live = last_actions(actions).select(
         "path", F.col("last.add").isNotNull().alias("alive"),
         F.col("last.add.partitionValues").alias("partition_values"))
@@ -197,14 +191,40 @@ def delta_read(spark: SparkSession, root: str) -> DataFrame:
     if old is not None:
         older = old.join(live.select("path"), "path", "left_anti")
         live = live.unionByName(older.select("path", F.lit(True).alias("alive"), "partition_values"))
-    live = live.filter("alive").select(F.url_decode("path").alias("rel"), "partition_values")
-    data_schema = T.StructType([f for f in schema if f.name not in parts])
-    r = spark.read.schema(data_schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    if not _glob_hits(spark, root + "/*"):
+    return live.filter("alive").select(F.url_decode("path").alias("rel"), "partition_values")
+
+
+def delta_read(spark: SparkSession, root: str, max_named: int = MAX_NAMED_FILES) -> DataFrame:
+    """Rows of the current snapshot with the partition values as columns.
+
+    The usual table's files are named to the reader, so dead files are not read
+    and the rows meet only a small broadcast list of partition values (at most
+    ``max_named`` short entries).  A table with more live files is scanned as a
+    folder and joined with its list, whatever size that has.
+    """
+    from ..workspace import materialise
+    root = root.rstrip("/")
+    actions = delta_actions(spark, root)
+    meta = delta_metadata(actions).first()
+    schema, _ = delta_schema(meta["schemaString"])
+    parts = list(meta["partitionColumns"] or [])
+    live = materialise(live_files(spark, root, actions), "live")
+    n = live.count()
+    if n == 0:
         return spark.createDataFrame([], schema)
-    rows = r.parquet(root).withColumn("_file", F.col("_metadata.file_path"))
+    data_schema = T.StructType([f for f in schema if f.name not in parts])
+    r = spark.read.schema(data_schema).option("recursiveFileLookup", True)
+    if n <= max_named:
+        names = [row["rel"] for row in live.select("rel").collect()]
+        rows = r.parquet(*[f"{root}/{x}" for x in names])
+        live = F.broadcast(live)
+    else:
+        rows = r.option("pathGlobFilter", "*.parquet").parquet(root)
+    if n <= max_named and not parts:
+        return rows
     tail = re.escape(root.split("://", 1)[-1].split(":", 1)[-1].lstrip("/"))
-    rel = F.url_decode(F.replace(F.regexp_extract("_file", tail + "/(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    file = F.col("_metadata.file_path")
+    rel = F.url_decode(F.replace(F.regexp_extract(file, tail + "/(.*)$", 1), F.lit("+"), F.lit("%2B")))
     joined = rows.withColumn("rel", rel).join(live, "rel")
     cols = [F.col("partition_values")[f.name].cast(f.dataType).alias(f.name) if f.name in parts
             else F.col(f"`{f.name}`") for f in schema]

@@ -47,6 +47,8 @@ def test_delta_replay(spark, delta_folder):
     rows = delta.delta_read(spark, delta_folder)
     assert rows.columns == ["id", "v", "p"] and rows.count() == 20
     assert {r[0] for r in rows.select("p").distinct().collect()} == {1, 2}
+    scanned = delta.delta_read(spark, delta_folder, max_named=1)         # the way of very large tables
+    assert sorted(map(tuple, scanned.collect())) == sorted(map(tuple, rows.collect()))
     found = delta.delta_or_parquet(spark, delta_folder)
     assert (found["schema_inference"], found["columns"][0]) == (
         "delta_log", {"pos": 0, "name": "id", "type": "int64", "nullable": False})
