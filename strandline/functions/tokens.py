@@ -94,31 +94,34 @@ def numeric_token(c: Column) -> Column:
     ``int_digits`` and ``scale`` are what a decimal needs to hold the value
     without loss, so ``precision = int_digits + scale``.
     """
-    t = strip_blanks(c)
-    has_exp = t.rlike("[eE]")
-    mantissa = F.regexp_extract(t, r"^([^eE]*)", 1)
+    return bind(strip_blanks(c), lambda t: F.when(is_numeric_token(t), bind(_token_parts(t), _token_shape)))
+
+
+def _token_parts(t: Column) -> Column:
     exp_text = F.regexp_extract(t, r"[eE]([+-]?[0-9]+)$", 1)
     exp_digits = F.ltrim(F.ltrim(exp_text, F.lit("+-")), F.lit("0"))
     exp_abs = (F.when(exp_digits == "", F.lit(0))
                .when(F.length(exp_digits) > 3, F.lit(1000))
                .otherwise(exp_digits.try_cast("int")))
-    exponent = F.when(exp_text.startswith("-"), -exp_abs).otherwise(exp_abs)
-    whole, frac = _unsigned_parts(mantissa)
-    digits = F.concat(whole, frac)
-    point = F.length(whole) + exponent
-    first_nonzero = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
-    all_zero = F.ltrim(digits, F.lit("0")) == ""
-    int_digits = F.when(all_zero, F.lit(0)).otherwise(F.greatest(point - first_nonzero, F.lit(0)))
+    whole, frac = _unsigned_parts(F.regexp_extract(t, r"^([^eE]*)", 1))
+    return F.struct(whole.alias("whole"), F.concat(whole, frac).alias("digits"),
+                    F.when(exp_text.startswith("-"), -exp_abs).otherwise(exp_abs).alias("exponent"),
+                    (exp_text != "").alias("has_exp"), t.contains(".").alias("has_point"))
+
+
+def _token_shape(p: Column) -> Column:
+    digits = p["digits"]
+    point = F.length(p["whole"]) + p["exponent"]
+    significant = F.ltrim(digits, F.lit("0"))
+    first_nonzero = F.length(digits) - F.length(significant)
+    int_digits = F.when(significant == "", F.lit(0)).otherwise(F.greatest(point - first_nonzero, F.lit(0)))
     scale = F.greatest(F.length(digits) - point, F.lit(0))
-    return F.when(
-        is_numeric_token(t),
-        F.struct(
-            (~t.contains(".") & ~has_exp).alias("int_syntax"),
-            has_exp.alias("has_exp"),
-            int_digits.cast("int").alias("int_digits"),
-            scale.cast("int").alias("scale"),
-            F.greatest(F.lit(1), int_digits + scale).cast("int").alias("precision"),
-        ),
+    return F.struct(
+        (~p["has_point"] & ~p["has_exp"]).alias("int_syntax"),
+        p["has_exp"].alias("has_exp"),
+        int_digits.cast("int").alias("int_digits"),
+        scale.cast("int").alias("scale"),
+        F.greatest(F.lit(1), int_digits + scale).cast("int").alias("precision"),
     )
 
 
