@@ -528,7 +528,7 @@ def metadata_docs(spark, sf):
       '"default-spec-id":', p_size % 2, ',"partition-specs":[{"spec-id":1,"fields":[{"name":"bucket_', p_partkey, '","transform":"bucket[4]","source-id":1,"field-id":1000}]}]}')""").alias("doc"))
 
 
-@query("iceberg_row_count", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 4 = 0 THEN p_size END AS row_count FROM part""")
+@query("iceberg_row_count", """SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN 0 WHEN p_size % 4 = 0 THEN p_size END AS BIGINT) AS row_count FROM part""")
 def _ice_rows(spark, sf):
     return metadata_docs(spark, sf).select("p_partkey", iceberg.iceberg_row_count(F.col("doc")).alias("row_count"))
 
