@@ -122,3 +122,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
     out = near_duplicates(source_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT md5(g) AS g, min(doc_id) AS first_id FROM windows GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT j) AS js FROM (SELECT x.doc_id, unnest(range(x.i, x.i + 50)) AS j
+      FROM windows x JOIN firsts f ON md5(x.g) = f.g AND f.first_id < x.doc_id) GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN js IS NULL THEN ws
+    ELSE list_filter(ws, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)"""
+
+
+@query("op4_repeat_removal", REPEATS_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a document of smaller id has in a window of 50."""
+    from .repeats import remove_repeats
+    return remove_repeats(source_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
