@@ -143,3 +143,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
     return remove_repeats(source_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the paths its host agrees on."""
+    from .maintext import extract
+    out = extract(source_table(spark, sf_dir, "pages"))
+    return out.select("row.page_id", "row.url", F.col("main_text").alias("text"),
+                      F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every document, with the pieces of a public vocabulary file."""
+    from .tokencounts import VOCABULARY, read_pieces, token_counts, zipf_scores
+    return token_counts(source_table(spark, sf_dir, "documents"), zipf_scores(read_pieces(VOCABULARY)))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    from corpus_pipeline import run
+    return run(spark, sf_dir)

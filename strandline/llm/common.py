@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 2 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text, so that work per part is bounded whatever the batch."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and (held + n > size or i - at >= rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if batch.num_rows > at:
+        yield batch.slice(at)

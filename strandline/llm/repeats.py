@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialise
-from .common import mix64
+from .common import mix64, slices
 
 WINDOW = 50
 #: Longest run that is named as one; the widths after the pair rounds; what the rounds may spoil at an end.
@@ -180,11 +180,6 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield np.concatenate(names), np.concatenate(owner), np.concatenate(place)
 
 
-def _slices(batch: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
-
-
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64), pa.int64())
 
@@ -192,7 +187,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 def text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text_key, text) -> a row a text: its words' count and digest, and its distinct anchor keys."""
     for whole in batches:
-        for batch in _slices(whole):
+        for batch in slices(whole, 2):
             texts = [t.as_py() or b"" for t in batch.column(2)]
             keys: list[list[np.ndarray]] = [[] for _ in texts]
             for names, owner, _ in _stretches(texts):
@@ -217,7 +212,7 @@ def shared_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     ``stretch`` hashes all words the windows cover and where the anchor lies; ``windows`` has a hash for each.
     """
     for whole in batches:
-        for batch in _slices(whole):
+        for batch in slices(whole, 2):
             texts = [t.as_py() or b"" for t in batch.column(2)]
             shared = [set(np.array(k.as_py() or [], np.int64).view(np.uint64).tolist()) for k in batch.column(3)]
             for names, owner, place in _stretches(texts):
@@ -248,7 +243,7 @@ def shared_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text_key, text, first words of windows to remove) -> (text_key, n_removed, kept)."""
     for whole in batches:
-        for batch in _slices(whole, 64):
+        for batch in slices(whole, 1):
             removed, kept = [], []
             for t, at in zip(batch.column(1), batch.column(2)):
                 ws = (t.as_py() or b"").split()
