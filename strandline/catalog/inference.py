@@ -280,11 +280,11 @@ def _bounds(spark, sf):
         F.when(i == 6, F.col("p_size"))).alias("t"))
 
 
-@query("inf_watchouts", """SELECT lang, source, list_concat(list_concat(
-  CASE WHEN min(n_chars) < 70 THEN ['Low encoding confidence (' || min(n_chars) || '%).'] ELSE [] END,
-  CASE WHEN count(*) > 30 THEN ['Row count is estimated.'] ELSE [] END), list_concat(
-  CASE WHEN max(n_chars) > 4000 THEN ['Very long strings detected.'] ELSE [] END,
-  ['Nullable numeric columns detected: n'])) AS warnings FROM documents GROUP BY 1, 2""")
+@query("inf_watchouts", """SELECT lang, source, w.code AS code, w.subject AS subject FROM (SELECT lang, source, unnest([
+  CASE WHEN max(n_chars) > 4000 THEN {'code': 'long_text', 'subject': 'text'} END, {'code': 'nullable_number', 'subject': 'n'},
+  CASE WHEN count(*) > 30 THEN {'code': 'rows_estimated', 'subject': NULL} END,
+  CASE WHEN min(n_chars) < 70 THEN {'code': 'unsure_encoding', 'subject': CAST(min(n_chars) AS VARCHAR)} END]) AS w
+  FROM documents GROUP BY 1, 2) WHERE w IS NOT NULL""")
 def _watch(spark, sf):
     d = table(spark, sf, "documents").groupBy("lang", "source").agg(
         F.min("n_chars").alias("encoding_confidence"), F.max("n_chars").alias("m"), F.count(F.lit(1)).alias("c"))
@@ -293,7 +293,7 @@ def _watch(spark, sf):
     prof = d.select("lang", "source", F.lit("utf-8").alias("encoding"), "encoding_confidence",
                     (F.col("c") > 30).alias("row_count_estimated"), F.lit("csv").alias("file_type"),
                     F.array(col("text", "object", F.col("m")), col("n", "int32", F.lit(None).cast("long"))).alias("columns"))
-    return prof.select("lang", "source", infer.watchouts(prof).alias("warnings"))
+    return prof.select("lang", "source", F.inline(infer.watchouts(prof)))
 
 
 @query("inf_folder_consensus", """

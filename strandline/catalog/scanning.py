@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions.lookups import DELIMITER_NAMES, EXTENSION_FORMATS, with_lookup
+from ..functions.lookups import DELIMITER_NAMES, EXTENSION_FORMATS, MAX_LISTING, with_lookup
 from ..operators import infer, setops
 from ..sources import columnar, delimited, delta, detect, iceberg, inventory, jsondocs
 from ..workspace import staged
@@ -36,6 +36,14 @@ def _inventory(spark, sf):
 @query("scan_object_store", """SELECT path, replace(path, '#', '%23') AS url, size, (SELECT count(*) FROM customer) > 5000 AS truncated
   FROM (SELECT 'crm/' || c_mktsegment || '/' || c_name || '.csv' AS path, c_custkey AS size FROM customer) ORDER BY path LIMIT 5000""")
 def _objects(spark, sf):
+    c = table(spark, sf, "customer").select(
+        F.concat(F.lit("crm/"), "c_mktsegment", F.lit("/"), "c_name", F.lit(".csv")).alias("path"), F.col("c_custkey").alias("size"))
+    return inventory.object_listing(c, MAX_LISTING)
+
+
+@query("scan_object_store_all", """SELECT path, replace(path, '#', '%23') AS url, size, false AS truncated
+  FROM (SELECT 'crm/' || c_mktsegment || '/' || c_name || '.csv' AS path, c_custkey AS size FROM customer)""")
+def _all_objects(spark, sf):
     c = table(spark, sf, "customer").select(
         F.concat(F.lit("crm/"), "c_mktsegment", F.lit("/"), "c_name", F.lit(".csv")).alias("path"), F.col("c_custkey").alias("size"))
     return inventory.object_listing(c)
@@ -46,12 +54,17 @@ def _objects(spark, sf):
   FROM (SELECT split_part(substr(path, 11), '/', 1) AS name, contains(substr(path, 11), '/') AS is_folder, size,
     regexp_replace(substr(path, 11), '^[^/]*/?', '') AS rest2 FROM ({LISTING_SQL}) WHERE starts_with(path, 'lake/src1/')) GROUP BY 1, 2 ORDER BY 1 LIMIT 100""")
 def _level(spark, sf):
-    return inventory.list_level(listing(spark, sf), "lake/src1/")
+    return inventory.list_level(listing(spark, sf), "lake/src1/", page=100)
 
 
 @query("scan_prune", f"""WITH l AS (SELECT * FROM ({LISTING_SQL}) WHERE NOT contains(path, '/.cache/'))
   SELECT path, size, (SELECT count(*) FROM l) > 500 AS truncated FROM l ORDER BY path LIMIT 500""")
 def _prune(spark, sf):
+    return inventory.prune(listing(spark, sf).select("path", "size"), "lake", max_depth=6, max_files=500, max_dirs=2000)
+
+
+@query("scan_prune_all", f"""SELECT path, size, false AS truncated FROM ({LISTING_SQL}) WHERE NOT contains(path, '/.cache/')""")
+def _prune_all(spark, sf):
     return inventory.prune(listing(spark, sf).select("path", "size"), "lake")
 
 
@@ -475,7 +488,7 @@ def _removed(spark, sf):
 @query("delta_row_count", f"""SELECT CAST(count(*) FILTER (WHERE t <> 'error') AS BIGINT) AS live_files,
   CAST(sum(k) FILTER (WHERE t <> 'error') AS BIGINT) AS row_count FROM ({_LAST})""")
 def _rows(spark, sf):
-    return delta.delta_row_count(event_log(spark, sf), max_commits=2**62)
+    return delta.delta_row_count(event_log(spark, sf))
 
 
 @query("scan_delta_fallback", f"SELECT path, size FROM ({LISTING_SQL}) WHERE starts_with(path, 'lake/src1/') AND ends_with(path, '.parquet') ORDER BY path LIMIT 1")

@@ -20,7 +20,8 @@ from .tokens import bind
 STORAGE_URL = r"(?i)\b((?:abfss|abs|adls|wasbs|https)://[^\s\"'<>()\[\]]+)"
 VIRTUAL_SCHEMES = ["abs", "adls", "abfss", "wasbs", "s3", "azure"]
 STORAGE_HOST = r"(?i)^https://(?:[^/?#@]*@)?[a-z0-9][a-z0-9-]{1,61}[a-z0-9]\.(blob|dfs)\.core\.windows\.net(?::[0-9]*)?(?:[/?#]|$)"
-ANCHOR = r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>(.*?)</a\s*>"
+ANCHOR = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))[^>]*>(.*?)</a\s*>"
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 CODE_BLOCK = r"(?is)<(?:code|pre)\b[^>]*>(.*?)</(?:code|pre)\s*>"
 TAG = r"(?s)<[^>]*>"
 CODE_TAG = r"(?i)<(?:code|pre)\b"
@@ -94,8 +95,9 @@ def _dot_free(path: Column) -> Column:
 
 
 def anchors(html: Column) -> Column:
-    """``array<struct(href, label)>`` of a page, in document order."""
-    group = lambda i: F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(i))
+    """``array<struct(href, label)>`` of a page, in document order; comments, scripts and styles hold none."""
+    seen = F.when(html.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(html, UNSEEN, "")).otherwise(html)
+    group = lambda i: F.regexp_extract_all(seen, F.lit(ANCHOR), F.lit(i))
     return F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"),
                         group(4).alias("label"))
 

@@ -154,7 +154,6 @@ ICEBERG_TYPES = {
 MAX_NUMERIC_TOKEN = 256
 MAX_DECIMAL_PRECISION = 38
 SAFE_INTEGER = 9007199254740991
-MAX_JSON_KEYS = 4096
 MAX_TABLE_COLUMNS = 1024
 ENCODING_SAMPLE_BYTES = 64 * 1024
 MAGIC_SAMPLE_BYTES = 8192
@@ -162,9 +161,7 @@ DIALECT_SAMPLE_CHARS = 4096
 MAX_LISTING = 5000
 JSON_DOC_BYTES = 32 * 1024 * 1024
 JSON_SAMPLE_CHARS = 4 * 1024 * 1024
-JSON_LINE_CHARS = 16 * 1024 * 1024
 FULL_SCAN_BYTES = 100 * 1024 * 1024
-DELTA_MAX_COMMITS = 5000
 
 
 def sql_text(value: str) -> str:

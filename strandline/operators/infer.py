@@ -136,13 +136,13 @@ def merge_tokens(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return bits.groupBy(*by, "pos").agg(*[v.alias(k) for k, v in merged.items()])
 
 
-_MAPPED: dict[int, Column] = {}
+_MAPPED: dict[str, Column] = {}
 
 
 def _mapped_type() -> Column:
     """``map_type`` of the evidence columns; the large expression is built once."""
     from pyspark import SparkContext
-    key = id(SparkContext._active_spark_context)
+    key = SparkContext._active_spark_context.applicationId
     if key not in _MAPPED:
         _MAPPED[key] = map_type(F.col("detected_type"), F.col("max_length"))
     return _MAPPED[key]
@@ -206,23 +206,24 @@ def duplicate_names(columns: DataFrame, by: Sequence[str] = ("path",), name: str
 
 
 def watchouts(prof: DataFrame) -> Column:
-    """Warnings of a profile row, in a fixed order."""
-    columns = F.col("columns")
-    is_number = lambda c: F.lower(c["type"]).rlike("int|float|double|decimal|numeric|real")
-    numeric = F.transform(F.filter(columns, lambda c: c["nullable"] & is_number(c)), lambda c: c["name"])
-    return F.array_compact(F.array(
-        F.when((F.col("encoding") != "binary") & (F.col("encoding_confidence") < 70),
-               F.format_string("Low encoding confidence (%d%%).", F.col("encoding_confidence"))),
-        F.when(F.col("row_count_estimated"), F.lit("Row count is estimated.")),
-        F.when((F.col("file_type") == "json")
-               & F.exists(columns, lambda c: c["nesting"].isin("object", "array")),
-               F.lit("Nested JSON detected.")),
-        F.when(F.exists(columns, lambda c: F.coalesce(c["max_length"] > 4000, F.lit(False))),
-               F.lit("Very long strings detected.")),
-        F.when(F.size(numeric) > 0, F.concat(
-            F.lit("Nullable numeric columns detected: "),
-            F.array_join(F.slice(numeric, 1, 5), ", "))),
-    ))
+    """``array<struct(code, subject)>``: what a reader of the profile should look at, sorted by code.
+
+    A warning about columns is there once for every such column.
+    """
+    numeric = F.lit("int|float|double|decimal|numeric|real")
+    note = lambda code, subject: F.struct(F.lit(code).alias("code"), subject.cast("string").alias("subject"))
+    per_column = lambda code, test: F.transform(
+        F.filter("columns", lambda c: F.coalesce(test(c), F.lit(False))), lambda c: note(code, c["name"]))
+    whole = lambda code, test, subject: F.when(test, F.array(note(code, subject))).otherwise(
+        F.array().cast("array<struct<code:string,subject:string>>"))
+    return F.array_sort(F.concat(
+        per_column("long_text", lambda c: c["max_length"] > 4000),
+        per_column("nullable_number", lambda c: c["nullable"] & F.rlike(F.lower(c["type"]), numeric)),
+        F.when(F.col("file_type") == "json", per_column("nested", lambda c: c["nesting"].isin("object", "array")))
+        .otherwise(F.array().cast("array<struct<code:string,subject:string>>")),
+        whole("rows_estimated", F.col("row_count_estimated"), F.lit(None)),
+        whole("unsure_encoding", (F.col("encoding") != "binary") & (F.col("encoding_confidence") < 70),
+              F.col("encoding_confidence"))))
 
 
 def folder_consensus(files: DataFrame, folder: str, traits: Sequence[str]) -> DataFrame:

@@ -196,9 +196,9 @@ def preview_json(docs: DataFrame, n: int, order: str, doc: str = "doc") -> DataF
 
     Keys come in order of first appearance among the ``n`` previewed documents.
     """
-    top = docs.orderBy(order).limit(max(1, min(n, 10000)))
+    top = docs.orderBy(order).limit(max(1, n))
     entries = apply_json(top, doc, [order])
     keys = [r["key"] for r in entries.groupBy("key").agg(F.min(F.struct(order, "pos")).alias("p"))
-            .orderBy("p").limit(4096).collect()]            # keys of at most n previewed rows
+            .orderBy("p").collect()]            # keys of at most n previewed rows
     m = F.from_json(F.col(doc), "map<string,string>")
     return top.select(order, *[m[k].alias(k) for k in keys]).orderBy(order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.lookups import MAX_JSON_KEYS, MAX_NUMERIC_TOKEN
+from ..functions.lookups import MAX_NUMERIC_TOKEN
 from ..workspace import spread_small
 from . import infer
 
@@ -91,8 +91,8 @@ def key_evidence(fields: DataFrame, by: Sequence[str] = (), row_id: str = "row_i
         F.count(F.lit(1)).alias("seen"))
 
 
-def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int = MAX_JSON_KEYS) -> DataFrame:
-    """First ``max_keys`` keys in order of appearance, with their position; that
+def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int | None = None) -> DataFrame:
+    """Keys in order of appearance, with their position; with ``max_keys`` the first so many, and that
     there were more is reported through ``keys_truncated``.
 
     One key beyond the limit is kept for that flag, so the documents are read
@@ -100,6 +100,9 @@ def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int = MAX_JS
     with a key per row never lands in one task.
     """
     order = ["first_row", "first_pos", "key"]
+    if max_keys is None:
+        w = Window.partitionBy(*[F.col(b) for b in by]).orderBy(*order)
+        return evidence.withColumn("pos", F.row_number().over(w) - 1).withColumn("keys_truncated", F.lit(False))
     if by:
         group = [F.col(b) for b in by]
         w = Window.partitionBy(*group).orderBy(*order)
@@ -136,7 +139,7 @@ def finish_keys(capped: DataFrame, by: Sequence[str] = (), sampled: bool = False
 
 
 def json_profile(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_id: str = "row_id",
-                 max_keys: int = MAX_JSON_KEYS, sampled: bool = False) -> DataFrame:
+                 max_keys: int | None = None, sampled: bool = False) -> DataFrame:
     fields = json_fields(docs, by, doc, row_id)
     return finish_keys(cap_keys(key_evidence(fields, by, row_id), by, max_keys), by, sampled)
 

@@ -11,7 +11,7 @@ from ..functions import tokens as tk
 
 
 def clamp_rows(n: int | None) -> int:
-    return max(1, min(int(n or 100), 10000))
+    return max(1, int(n or 100))
 
 
 def typed_read(df: DataFrame, columns: Sequence[tuple[str, str]], n: int = 100,

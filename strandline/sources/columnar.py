@@ -108,12 +108,12 @@ def read_parquet_tolerant(spark: SparkSession, footers: DataFrame, paths: Sequen
     """Read with the columns Spark refuses left out, and say which they were."""
     bad = [r[0] for r in footers.select(F.explode("columns").alias("c"))
            .filter(F.col("c.type").rlike(UNREADABLE)).select("c.name").distinct()
-           .orderBy("name").limit(1024).collect()]        # column names, bounded by the column limit
+           .orderBy("name").collect()]        # column names
     if not bad:
         return spark.read.parquet(*paths), []
     good = footers.select(F.posexplode("columns").alias("p", "c")).filter(~F.col("c.name").isin(bad))
     names = [r[0] for r in good.groupBy(F.col("c.name").alias("name"))
-             .agg(F.min("p").alias("p")).orderBy("p").limit(1024).collect()]
+             .agg(F.min("p").alias("p")).orderBy("p").collect()]
     import pyarrow.parquet as pq
     from pyspark.sql.pandas.types import from_arrow_schema
 

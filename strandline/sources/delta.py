@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookups import DELTA_MAX_COMMITS
 from ..functions.types import delta_type_name
 
 ACTION_SCHEMA = (
-    "struct<add: struct<path: string, size: bigint, partitionValues: map<string,string>, stats: string>,"
+    "struct<add: struct<path: string, size: bigint, partitionValues: map<string,string>, stats: string,"
+    " deletionVector: struct<storageType: string>>,"
     " remove: struct<path: string>,"
     " metaData: struct<id: string, name: string, description: string, schemaString: string,"
     " partitionColumns: array<string>, configuration: map<string,string>, createdTime: bigint>,"
@@ -35,20 +35,21 @@ def actions_from_lines(lines: DataFrame, version: str, order: str, text: str,
                     F.from_json(t, ACTION_SCHEMA).alias("action"), parsed.isNull().alias("bad")))
 
 
-def delta_actions(spark: SparkSession, root: str, max_commits: int = DELTA_MAX_COMMITS) -> DataFrame:
-    """Actions of the newest commits of a table folder, and of its last checkpoint."""
+def delta_actions(spark: SparkSession, root: str, max_commits: int | None = None) -> DataFrame:
+    """Actions of the commits of a table folder, of the newest ``max_commits`` if given."""
     rows = spark.read.text(f"{root.rstrip('/')}/_delta_log/*.json")
     lines = rows.select(
         F.regexp_extract(F.col("_metadata.file_path"), COMMIT, 1).alias("v"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line_no"),
         F.col("value").alias("text")).filter("v <> ''")
-    newest = lines.agg(F.max(F.col("v").cast("long"))).scalar()
-    recent = lines.filter(F.col("v").cast("long") > newest - max_commits)
-    return actions_from_lines(recent, "v", "line_no", "text")
+    if max_commits is not None:
+        newest = lines.agg(F.max(F.col("v").cast("long"))).scalar()
+        lines = lines.filter(F.col("v").cast("long") > newest - max_commits)
+    return actions_from_lines(lines, "v", "line_no", "text")
 
 
-def checkpoint_adds(spark: SparkSession, root: str) -> DataFrame | None:
-    """Live files recorded by the newest checkpoint, as ``add`` rows before its version."""
+def checkpoint_rows(spark: SparkSession, root: str) -> tuple[int, DataFrame] | None:
+    """Version and rows of the newest checkpoint."""
     log = f"{root.rstrip('/')}/_delta_log"
     from .inventory import _glob_hits, _listing
     if not _glob_hits(spark, log + "/*.checkpoint*.parquet"):
@@ -56,10 +57,19 @@ def checkpoint_adds(spark: SparkSession, root: str) -> DataFrame | None:
     files = _listing(spark, [log + "/*.checkpoint*.parquet"])
     v = F.regexp_extract("path", r"(\d{20})\.checkpoint", 1)
     top = files.select(F.max(v)).first()[0]
-    df = spark.read.parquet(f"{log}/{top}.checkpoint*.parquet").filter("add is not null")
+    return int(top), spark.read.parquet(f"{log}/{top}.checkpoint*.parquet")
+
+
+def checkpoint_adds(spark: SparkSession, root: str) -> DataFrame | None:
+    """Live files recorded by the newest checkpoint, as ``add`` rows before its version."""
+    found = checkpoint_rows(spark, root)
+    if found is None:
+        return None
+    top, df = found
+    df = df.filter("add is not null")
     names = df.schema["add"].dataType.names
     part = F.col("add.partitionValues") if "partitionValues" in names else F.lit(None)
-    return df.select(F.lit(int(top)).cast("long").alias("version"), F.col("add.path").alias("path"),
+    return df.select(F.lit(top).cast("long").alias("version"), F.col("add.path").alias("path"),
                      part.cast("map<string,string>").alias("partition_values"))
 
 
@@ -74,6 +84,22 @@ def delta_metadata(actions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return last.select(*by, "m.*")
 
 
+def table_metadata(spark: SparkSession, root: str, actions: DataFrame):
+    """The last metaData row, from the commits or else from the newest checkpoint; None without any."""
+    last = delta_metadata(actions).first()
+    if last is None and (found := checkpoint_rows(spark, root)) and "metaData" in found[1].columns:
+        last = found[1].filter("metaData is not null").select("metaData.*").first()
+    return last
+
+
+def refuse_features(actions: DataFrame) -> None:
+    """Deletion vectors and reader versions above 1 change what a file's rows mean; they are not read."""
+    newest = actions.agg(F.max("action.protocol.minReaderVersion").alias("reader"),
+                         F.count_if(F.col("action.add.deletionVector").isNotNull()).alias("vectors")).first()
+    if newest["vectors"] or (newest["reader"] or 1) > 1:
+        raise NotImplementedError(f"reader version {newest['reader']}, files with deletion vectors {newest['vectors']}")
+
+
 def last_actions(actions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Last add or remove per path.  A map-side aggregate, so a path (or a table)
     with most of the actions is reduced in every task before the shuffle."""
@@ -99,24 +125,29 @@ def without_removed(adds: DataFrame, removes: DataFrame) -> DataFrame:
 
 
 def delta_row_count(actions: DataFrame, has_checkpoint: Column | None = None,
-                    by: tuple[str, ...] = (), max_commits: int = DELTA_MAX_COMMITS) -> DataFrame:
-    """Sum of ``numRecords`` of the live files, or null when it would be a guess."""
+                    by: tuple[str, ...] = (), max_commits: int | None = None) -> DataFrame:
+    """Sum of ``numRecords`` of the live files, or null when it would be a guess: without statistics, with
+    broken lines, deletion vectors, a checkpoint, or more commits than ``max_commits``."""
     path = F.coalesce("action.add.path", "action.remove.path")
     rows = actions.select(*by, path.alias("path"), "version", "line_no", "bad", F.col("action.add").alias("add"),
                           F.get_json_object("action.add.stats", "$.numRecords").try_cast("long").alias("n"))
     # one pass: the last action per path, and next to it what decides whether a sum is exact
     per_path = rows.groupBy(*by, "path").agg(
-        F.max_by(F.struct(F.col("add").isNotNull().alias("live"), "n"), F.struct("version", "line_no")).alias("last"),
+        F.max_by(F.struct(F.col("add").isNotNull().alias("live"), "n", F.col("add.deletionVector").isNotNull().alias("dv")),
+                 F.struct("version", "line_no")).alias("last"),
         F.count_if("bad").alias("bad_lines"),
         F.count_if(F.col("add").isNotNull() & F.col("n").isNull()).alias("no_stats"),
         F.min("version").alias("first"), F.max("version").alias("latest"))
     alive = F.col("path").isNotNull() & F.col("last.live")
     total = per_path.groupBy(*by).agg(
         F.count_if(alive).alias("live_files"), F.sum(F.when(alive, F.col("last.n"))).alias("total"),
+        F.count_if(alive & F.col("last.dv")).alias("vectors"),
         F.sum("bad_lines").alias("bad_lines"), F.sum("no_stats").alias("no_stats"),
         (F.max("latest") - F.min("first") + 1).alias("span"))
     blocked = has_checkpoint if has_checkpoint is not None else F.lit(False)
-    exact = (F.col("bad_lines") == 0) & (F.col("no_stats") == 0) & ~blocked & (F.col("span") <= max_commits)
+    exact = (F.col("bad_lines") == 0) & (F.col("no_stats") == 0) & ~blocked & (F.col("vectors") == 0)
+    if max_commits is not None:
+        exact = exact & (F.col("span") <= max_commits)
     return total.select(*by, F.col("live_files").cast("long").alias("live_files"),
                         F.when(exact, F.coalesce("total", F.lit(0))).cast("long").alias("row_count"))
 
@@ -162,7 +193,7 @@ def delta_or_parquet(spark: SparkSession, root: str) -> dict:
     from .inventory import inventory
     meta = None
     try:
-        meta = delta_metadata(delta_actions(spark, root)).first()
+        meta = table_metadata(spark, root, delta_actions(spark, root))
     except Exception as e:                      # an unreadable log is handled like a missing one
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -172,14 +203,15 @@ def delta_or_parquet(spark: SparkSession, root: str) -> dict:
     first = first_data_file(inventory(spark, root), root)
     foot = parquet_footers(first).first()
     if foot is None:
-        return {"schema_inference": None, "error": "No underlying Parquet data file found", "columns": []}
+        return {"schema_inference": None, "error": "no_data_file", "columns": []}
     return {"schema_inference": "underlying_parquet_file", "row_count": None,
             "columns": [c.asDict() for c in foot["columns"]],
-            "warning": "The table log could not be used; the schema comes from one data file."}
+            "warning": "schema_of_one_file"}
 
 
-# Up to this many live files are named to the reader; beyond it the folder is scanned.
-MAX_NAMED_FILES = 100_000
+def decoded(path: Column) -> Column:
+    """Percent signs decoded; a plus stays a plus."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def live_files(spark: SparkSession, root: str, actions: DataFrame) -> DataFrame:
@@ -191,40 +223,31 @@ def live_files(spark: SparkSession, root: str, actions: DataFrame) -> DataFrame:
     if old is not None:
         older = old.join(live.select("path"), "path", "left_anti")
         live = live.unionByName(older.select("path", F.lit(True).alias("alive"), "partition_values"))
-    return live.filter("alive").select(F.url_decode("path").alias("rel"), "partition_values")
+    return live.filter("alive").select(decoded(F.col("path")).alias("rel"), "partition_values")
 
 
-def delta_read(spark: SparkSession, root: str, max_named: int = MAX_NAMED_FILES) -> DataFrame:
+def delta_read(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the current snapshot with the partition values as columns.
 
-    The usual table's files are named to the reader, so dead files are not read
-    and the rows meet only a small broadcast list of partition values (at most
-    ``max_named`` short entries).  A table with more live files is scanned as a
-    folder and joined with its list, whatever size that has.
+    The folder is scanned and joined with the list of live files, in one way for
+    tables of any size.  Deletion vectors and newer reader versions are refused.
     """
     from ..workspace import materialise
     root = root.rstrip("/")
     actions = delta_actions(spark, root)
-    meta = delta_metadata(actions).first()
+    refuse_features(actions)
+    meta = table_metadata(spark, root, actions)
+    if meta is None:
+        raise ValueError(f"no metadata in the log of {root}")
     schema, _ = delta_schema(meta["schemaString"])
     parts = list(meta["partitionColumns"] or [])
     live = materialise(live_files(spark, root, actions), "live")
-    n = live.count()
-    if n == 0:
-        return spark.createDataFrame([], schema)
     data_schema = T.StructType([f for f in schema if f.name not in parts])
-    r = spark.read.schema(data_schema).option("recursiveFileLookup", True)
-    if n <= max_named:
-        names = [row["rel"] for row in live.select("rel").collect()]
-        rows = r.parquet(*[f"{root}/{x}" for x in names])
-        live = F.broadcast(live)
-    else:
-        rows = r.option("pathGlobFilter", "*.parquet").parquet(root)
-    if n <= max_named and not parts:
-        return rows
+    rows = (spark.read.schema(data_schema).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.parquet").parquet(root))
     tail = re.escape(root.split("://", 1)[-1].split(":", 1)[-1].lstrip("/"))
     file = F.col("_metadata.file_path")
-    rel = F.url_decode(F.replace(F.regexp_extract(file, tail + "/(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    rel = decoded(F.regexp_extract(file, tail + "/(.*)$", 1))
     joined = rows.withColumn("rel", rel).join(live, "rel")
     cols = [F.col("partition_values")[f.name].cast(f.dataType).alias(f.name) if f.name in parts
             else F.col(f"`{f.name}`") for f in schema]

@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lookups import (
-    EXTENSION_FORMATS, LOADABLE_FORMATS, MAX_LISTING, lookup_column,
+    EXTENSION_FORMATS, LOADABLE_FORMATS, lookup_column,
 )
 
 INVENTORY_SCHEMA = "path string, size long, mtime timestamp"
-HIDDEN_LOG_DEPTH = 6
 
 
 def _glob_hits(spark: SparkSession, pattern: str) -> bool:
@@ -33,30 +32,35 @@ def _listing(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
 
 
-def inventory(spark: SparkSession, root: str, log_depth: int = HIDDEN_LOG_DEPTH) -> DataFrame:
-    """Every file below ``root`` (local or any Hadoop file system), contents unread.
+def inventory(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
+    """The files below ``root`` (local or any Hadoop file system), contents unread.
 
-    Spark's listing skips names starting with an underscore, so the commit
-    folders of tables are added by explicit patterns, one per folder depth.
+    Spark's listing skips names starting with an underscore or a dot.  Commit folders of tables are added by
+    explicit patterns, one per folder depth, however deep the tree is; with ``hidden`` so is everything else.
     """
     root = root.rstrip("/")
     if not _glob_hits(spark, root):
         raise FileNotFoundError(root)
-    logs = [p for d in range(log_depth + 1)
-            if _glob_hits(spark, p := root + "/*" * d + "/_delta_log/*")]
+    skipped, depth = [], 0
+    while _glob_hits(spark, root + "/*" * depth):
+        p = root + "/*" * depth + ("/[._]*" if hidden else "/_delta_log/*")
+        skipped += [p] if _glob_hits(spark, p) else []
+        depth += 1
     visible = _listing(spark, [root])
-    return visible.unionByName(_listing(spark, logs)) if logs else visible
+    return visible.unionByName(_listing(spark, skipped)).dropDuplicates(["path"]) if skipped else visible
 
 
-def object_listing(inv: DataFrame, limit: int = MAX_LISTING) -> DataFrame:
-    """Object-store view: folder markers dropped, keys URL-encoded, at most
-    ``limit`` keys in key order; ``truncated`` tells that there were more."""
+def object_listing(inv: DataFrame, limit: int | None = None) -> DataFrame:
+    """Object-store view: folder markers dropped, keys URL-encoded, in key order; with a
+    ``limit`` the first so many, and ``truncated`` tells that there were more."""
     keys = inv.filter(~F.col("path").endswith("/"))
-    total = keys.agg((F.count(F.lit(1)) > limit).alias("truncated")).scalar()
     enc = F.replace(F.replace(F.replace(F.url_encode("path"), F.lit("%2F"), F.lit("/")),
                               F.lit("+"), F.lit("%20")), F.lit("%3A"), F.lit(":"))
-    return keys.orderBy("path").limit(limit).select("path", enc.alias("url"), "size",
-                                                    total.alias("truncated"))
+    listed = keys.select("path", enc.alias("url"), "size")
+    if limit is None:
+        return listed.orderBy("path").withColumn("truncated", F.lit(False))
+    total = keys.agg((F.count(F.lit(1)) > limit).alias("truncated")).scalar()
+    return listed.orderBy("path").limit(limit).withColumn("truncated", total)
 
 
 def extension(path: Column) -> Column:
@@ -73,9 +77,8 @@ def only_sources(inv: DataFrame) -> DataFrame:
     return detect_ext(inv).filter(F.col("file_type").isin(LOADABLE_FORMATS))
 
 
-def list_level(inv: DataFrame, prefix: str, offset: int = 0, page: int = 100) -> DataFrame:
-    """One folder level below ``prefix``: child folders and files, sorted, paged."""
-    page = max(1, min(page, 200))
+def list_level(inv: DataFrame, prefix: str, offset: int = 0, page: int | None = None) -> DataFrame:
+    """One folder level below ``prefix``: child folders and files, sorted; a page of them if asked for."""
     below = inv.filter(F.col("path").startswith(prefix))
     rest = F.substring(F.col("path"), len(prefix) + 1, F.length("path"))
     child = F.substring_index(rest, "/", 1)
@@ -83,19 +86,20 @@ def list_level(inv: DataFrame, prefix: str, offset: int = 0, page: int = 100) ->
     supported = lookup_column(EXTENSION_FORMATS, extension(F.col("path"))).isNotNull()
     delta = F.substring(rest, F.length(child) + 2, F.length(rest)).startswith("_delta_log/")
     ice = F.substring(rest, F.length(child) + 2, F.length(rest)).rlike(r"^metadata/[^/]*\.metadata\.json$")
-    return (below.select(child.alias("name"), is_dir.alias("is_folder"), "size",
+    level = (below.select(child.alias("name"), is_dir.alias("is_folder"), "size",
                          supported.alias("s"), delta.alias("d"), ice.alias("i"))
             .groupBy("name", "is_folder")
             .agg(F.sum("size").cast("long").alias("size"),
                  F.bool_or(~F.col("is_folder") & F.col("s")).alias("supported"),
                  F.when(F.bool_or("d"), F.lit("delta")).when(F.bool_or("i"), F.lit("iceberg"))
                  .alias("table_type"))
-            .orderBy("name", "is_folder").offset(offset).limit(page))
+            .orderBy("name", "is_folder").offset(offset))
+    return level if page is None else level.limit(max(1, page))
 
 
-def prune(inv: DataFrame, root: str, max_depth: int = 6, max_files: int = 500,
-          max_dirs: int = 2000) -> DataFrame:
-    """Drop hidden and cache folders and apply the walk's ceilings.
+def prune(inv: DataFrame, root: str, max_depth: int | None = None, max_files: int | None = None,
+          max_dirs: int | None = None) -> DataFrame:
+    """Drop hidden and cache folders and apply the walk's ceilings, those that are given.
 
     The kept files are the first in path order (a top-k, never a sample), and
     ``truncated`` is set on every row when any ceiling was hit.
@@ -105,15 +109,22 @@ def prune(inv: DataFrame, root: str, max_depth: int = 6, max_files: int = 500,
     depth = F.when(folder == "", F.lit(0)).otherwise(F.size(F.split(folder, "/")))
     seen = (inv.select("*", folder.alias("folder"), depth.alias("depth"))
             .filter(~F.col("folder").rlike(r"(^|/)(\.[^/]*|__pycache__)(/|$)")))
-    shallow = seen.filter(F.col("depth") <= max_depth)
-    dirs = shallow.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).orderBy("folder")
-    kept_dirs = dirs.limit(max_dirs)                # bounded by max_dirs, so it may be broadcast
-    too_much = seen.agg((F.count_if(F.col("depth") > max_depth) > 0)
-                        | (F.count_if(F.col("depth") <= max_depth) > max_files)).scalar()
-    too_wide = dirs.agg(F.count(F.lit(1)) > max_dirs).scalar()
-    kept = (shallow.join(F.broadcast(kept_dirs.select("folder")), "folder", "left_semi")
-            .orderBy("path").limit(max_files))
-    return kept.withColumn("truncated", too_much | too_wide).drop("folder", "depth")
+    flags, kept = [], seen
+    if max_depth is not None:
+        flags.append(seen.agg(F.count_if(F.col("depth") > max_depth) > 0).scalar())
+        kept = seen.filter(F.col("depth") <= max_depth)
+    if max_files is not None:
+        flags.append(kept.agg(F.count(F.lit(1)) > max_files).scalar())
+    if max_dirs is not None:
+        dirs = kept.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+        flags.append(dirs.agg(F.count(F.lit(1)) > max_dirs).scalar())
+        kept = kept.join(dirs.orderBy("folder").limit(max_dirs).select("folder"), "folder", "left_semi")
+    if max_files is not None:
+        kept = kept.orderBy("path").limit(max_files)
+    truncated = F.lit(False)
+    for flag in flags:
+        truncated = truncated | flag
+    return kept.withColumn("truncated", truncated).drop("folder", "depth")
 
 
 def table_root(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import parse_document
-from ..functions.lookups import ENCODING_CHARSETS, JSON_DOC_BYTES, JSON_LINE_CHARS, JSON_SAMPLE_CHARS
+from ..functions.lookups import ENCODING_CHARSETS, JSON_DOC_BYTES, JSON_SAMPLE_CHARS
 
 
 def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str = "utf-8") -> DataFrame:
@@ -26,10 +26,10 @@ def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str
         F.regexp_replace("value", "^﻿", "").alias("doc"))
 
 
-def doc_family(doc: Column, cap: int = JSON_LINE_CHARS) -> Column:
-    """``blank`` / ``object`` / ``array`` / ``scalar`` / ``invalid``."""
+def doc_family(doc: Column, cap: int | None = None) -> Column:
+    """``blank`` / ``object`` / ``array`` / ``scalar`` / ``invalid``; with ``cap`` longer texts count as invalid."""
     t = F.trim(doc)
-    shape = F.schema_of_variant(parse_document(F.when(F.length(doc) <= cap, doc)))
+    shape = F.schema_of_variant(parse_document(doc if cap is None else F.when(F.length(doc) <= cap, doc)))
     return (F.when(F.coalesce(t, F.lit("")).rlike(r"^\s*$"), F.lit("blank"))
             .when(shape.startswith("OBJECT"), F.lit("object"))
             .when(shape.startswith("ARRAY"), F.lit("array"))
@@ -84,7 +84,7 @@ def read_json_doc(spark: SparkSession, paths, schema: str | None = None) -> Data
 
 def json_shape(whole: DataFrame, doc: str = "doc") -> DataFrame:
     """Format and row count of whole documents given as text."""
-    fam = doc_family(F.col(doc), cap=2**31 - 1)
+    fam = doc_family(F.col(doc))
     v = F.try_parse_json(F.col(doc))
     n = F.json_array_length(doc)
     return (whole.withColumn("family", fam)

@@ -154,6 +154,8 @@ def test_exact_rows(spark):
     bad = exp.withColumn("amount", F.when(F.col("id") == 5, 0).otherwise(F.col("amount"))).union(exp.limit(1))
     assert tuple(validate.exact_rows_diff(bad, exp).first()) == (100, 101, 1, 2, False)
     assert validate.table_checksum(exp).first() == validate.table_checksum(exp.repartition(7)).first()
+    split = lambda *r: validate.table_checksum(spark.createDataFrame([r], "a string, b string")).first()
+    assert split("a|vb", "c") != split("a", "b|vc") and split(None, "") != split("", None)
 
 
 def test_assertions_on_an_empty_table(spark):
@@ -203,7 +205,7 @@ def test_overrides_are_checked(spark):
 
 
 def test_normalise(spark):
-    v = lambda value, t: one(spark, lambda c: validate.normalise(c, t), value, schema=T.StructType([T.StructField("c0", t)]))
+    v = lambda value, t: one(spark, lambda c: validate.normalise(c, t, 32, 512), value, schema=T.StructType([T.StructField("c0", t)]))
     assert v(bytearray(b"ABCD"), T.BinaryType()) == "0x41424344"
     assert v(bytearray(b"A" * 40), T.BinaryType()).startswith("0x" + "41" * 32 + "... [40 bytes, sha256 ")
     assert v(float("inf"), T.DoubleType()) == "inf" and v(float("nan"), T.DoubleType()) == "nan"
@@ -220,3 +222,11 @@ def test_stream_equals_batch(spark, tmp_path, rows):
         incremental.profile_stream(spark, src, ["a", "b"], store, ck, files_per_trigger=1).awaitTermination()
     cols = ["pos", "name", "detected_type", "observed_max_length", "rows"]
     assert sorted(rows(incremental.stored_profile(spark, store).select(cols))) == sorted(rows(infer.infer_columns(df).select(cols)))
+
+
+def test_links_only_from_real_anchors(spark):
+    from strandline.functions import html
+    page = ('<a data-href="/no" href="/yes">a</a><!-- <a href="/old">b</a> --><script>"<a href=\'/js\'>c</a>"</script>'
+            "<a data-href=/none>d</a>")
+    df = spark.createDataFrame([(1, "https://h.example/", page)], "page_id long, url string, html string")
+    assert [r["url"] for r in html.page_links(df).collect()] == ["https://h.example/yes"]
