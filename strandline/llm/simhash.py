@@ -167,11 +167,17 @@ def component_ids(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id.
 
-    Of rows with the same smallest id one stays (the first by text); rows without id stay only if their
+    Of rows with the same smallest id one stays (that of the smallest text hash); rows without id stay only if their
     component has no id at all, one of them.  Columns are unchanged.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    marked = docs.select(row, F.col(doc_id).alias("_id"), fingerprint_column(F.col(text), **options).alias("fp"))
-    ids = component_ids(materialise(marked.select(F.col("_id").alias("doc_id"), "fp"), "fingerprints"))
-    best = marked.join(ids, "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    return best.dropDuplicates(["_id"]).select("row.*")
+    text_hash = F.xxhash64(text)
+    marked = materialise(docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("text_hash"),
+                                     fingerprint_column(F.col(text), **options).alias("fp")), "fingerprints")
+    ids = component_ids(marked.select("doc_id", "fp"))
+    kept = (marked.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_i"),
+                      text_hash.alias("_h"))
+    best = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
+    return best.dropDuplicates(["_i"]).select("row.*")
