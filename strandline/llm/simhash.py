@@ -97,6 +97,8 @@ def spanning_links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     """
     x = np.unique(fps.astype(np.int64)).view(np.uint64)
     pivots = np.array(REFERENCES, dtype=np.int64).view(np.uint64)
+    if len(x) == 2:                                 # the most common key
+        return [(int(fps.min()), int(fps.max()))] if np.bitwise_count(x[0] ^ x[1]) <= radius else []
     table = np.bitwise_count(x[:, None] ^ pivots[None, :]).astype(np.int8)
     rest, links = np.arange(len(x)), []
     while len(rest):
@@ -124,7 +126,9 @@ def _links(groups: DataFrame, radius: int) -> DataFrame:
             for members in b["fps"]:
                 if links := spanning_links(np.asarray(members), radius):
                     yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-    return groups.mapInPandas(find, "a long, b long")
+    # keys are few bytes but real work: dealt out by number, or they would be merged into one task
+    spread = groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(find, "a long, b long")
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, large: int = LARGE_KEY) -> DataFrame:
