@@ -116,7 +116,10 @@ def test_mixed_families_are_not_safe(spark):
 
 
 def test_key_cap(spark):
-    p = profile(spark, [f'{{"k{i:05d}": 1}}' for i in range(4098)])
+    texts = [f'{{"k{i:05d}": 1}}' for i in range(4098)]
+    whole = profile(spark, texts)                    # no limit unless one is asked for
+    assert len(whole) == 4098 and {r["schema_inference"] for r in whole.values()} == {"full"}
+    p = profile(spark, texts, max_keys=4096)
     assert len(p) == 4096 and not any(r["safe"] for r in p.values())
     assert {r["schema_inference"] for r in p.values()} == {"sampled"} and "k04096" not in p
 
