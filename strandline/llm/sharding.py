@@ -5,11 +5,13 @@ rows that each partition sends to each shard is drawn from the hypergeometric
 law, so that the shards have their exact sizes before a row has moved.  Inside a
 partition a random order decides which rows make up each share; after the
 exchange a second random order gives the place in the shard.  Only the matrix of
-counts (partitions x shards) passes through the driver.
+counts (partitions x shards) passes through the driver.  The number of virtual partitions
+grows with the rows, so that a partition stays a task's worth of work.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
@@ -19,7 +21,9 @@ from pyspark.sql.window import Window
 
 from ..workspace import materialise
 
-PARTITIONS = 256
+#: Least and most virtual partitions, and the rows one holds on average before their number doubles.
+PARTITIONS, MOST_PARTITIONS = 1 << 8, 1 << 16
+ROWS_PER_PARTITION = 1 << 20
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -72,8 +76,14 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return matrix
 
 
+def partition_bits(total: int, rows: int = ROWS_PER_PARTITION) -> int:
+    """Binary logarithm of the number of virtual partitions for ``total`` rows."""
+    wanted = max(1, -(-total // rows))
+    return min(MOST_PARTITIONS.bit_length() - 1, max(PARTITIONS.bit_length() - 1, (wanted - 1).bit_length()))
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int, identity: list[Column], seed: int = 0,
-                        partitions: int = PARTITIONS) -> DataFrame:
+                        rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
     """The columns of ``rows`` in a struct ``row``, with ``shard`` and ``slot``.
 
     ``identity`` are the columns that tell rows apart; equal rows are
@@ -88,23 +98,26 @@ def shuffle_into_shards(rows: DataFrame, shards: int, identity: list[Column], se
     dealt = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
                         F.xxhash64(F.lit(seed), *identity).alias("h1"),
                         F.xxhash64(F.lit(seed + 1), *identity).alias("h2"))
-    part = F.pmod(F.col("h1"), F.lit(partitions)).cast("int")
-    sizes = dealt.groupBy(part.alias("p")).count().collect()            # one row per virtual partition
-    counts = [0] * partitions
-    for p, n in sizes:
-        counts[p] = n
+    # counted in the finest partitions, at most MOST_PARTITIONS rows; coarser ones are sums of these
+    fine = dealt.groupBy(F.pmod("h1", F.lit(MOST_PARTITIONS)).cast("int").alias("p")).count().collect()
+    bits = partition_bits(sum(n for _, n in fine), rows_per_partition)
+    counts = [0] * (1 << bits)
+    for p, n in fine:
+        counts[p % len(counts)] += n
     matrix = communication_matrix(counts, shards, seed)
-    # the last rank of each share, partition by partition
-    ends = F.array(*[F.array(*[F.lit(int(sum(line[:s + 1]))) for s in range(shards)]) for line in matrix])
+    # the last rank of each share, partition by partition: one folded constant
+    ends = F.split(F.lit(",".join(str(e) for line in matrix for e in itertools.accumulate(line))), ",") \
+        .cast("array<bigint>")
     local = Window.partitionBy("p").orderBy("h2", "h1")
-    placed = (dealt.withColumn("p", part).withColumn("rank", F.row_number().over(local))
-              .withColumn("shard", F.size(F.filter(F.element_at(ends, F.col("p") + 1),
-                                                   lambda e: e < F.col("rank"))).cast("int")))
+    mine = F.slice(ends, F.col("p") * shards + 1, shards)
+    placed = (dealt.withColumn("p", F.pmod("h1", F.lit(len(counts))).cast("int"))
+              .withColumn("rank", F.row_number().over(local))
+              .withColumn("shard", F.size(F.filter(mine, lambda e: e < F.col("rank"))).cast("int")))
     # the second order: cut into pieces by the high bits of a fresh hash, so that a shard is many tasks
     again = F.xxhash64(F.lit(seed + 2), F.col("h2"), F.col("h1"))
     placed = placed.select("row", "shard", "h1", again.alias("h3"),
-                           F.shiftrightunsigned(again, 64 - 8).cast("int").alias("piece"))
-    pieces = materialise(placed.groupBy("shard", "piece").count(), "shard-pieces")   # at most shards x 256 rows
+                           F.shiftrightunsigned(again, 64 - bits).cast("int").alias("piece"))
+    pieces = materialise(placed.groupBy("shard", "piece").count(), "shard-pieces")   # shards x partitions rows
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = pieces.select("shard", "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     inner = Window.partitionBy("shard", "piece").orderBy("h3", "h1")

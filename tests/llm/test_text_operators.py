@@ -356,6 +356,14 @@ def test_sharding(docs, none):
     assert sharding.shuffle_into_shards(none, 4, [F.col("doc_id")]).count() == 0
 
 
+def test_sharding_grows(spark):
+    assert [sharding.partition_bits(n) for n in (0, 1 << 28, (1 << 28) + 1, 3 * 10 ** 10, 10 ** 15)] == [8, 8, 9, 15, 16]
+    out = sharding.shuffle_into_shards(spark.range(3000), 7, [F.col("id")], rows_per_partition=4).collect()
+    sizes = collections.Counter(r["shard"] for r in out)
+    assert sorted(r["row"]["id"] for r in out) == list(range(3000)) and set(sizes.values()) == {428, 429}
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+
+
 # --- classifier --------------------------------------------------------------------------------
 
 def test_classifier(spark, docs, none):
