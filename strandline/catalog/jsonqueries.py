@@ -155,16 +155,31 @@ _ENTRY = " UNION ALL ".join([
 
 @query("js_schemaless", _ENTRY + " UNION ALL SELECT o_orderkey, 'total', CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), 2 FROM orders")
 def _entries(spark, sf):
-    e = jsonops.json_entries(order_docs(spark, sf), "doc", ["o_orderkey"])
-    # the variant drops trailing zeros; show the amount with the two digits it was written with
-    two = F.when(F.col("key") == "total", F.col("value").cast("decimal(12,2)").cast("string")).otherwise(F.col("value"))
-    return e.select("o_orderkey", "key", two.alias("value"), "type")
+    return jsonops.json_entries(order_docs(spark, sf), "doc", ["o_orderkey"])
+
+
+@query("js_exact_numbers", """WITH o AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS c, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR) AS t FROM orders)
+  SELECT o_orderkey, 'tiny' AS key, c || 'e-7' AS value, 2 AS type FROM o UNION ALL SELECT o_orderkey, 'long', t || '00', 2 FROM o
+  UNION ALL SELECT o_orderkey, 'text', '1.50', 1 FROM o UNION ALL SELECT o_orderkey, 'nest', '{"y":[' || c || '.50,"1.50"]}', 5 FROM o
+  UNION ALL SELECT o_orderkey, 'y.0', c || '.50', NULL FROM o UNION ALL SELECT o_orderkey, 'y.1', '1.50', NULL FROM o
+  UNION ALL SELECT o_orderkey, '$.tiny', c || 'e-7', NULL FROM o UNION ALL SELECT o_orderkey, '$.nest.y', '[' || c || '.50,"1.50"]', NULL FROM o""")
+def _exact_entries(spark, sf):
+    c, t = F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("decimal(12,2)").cast("string")
+    doc = F.concat(F.lit('{"tiny":'), c, F.lit('e-7,"long":'), t, F.lit('00,"text":"1.50","nest":{"y":['), c, F.lit('.50,"1.50"]}}'))
+    d = table(spark, sf, "orders").select("o_orderkey", doc.alias("doc"))
+    inner = jsonops.json_expand(d, "doc", ["o_orderkey"], "$.nest").select(
+        "o_orderkey", F.concat_ws(".", "parent_key", "child_key").alias("key"), F.col("child_value").alias("value"))
+    paths = d.select("o_orderkey", F.inline(F.array(
+        F.struct(F.lit("$.tiny").alias("key"), jsonops.json_value(F.col("doc"), "$.tiny").alias("value")),
+        F.struct(F.lit("$.nest.y").alias("key"), jsonops.json_query(F.col("doc"), "$.nest.y").alias("value")))))
+    return jsonops.json_entries(d, "doc", ["o_orderkey"]).unionByName(
+        inner.unionByName(paths).withColumn("type", F.lit(None).cast("int")))
 
 
 @query("jn_lateral", "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def _lateral(spark, sf):
     e = jsonops.apply_json(table(spark, sf, "events"), "props", ["event_id"])
-    return e.select("event_id", "key", F.col("value").cast("string").alias("value"))
+    return e.select("event_id", "key", "value")
 
 
 @query("js_nested_expand", """SELECT o_orderkey, 'tags' AS parent_key, CAST(i AS VARCHAR) AS child_key, ['a','b'][i + 1] AS child_value

@@ -174,7 +174,8 @@ def _ascii(spark, sf):
         "doc_id", detect.utf8_class(F.encode("text", "UTF-8"), F.lit(False)).alias("encoding"))
 
 
-@query("enc_legacy")
+@query("enc_legacy", """SELECT lang, CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'cp1252' END AS encoding,
+  '1252' AS codepage, count(*) AS n FROM documents GROUP BY 1, 2""")
 def _legacy(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "windows-1252").alias("head"))
     e = detect.detect_encoding(d)

@@ -1,4 +1,4 @@
-"""Strict JSON parsing on top of the variant functions."""
+"""JSON text: strict parsing on top of the variant functions, and exact number literals."""
 
 from __future__ import annotations
 
@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .tokens import bind
 
+MARK = "\u0001"
+# Numbers whose text the JSON functions would rewrite: fractions, exponents, very long ones.
+LOSSY_NUMBER = r"[0-9](?:\.|[eE])|[0-9]{18}"
+# A tagged number inside the JSON text of a nested value.
+TAGGED_INSIDE = r'"\\u0001(-?[0-9][0-9.eE+-]*)"'
+# Up to the next number outside strings (possessive, so linear and without recursion).
+NEXT_NUMBER = r'\G((?:[^"\d-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?\d[\d.eE+-]*+)'
+
 
 def parse_document(doc: Column) -> Column:
     """Variant of a document, null unless the whole text is one JSON value.
@@ -21,3 +29,38 @@ def parse_document(doc: Column) -> Column:
     return bind(wrapped, lambda w: F.when(
         F.try_variant_get(w, "$[1]", "variant").isNull() & (no_bracket | in_object),
         F.try_variant_get(w, "$[0]", "variant")))
+
+
+def needs_tags(doc: Column) -> Column:
+    return doc.rlike(LOSSY_NUMBER) | doc.contains("\\u0001") | doc.contains(MARK)
+
+
+def tag_numbers(doc: Column) -> Column:
+    """Document whose numbers are strings with a mark in front, so that the JSON
+    functions keep their exact text (``1.2300``, ``1e-7``).
+
+    Only documents that hold such a number are rewritten.  A string that starts
+    with the mark itself gets a second one, which ``exact_text`` takes off again.
+    """
+    doubled = F.replace(F.replace(doc, F.lit("\\u0001"), F.lit("\\u0001\\u0001")),
+                        F.lit(MARK), F.lit("\\u0001\\u0001"))
+    tagged = F.regexp_replace(doubled, NEXT_NUMBER, "$1\"\\\\u0001$2\"")
+    return F.when(needs_tags(doc), tagged).otherwise(doc)
+
+
+def parse_exact(doc: Column) -> Column:
+    """``parse_document`` with tagged numbers.  Text that only the tags would make valid (``1.2.3``) stays null."""
+    return F.when(~needs_tags(doc) | F.try_parse_json(doc).isNotNull(), parse_document(tag_numbers(doc)))
+
+
+def is_tagged(text: Column) -> Column:
+    return text.startswith(MARK) & ~text.startswith(MARK + MARK)
+
+
+def exact_text(t: Column, text: Column) -> Column:
+    """Text of a value of variant type ``t`` without tags."""
+    nested = F.replace(F.regexp_replace(text, TAGGED_INSIDE, "$1"), F.lit("\\u0001\\u0001"), F.lit("\\u0001"))
+    return (F.when((t == "STRING") & text.contains(MARK), F.when(
+                is_tagged(text), F.substring(text, F.lit(2), F.length(text)))
+                .otherwise(F.replace(text, F.lit(MARK + MARK), F.lit(MARK))))
+            .when((t != "STRING") & text.contains("\\u0001"), nested).otherwise(text))

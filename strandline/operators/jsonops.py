@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsontext import parse_document
+from ..functions.jsontext import MARK, exact_text, is_tagged, needs_tags, parse_document, parse_exact, tag_numbers
+from ..functions.tokens import bind
 
 # Entry type codes: 0 null, 1 string, 2 number, 3 bool, 4 array, 5 object.
 
@@ -36,35 +37,45 @@ def spark_path(name: str) -> str:
     return f"$[{quote}{name}{quote}]"
 
 
+def _parts(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
+    """``(keep..., key, value, text, type)`` of the entries of variant ``col``; ``value`` still has its number tags,
+    ``text`` is exact.  Without entries no row."""
+    rows = df.lateralJoin(df.sparkSession.tvf.variant_explode(F.col(col).outer()))
+    key = F.coalesce(F.replace("key", F.lit(MARK + MARK), F.lit(MARK)), F.col("pos").cast("string"))
+    typed = rows.select(*keep, key.alias("key"), "pos", "value", F.schema_of_variant("value").alias("t"),
+                        F.col("value").try_cast("string").alias("s"))
+    kind = F.when(F.col("t") == "STRING", F.when(is_tagged(F.col("s")), 2).otherwise(1)) \
+        .when(F.col("t").isNotNull(), entry_type(F.col("value")))
+    return typed.select(*keep, "key", "pos", "value", exact_text(F.col("t"), F.col("s")).alias("text"), kind.alias("type"))
+
+
 def apply_json(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     """Lateral apply: every top-level entry of every document as a row
-    ``(keep..., pos, key, value variant)``."""
-    v = df.select(*keep, parse_document(F.col(col)).alias("v"), F.json_object_keys(col).alias("names"))
-    tvf = df.sparkSession.tvf
-    rows = v.lateralJoin(tvf.variant_explode(F.col("v").outer()))
+    ``(keep..., pos, key, value, type)``; numbers keep the text they were written with."""
+    v = df.select(*keep, parse_exact(F.col(col)).alias("v"), F.json_object_keys(col).alias("names"))
+    rows = _parts(v, "v", [*keep, "names"])
     # a variant keeps its keys sorted; the position is the one in the text
     pos = F.coalesce(F.array_position("names", F.col("key")).cast("int") - 1, F.col("pos"))
-    return rows.select(*keep, pos.alias("pos"), F.coalesce("key", F.col("pos").cast("string")).alias("key"), "value")
+    return rows.select(*keep, pos.alias("pos"), "key", F.col("text").alias("value"), "type")
 
 
 def json_entries(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
-    """``(keep..., key, value, type)`` without a schema."""
-    e = apply_json(df, col, keep)
-    kind = entry_type(F.col("value"))
-    return e.select(*keep, "key", F.col("value").try_cast("string").alias("value"), kind.alias("type"))
+    """``(keep..., key, value, type)`` without a schema; none for what is no JSON."""
+    return apply_json(df, col, keep).drop("pos")
+
+
+def _at(c: Column, path: str) -> Column:
+    """Variant at a path, numbers tagged; null for text that is no JSON."""
+    return F.try_variant_get(F.when(~needs_tags(c) | F.try_parse_json(c).isNotNull(),
+                                    F.try_parse_json(tag_numbers(c))), path, "variant")
 
 
 def json_expand(df: DataFrame, col: str, keep: Sequence[str], path: str = "$") -> DataFrame:
     """Entries of the nested column at ``path``: ``(keep..., parent_key, child_key, child_value)``."""
-    tvf = df.sparkSession.tvf
-    v = df.select(*keep, F.try_variant_get(F.try_parse_json(col), path, "variant").alias("v"))
-    p = (v.lateralJoin(tvf.variant_explode(F.col("v").outer()))
-         .select(*keep, F.coalesce("key", F.col("pos").cast("string")).alias("parent_key"),
-                 F.col("value").alias("v"))
-         .filter(entry_type(F.col("v")).isin(4, 5)))
-    return (p.lateralJoin(tvf.variant_explode(F.col("v").outer()))
-            .select(*keep, "parent_key", F.coalesce("key", F.col("pos").cast("string")).alias("child_key"),
-                    F.col("value").try_cast("string").alias("child_value")))
+    parents = _parts(df.select(*keep, _at(F.col(col), path).alias("v")), "v", keep).filter(F.col("type").isin(4, 5))
+    nested = parents.select(*keep, F.col("key").alias("parent_key"), F.col("value").alias("v"))
+    return _parts(nested, "v", [*keep, "parent_key"]).select(
+        *keep, "parent_key", F.col("key").alias("child_key"), F.col("text").alias("child_value"))
 
 
 def is_json(c: Column) -> Column:
@@ -93,15 +104,15 @@ def json_set(c: Column, key: str, value: Column) -> Column:
 
 
 def json_value(c: Column, path: str) -> Column:
-    """Scalar at a path as text; objects and arrays give null."""
-    v = F.try_variant_get(F.try_parse_json(c), path, "variant")
-    return F.when(~entry_type(v).isin(0, 4, 5), v.try_cast("string"))
+    """Scalar at a path as text, numbers as written; objects and arrays give null."""
+    return bind(_at(c, path), lambda v: F.when(
+        ~entry_type(v).isin(0, 4, 5), exact_text(F.schema_of_variant(v), v.try_cast("string"))))
 
 
 def json_query(c: Column, path: str) -> Column:
-    """Object or array at a path as JSON text; scalars give null."""
-    v = F.try_variant_get(F.try_parse_json(c), path, "variant")
-    return F.when(entry_type(v).isin(4, 5), F.to_json(v))
+    """Object or array at a path as JSON text, numbers as written; scalars give null."""
+    return bind(_at(c, path), lambda v: F.when(
+        entry_type(v).isin(4, 5), exact_text(F.schema_of_variant(v), F.to_json(v))))
 
 
 def shred(df: DataFrame, col: str, schema: T.StructType | str, keep: Sequence[str] = ()) -> DataFrame:

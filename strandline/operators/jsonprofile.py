@@ -8,36 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
+from ..functions.jsontext import exact_text, is_tagged, tag_numbers
 from ..functions.lookups import MAX_NUMERIC_TOKEN
 from ..workspace import spread_small
 from . import infer
 
 # Families as bits of the per-key evidence mask.
 BOOLEAN, NUMERIC, STRING, OBJECT, ARRAY = (1 << i for i in range(5))
-MARK = "\u0001"
-# Numbers whose text the JSON functions would rewrite: fractions, exponents, very long ones.
-LOSSY_NUMBER = r"[0-9](?:\.|[eE])|[0-9]{18}"
-# A tagged number inside the JSON text of a nested value.
-TAGGED_INSIDE = r'"\\u0001(-?[0-9][0-9.eE+-]*)"'
-# Up to the next number outside strings (possessive, so linear and without recursion).
-NEXT_NUMBER = r'\G((?:[^"\d-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?\d[\d.eE+-]*+)'
-
-
-def tag_numbers(doc: Column) -> Column:
-    """Document whose numbers are strings with a mark in front, so that the JSON
-    functions keep their exact text (``1.2300``, ``1e-7``).
-
-    Only documents that hold such a number are rewritten.  A string that starts
-    with the mark itself gets a second one, which ``untag`` takes off again.
-    """
-    doubled = F.replace(F.replace(doc, F.lit("\\u0001"), F.lit("\\u0001\\u0001")),
-                        F.lit(MARK), F.lit("\\u0001\\u0001"))
-    tagged = F.regexp_replace(doubled, NEXT_NUMBER, "$1\"\\\\u0001$2\"")
-    return F.when(doc.rlike(LOSSY_NUMBER) | doc.contains("\\u0001"), tagged).otherwise(doc)
-
-
-def _is_tagged(text: Column) -> Column:
-    return text.startswith(MARK) & ~text.startswith(MARK + MARK)
 
 
 def json_fields(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_id: str = "row_id") -> DataFrame:
@@ -56,15 +33,10 @@ def json_fields(docs: DataFrame, by: Sequence[str] = (), doc: str = "doc", row_i
                                F.col("value").try_cast("string").alias("text"))
     t, text = F.col("t"), F.col("text")
     family = (F.when(t == "VOID", F.lit(0)).when(t == "BOOLEAN", F.lit(BOOLEAN))
-              .when((t == "STRING") & _is_tagged(text), F.lit(NUMERIC))
+              .when((t == "STRING") & is_tagged(text), F.lit(NUMERIC))
               .when(t == "STRING", F.lit(STRING)).when(t.startswith("OBJECT"), F.lit(OBJECT))
               .when(t.startswith("ARRAY"), F.lit(ARRAY)).otherwise(F.lit(NUMERIC)))
-    nested = F.replace(F.regexp_replace(text, TAGGED_INSIDE, "$1"), F.lit("\\u0001\\u0001"), F.lit("\\u0001"))
-    token = (F.when((t == "STRING") & text.contains(MARK), F.when(
-                 _is_tagged(text), F.substring(text, 2, F.length(text)))
-                 .otherwise(F.replace(text, F.lit(MARK + MARK), F.lit(MARK))))
-             .when((t != "STRING") & text.contains("\\u0001"), nested).otherwise(text))
-    return with_type.select(*by, row_id, "pos", "key", family.alias("family"), token.alias("token"))
+    return with_type.select(*by, row_id, "pos", "key", family.alias("family"), exact_text(t, text).alias("token"))
 
 
 def _explode_variant():

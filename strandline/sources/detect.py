@@ -79,51 +79,53 @@ def utf8_class(head: Column, truncated: Column) -> Column:
     return F.when(ascii_only & (n > 0), F.lit("ascii")).when((n > 0) & (valid(0) | cut), F.lit("utf-8"))
 
 
-# Legacy codecs that are tried, with the code-point ranges their text uses.
-LEGACY_CODECS = [
-    ("cp932", [(0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFF00, 0xFFEF)]),
-    ("euc-jp", [(0x3000, 0x30FF), (0x4E00, 0x9FFF)]),
-    ("gbk", [(0x4E00, 0x9FFF), (0x3000, 0x303F)]),
-    ("big5", [(0x4E00, 0x9FFF), (0x3000, 0x303F)]),
-    ("cp1251", [(0x0410, 0x044F), (0x0401, 0x0401), (0x0451, 0x0451)]),
-    ("cp1252", [(0x00C0, 0x00FF), (0x2013, 0x2022), (0x20AC, 0x20AC)]),
-]
-
-
-@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()),
-                            T.StructField("confidence", T.DoubleType())]))
-def legacy_charset(head: pd.Series) -> pd.DataFrame:
-    """Best legacy codec of a sample: strict decoding, then the share of its
-    non-ASCII characters that lie in the codec's own script."""
-    def guess(raw):
-        best = ("cp1252", 0.4)
-        if raw is None:
-            return best
-        for codec, ranges in LEGACY_CODECS:
-            try:
-                text = raw.decode(codec)
-            except UnicodeDecodeError as e:
-                if e.start < len(raw) - 3:
-                    continue
-                text = raw[:e.start].decode(codec)
-            wide = [ord(ch) for ch in text if ord(ch) >= 0x80]
-            if not wide:
-                continue
-            share = sum(any(a <= c <= b for a, b in ranges) for c in wide) / len(wide)
-            kana = sum(0x3041 <= c <= 0x30FE for c in wide) / len(wide)
-            plain = sum(ch.isascii() and ch.isalpha() for ch in text)
-            # single-byte codecs decode anything: Cyrillic text must be mostly
-            # Cyrillic letters, Western text mostly ASCII ones
-            if codec == "cp1251":
-                score = 0.8 * share * len(wide) / (len(wide) + plain)
-            elif codec == "cp1252":
-                score = 0.75 * share * min(1.0, 2 * plain / (len(wide) + plain))
-            else:
-                score = share * (0.85 + 0.14 * kana)
-            if score > best[1]:
-                best = (codec, round(score, 4))
-        return best
-    return pd.DataFrame([guess(x) for x in head], columns=["encoding", "confidence"])
+# Byte pairs of the wide legacy codecs, and the pairs that are kana there.
+SJIS_PAIR, SJIS_KANA, SJIS_HALF = r"[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]", r"\x82[\x9F-\xF1]|\x83[\x40-\x96]", r"[\xA1-\xDF]"
+EUC_PAIR, EUC_KANA = r"[\xA1-\xFE]{2}", r"\xA4[\xA1-\xF3]|\xA5[\xA1-\xF6]"
+GBK_PAIR, GB2312_PAIR = r"[\x81-\xFE][\x40-\x7E\x80-\xFE]", r"[\xA1-\xF7][\xA1-\xFE]"
+BIG5_PAIR = r"[\xA1-\xF9][\x40-\x7E\xA1-\xFE]"
+CYRILLIC, WESTERN = r"[\xA8\xB8\xC0-\xFF]", r"[\x80\x91-\x97\xC0-\xFF]"
+
+
+def legacy_charset(head: Column) -> Column:
+    """``struct(encoding, confidence)``: the legacy codec that a sample's bytes look like.
+
+    A wide codec must explain every byte above 127 with its pairs (the last one may be cut), and at least half of the
+    pairs must follow one another: in Western text such bytes stand alone among letters, where they also form
+    valid pairs.  Kana tell the Japanese codecs from the Chinese ones; text that is nearly all Cyrillic letters
+    (four at least) comes before both.
+    """
+    number = lambda x, p: F.length(x) - F.length(F.regexp_replace(x, p, ""))
+
+    def facts(x: Column) -> Column:
+        def wide(name: str, pair: str, also: str = "") -> list[Column]:
+            rest = F.regexp_replace(x, f"{pair}|{also}" if also else pair, "")
+            return [(~F.regexp_replace(rest, r"[\x80-\xFF]$", "").rlike(r"[\x80-\xFF]")
+                     & (2 * number(x, f"(?:{pair}){{2,}}") >= number(x, pair)) & x.rlike(pair)).alias(name)]
+        return F.struct(
+            number(x, r"[\x80-\xFF]").alias("high"), number(x, "[A-Za-z]").alias("letters"),
+            number(x, CYRILLIC).alias("cyrillic"), number(x, WESTERN).alias("western"),
+            number(x, SJIS_KANA).alias("sjis_kana"), number(x, EUC_KANA).alias("euc_kana"),
+            *wide("sjis", SJIS_PAIR, SJIS_HALF), *wide("euc", EUC_PAIR), *wide("gbk", GBK_PAIR),
+            *wide("gb2312", GB2312_PAIR), *wide("big5", BIG5_PAIR))
+
+    def choose(n: Column) -> Column:
+        high = F.greatest(n["high"], F.lit(1))
+        share = lambda c: n[c] / high
+        found = lambda name, confidence: F.struct(
+            F.lit(name).alias("encoding"), F.round(confidence, 4).cast("double").alias("confidence"))
+        kana = lambda c: 0.85 + 0.14 * F.least(share(c), F.lit(1.0))
+        plain = F.least(F.lit(1.0), 2.0 * n["letters"] / (high + n["letters"]))
+        return (F.when((share("cyrillic") >= 0.9) & (n["high"] > n["letters"]) & (high >= 4),
+                       found("cp1251", 0.8 * share("cyrillic") * high / (high + n["letters"])))
+                .when(n["sjis"] & (share("sjis_kana") >= 0.1) & (n["sjis_kana"] >= n["euc_kana"]),
+                      found("cp932", kana("sjis_kana")))
+                .when(n["euc"] & (share("euc_kana") >= 0.1), found("euc-jp", kana("euc_kana")))
+                .when(n["gb2312"], found("gbk", F.lit(0.85))).when(n["big5"], found("big5", F.lit(0.85)))
+                .when(n["sjis"], found("cp932", F.lit(0.85))).when(n["gbk"], found("gbk", F.lit(0.85)))
+                .otherwise(found("cp1252", F.greatest(F.lit(0.4), 0.75 * share("western") * plain))))
+    guess = tk.bind(F.decode(head, "ISO-8859-1"), lambda x: tk.bind(facts(x), choose))
+    return F.when(head.isNull(), F.struct(F.lit("cp1252").alias("encoding"), F.lit(0.4).alias("confidence"))).otherwise(guess)
 
 
 def detect_encoding(df: DataFrame, head: str = "head", truncated: str | None = None) -> DataFrame:
@@ -139,16 +141,14 @@ def detect_encoding(df: DataFrame, head: str = "head", truncated: str | None = N
             .when(utf8_class(h, cut).isNotNull(),
                   F.struct(utf8_class(h, cut).alias("encoding"), F.lit(1.0).alias("confidence"))))
     settled = df.withColumn("_sure", sure)
-    # only unsettled heads reach the Python worker; the others pass a null
-    guess = legacy_charset(F.when(F.col("_sure").isNull(), h))
-    both = settled.withColumn("_guess", guess).withColumn("_e", F.coalesce("_sure", "_guess"))
+    both = settled.withColumn("_e", F.coalesce("_sure", legacy_charset(h)))
     percent = F.round(F.col("_e.confidence") * 100).cast("int")
     return (both.withColumn("encoding", F.col("_e.encoding"))
             .withColumn("encoding_confidence", percent)
             .withColumn("codepage", codepage(F.col("_e.encoding")))
             .withColumn("encoding_warning", F.when(
                 F.col("_e.confidence") < 0.5, F.lit("Encoding could not be determined reliably.")))
-            .drop("_sure", "_guess", "_e"))
+            .drop("_sure", "_e"))
 
 
 def codepage(encoding: Column) -> Column:

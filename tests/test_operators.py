@@ -230,3 +230,14 @@ def test_links_only_from_real_anchors(spark):
             "<a data-href=/none>d</a>")
     df = spark.createDataFrame([(1, "https://h.example/", page)], "page_id long, url string, html string")
     assert [r["url"] for r in html.page_links(df).collect()] == ["https://h.example/yes"]
+
+
+def test_exact_json_numbers(spark):
+    from strandline.operators import jsonops
+    docs = [(1, None), (2, '{"a":1.2.3}'), (3, '{"a":1e-7,"b":"1.50","c":[1.2300,"x"],"d":null}'), (4, '{"a":1.5} 2'),
+            (5, '{"\\u0001k":"\\u00011","z":1.0}'), (6, "[1.20]")]
+    df = spark.createDataFrame(docs, "id long, doc string")
+    got = {(r["id"], r["key"]): (r["value"], r["type"]) for r in jsonops.json_entries(df, "doc", ["id"]).collect()}
+    assert got == {(3, "a"): ("1e-7", 2), (3, "b"): ("1.50", 1),
+                   (3, "c"): ('[1.2300,"x"]', 4), (3, "d"): (None, 0),
+                   (5, "\u0001k"): ("\u00011", 1), (5, "z"): ("1.0", 2), (6, "0"): ("1.20", 2)}

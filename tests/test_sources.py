@@ -310,3 +310,12 @@ def test_wide_parquet_keeps_all_readable_columns(spark, tmp_path):
     f = columnar.parquet_footers(inventory.inventory(spark, p))
     rows, left_out = columnar.read_parquet_tolerant(spark, f, [p])
     assert len(rows.columns) == 1500 and left_out == ["t"]
+
+
+@pytest.mark.parametrize("text,codec", [
+    ("Le café très élégant où l'été a créé une forêt", "cp1252"), ("Größe und Übermaß für die Straße", "cp1252"),
+    ("ÉÉ", "cp1252"), ("Привет, это русский текст", "cp1251"), ("これは日本語の文章です。", "cp932"), ("これは日本語の文章です。", "euc-jp"),
+    ("这是一个中文句子，用来测试编码。", "gbk"), ("這是一個中文句子，用來測試編碼。", "big5")])
+def test_legacy_charset(spark, text, codec):
+    df = spark.createDataFrame([(bytearray(text.encode(codec)),)], "head binary")
+    assert df.select(detect.legacy_charset(F.col("head")).alias("g")).first()["g"]["encoding"] == codec
