@@ -35,14 +35,11 @@ REFERENCES = [int(np.uint64(((i + 1) * 0x9E3779B97F4A7C15) % (1 << 64)).astype(n
 CHUNK = 1 << 14
 
 
-def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Signed 64 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
+def shingle_hashes(data: bytes | None, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of the shingles in text order, in parts; a text of fewer words is one shingle, one without words has none."""
     ws = (data or b"").lower().split()              # ASCII letters and blanks only
-    if not ws:
-        return 0
     h = xxhash.xxh64_intdigest
-    n = max(1, len(ws) - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
+    n = max(1, len(ws) - shingle + 1) if ws else 0
     for at in range(0, n, CHUNK):
         part = ws[at:min(at + CHUNK, n) + shingle - 1]
         if len(part) < shingle:
@@ -52,7 +49,15 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
             ends = list(itertools.accumulate(len(w) + 1 for w in part))
             starts = [0, *ends]
             hashes = [h(line[a:b - 1], seed) for a, b in zip(starts, ends[shingle - 1:])]
-        bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        yield np.array(hashes, dtype="<u8")
+
+
+def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Signed 64 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for hashes in shingle_hashes(data, shingle, seed):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        n += len(hashes)
         ones += bits.sum(axis=0, dtype=np.int64)
     value = sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
     return value - (1 << 64) if value >> 63 else value
@@ -159,13 +164,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def component_ids(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp, component_id`` for ``doc_id, fp`` rows."""
+    """``fp, component, component_id`` for ``doc_id, fp`` rows; ``component`` is the smallest fingerprint."""
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     parts = components(near_links(fps.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
     joined = fps.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return materialise(joined.select("fp", "component").join(least, "component").select("fp", "component_id"),
-                       "components")
+    return materialise(joined.select("fp", "component").join(least, "component")
+                       .select("fp", "component", "component_id"), "components")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -174,14 +179,21 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
     Of rows with the same smallest id one stays (that of the smallest text hash); rows without id stay only if their
     component has no id at all, one of them.  Columns are unchanged.
     """
-    text_hash = F.xxhash64(text)
-    marked = materialise(docs.select(F.col(doc_id).alias("doc_id"), text_hash.alias("text_hash"),
+    marked = materialise(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                                      fingerprint_column(F.col(text), **options).alias("fp")), "fingerprints")
-    ids = component_ids(marked.select("doc_id", "fp"))
-    kept = (marked.join(ids, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-            .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    ids = component_ids(marked.select("doc_id", "fp")).select("fp", "component")
+    return first_rows(docs, marked.join(ids, "fp"), text, doc_id)
+
+
+def first_rows(docs: DataFrame, parts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of ``docs`` for each component of ``parts (doc_id, text_hash, component)``, ids before no id.
+
+    Ids may repeat in several components, or be missing there; equal texts are in one component.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    kept = parts.groupBy("component").agg(F.min(order).alias("k")) \
+        .select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_i"),
-                      text_hash.alias("_h"))
-    best = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return best.dropDuplicates(["_i"]).select("row.*")
+                      F.xxhash64(text).alias("_h"))
+    best = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    return best.dropDuplicates(["component"]).select("row.*")

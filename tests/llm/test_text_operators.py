@@ -166,6 +166,13 @@ def test_simhash(docs, none):
     assert kept[0].__fields__ == docs.columns
 
 
+def test_every_component_keeps_one_row(spark):
+    texts = [prose(120) for _ in range(3)]
+    rows = [(4, texts[0]), (4, texts[1]), (4, texts[1]), (None, texts[2]), (None, None), (9, texts[0])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[4]]))
+
+
 @pytest.mark.parametrize("large", [4096, 3])
 def test_links_of_dense_fingerprints(spark, large):
     values = set()
