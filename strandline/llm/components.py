@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..workspace import materialise
 
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for the nodes of ``edges (a, b)``.
@@ -20,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .distinct(), "edges")
     seen = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -173,6 +173,13 @@ def test_every_component_keeps_one_row(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[4]]))
 
 
+def test_components_run_until_nothing_changes(spark, monkeypatch):
+    import sys
+    monkeypatch.setattr(sys.modules[components.__module__], "ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")
+    assert {tuple(r) for r in components(edges).collect()} == {(i, 0) for i in range(51)}
+
+
 @pytest.mark.parametrize("large", [4096, 3])
 def test_links_of_dense_fingerprints(spark, large):
     values = set()
