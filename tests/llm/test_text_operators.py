@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, maintext, mixing, qualityrules, repeats, secrets, sharding, simhash, tokencounts
+from strandline.llm import decontaminate, maintext, mixing, qualityrules, repeats, secrets, sharding, similar, simhash, tokencounts
 from strandline.llm.classifier import classify, held_out
 from strandline.llm.common import slices, word_count, words
 from strandline.llm.components import components
@@ -173,6 +173,38 @@ def test_every_component_keeps_one_row(spark):
     assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[0], rows[1], rows[3], rows[4]]))
 
 
+@pytest.mark.parametrize("large", [64, 3])
+def test_one_of_similar_texts(spark, docs, none, monkeypatch, large):
+    monkeypatch.setattr(similar, "LARGE_KEY", large)
+    monkeypatch.setattr(similar, "COMMON", 4)
+    rows = [(r[0], r[1]) for r in ROWS]
+    line = "this common line is found in very many of the texts here "
+    for k in range(8):
+        base = [f"{w}{k}" for w in prose(int(RNG.integers(40, 160))).split()]
+        for _ in range(9):
+            copy = list(base)
+            for at in RNG.integers(0, len(base), int(RNG.integers(0, 5))):
+                copy[at] = f"new{RNG.integers(1 << 30)}"
+            rows.append((int(RNG.integers(0, 90)) if RNG.random() < 0.8 else None, line + " ".join(copy)))
+    sets = {t: frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := split((t or "").lower())) else frozenset()
+            for _, t in rows}
+    texts = list(sets)
+
+    def linked(a, b):
+        x, y = sets[texts[a]], sets[texts[b]]
+        return 5 * len(x & y) >= 4 * len(x | y)
+    part = plain_components(range(len(texts)), linked)
+    best = collections.defaultdict(list)
+    for i, t in rows:
+        best[part[texts.index(t)]].append(i)
+    want = [min((i for i in ids if i is not None), default=None) for ids in best.values()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = similar.one_of_similar(df.repartition(3)).collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == sorted(map(repr, want))
+    assert sorted(part[texts.index(r["text"])] for r in kept) == sorted(best)
+    assert similar.one_of_similar(none).count() == 0
+
+
 def test_components_run_until_nothing_changes(spark, monkeypatch):
     import sys
     monkeypatch.setattr(sys.modules[components.__module__], "ROUNDS", 1, raising=False)
