@@ -3,8 +3,9 @@
 Every page scores its containers: text outside links counts for the container that holds it, and half as much for
 the one around that.  A container is known by its generalised path, the tags and classes
 from the root with digits left out.  The pages of a host vote on paths with the shares of their
-scores; each page is then read again and gives the text below the winning path.  A page without
-that container, or with most of its text elsewhere, uses its own best path.
+scores; each page is then read again and gives the text of the article around the winning path: below the nearest
+article or main, or else the lowest container with nearly all of its text.  A page without that container uses its
+own best path, and one with as much text elsewhere gives both.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbo
 # Elements that never hold main text, and class, id or role words that say the same.
 DROPPED = frozenset("nav header footer aside form button select head menu dialog iframe object svg canvas video audio "
                     "noscript template".split())
+#: Share of a page's text outside links that a container needs to stand for the page.
+NEARLY_ALL = 0.9
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED_WORDS = re.compile(
@@ -180,19 +183,43 @@ def container_scores(found: list[tuple[tuple[str, ...], str, float]]) -> dict[st
     return {k: v / total for k, v in scores.items()} if total else {}
 
 
+def _below(path: str, p: str) -> bool:
+    return not p or path == p or path.startswith(p + ">")
+
+
+def whole_path(found: list[tuple[tuple[str, ...], str, float]], path: str) -> str:
+    """The container of the whole article around ``path``: the nearest article or main, else the lowest one that holds
+    nearly all text outside links."""
+    steps = path.split(">") if path else []
+    ups = [">".join(steps[:k]) for k in range(len(steps), -1, -1)]
+    for p, step in zip(ups, reversed(steps)):
+        if step.split(".")[0] in ("article", "main"):
+            return p
+    value = [(">".join(q), len(t) * (1 - linked)) for q, t, linked in found]
+    total = sum(v for _, v in value)
+    return next((p for p in ups if sum(v for q, v in value if _below(q, p)) >= NEARLY_ALL * total), "")
+
+
 def text_below(found: list[tuple[tuple[str, ...], str, float]], path: str | None) -> str:
-    """The page's text below ``path``; below its own best path if that holds over twice as much."""
-    size = lambda kept: sum(len(t) for _, t in kept)
-    below = lambda p: [(q, t) for q, t, _ in found if ">".join(q) == p or ">".join(q).startswith(p + ">" if p else "")]
-    kept = below(path) if path is not None else []
+    """The page's text in the whole article around ``path``; around its own best path too if that is elsewhere and holds
+    as much, around that alone if the page has nothing below ``path``."""
+    below = lambda p: [t for q, t, _ in found if _below(">".join(q), p)]
+    size = lambda p: sum(map(len, below(p)))
     scores = container_scores(found)
-    if scores:
-        own = below(min(scores, key=lambda p: (-round(scores[p], 9), p)))
-        if size(own) > 2 * size(kept):
-            kept = own
-    elif not kept:
-        kept = [(q, t) for q, t, linked in found if linked < 1]
-    return "\n".join(t for _, t in kept)
+    if not scores:
+        kept = below(whole_path(found, path)) if path is not None and below(path) else []
+        return "\n".join(kept or [t for _, t, linked in found if linked < 1])
+    own = whole_path(found, min(scores, key=lambda p: (-round(scores[p], 9), p)))
+    if path is None or not below(path):
+        return "\n".join(below(own))
+    best = whole_path(found, path)
+    if not _below(own, best) and size(own) >= size(best):
+        shared = 0
+        steps, others = best.split(">"), own.split(">")
+        while shared < min(len(steps), len(others)) and steps[shared] == others[shared]:
+            shared += 1
+        best = ">".join(steps[:shared])
+    return "\n".join(below(best))
 
 
 def host_of(url: Column) -> Column:

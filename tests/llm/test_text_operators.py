@@ -452,6 +452,24 @@ def test_main_text(spark, none):
     assert maintext.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<article><h1>T</h1><p>lead</p><div class=content>{long}</div></article>",
+    "<main><h1>T</h1><section class=lead>lead</section><section class=rest><p>{long}</p></section></main>",
+    "<body><div class=page><h1>T</h1><div class=one>lead {some}</div><div class=two>{long}</div></div></body>"])
+def test_main_text_is_the_whole_article(spark, page):
+    long, some = "word " * 200, "other " * 60
+    pages = [(i, f"http://w.example/{i}", MENU + page.format(long=long, some=some)) for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    lead = f"lead {some}" if "{some}" in page else "lead"
+    want = "\n".join(" ".join(t.split()) for t in ("T", lead, long))
+    assert [r["main_text"] for r in maintext.extract(df).collect()] == [want] * 3
+
+
+def test_page_with_as_much_text_elsewhere_keeps_both():
+    found = [(("body", "div.a"), "x" * 60, 0.0), (("body", "div.b"), "y" * 100, 0.0)]
+    assert maintext.text_below(found, "body>div.a") == "x" * 60 + "\n" + "y" * 100
+
+
 def plain_tokens(token, scores):
     best = [(0, 0)]
     for end in range(1, len(token) + 1):
