@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import configure
-from .common import source_table, word_count
+from .common import source_table, word_count, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,6 +161,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(source_table(spark, sf_dir, "documents"), zipf_scores(read_pieces(VOCABULARY)))
 
 
+RUNS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+      FROM documents),
+h AS (SELECT *, len(ws) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+      string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256]))),
+      lambda x, y: CASE WHEN y < 256 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END),
+      CAST(4294967295 AS BIGINT)) AS h FROM d),
+plan AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p, h % 10 = 0 AS planted FROM h WHERE n > 0),
+w AS (SELECT r, i, CASE WHEN planted AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM plan)),
+equal AS (SELECT x.r, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND x.i < y.i),
+island AS (SELECT r, q, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k, i FROM equal),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + q AS m FROM island GROUP BY r, q, k
+      HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT r, s, m, min(q) AS q FROM stretch GROUP BY r, s, m),
+best AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+      min_by({'s': s, 'm': m, 'q': q}, {'m': -m, 's': s, 'q': q}) AS top FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + m)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.m AS BIGINT) AS length,
+  CAST(top.q AS BIGINT) AS period, CAST(1000 * top.m // top.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op13_periodic_runs", RUNS_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some of which the ids plant, and what stays of its words."""
+    from .runs import find_runs, longest_run, plant_runs, runs_text
+    docs = source_table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", words(F.col("text")).alias("words"))
+    text = F.array_join(plant_runs(F.col("doc_id"), F.col("words")), " ")
+    found = find_runs(docs.select("doc_id", text.alias("text"))).withColumn("top", longest_run(F.col("runs")))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
