@@ -213,6 +213,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows, lambda v: v % 50 == 0)
 
 
+MATCHES_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT *, len(x) // 2 AS n FROM d),
+starts AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(n - 199)) AS i FROM n WHERE n >= 200)),
+hit AS (SELECT r, i FROM starts JOIN (SELECT k FROM starts GROUP BY k HAVING count(*) > 1) USING (k)),
+island AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i,
+      CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM hit)),
+span AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM island GROUP BY r, g),
+gap AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM span),
+cut AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last,
+      string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS x FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN n.x ELSE cut.x || substr(n.x, 2 * last + 1) END)) AS kept_sha256
+FROM n LEFT JOIN cut USING (r)"""
+
+
+@query("op12_byte_matches", MATCHES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a string of 200 has in common with any other place."""
+    from .suffixes import remove_matches
+    return remove_matches(source_table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op13_periodic_runs", RUNS_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of every document, some of which the ids plant, and what stays of its words."""
