@@ -75,12 +75,23 @@ def spread_small(df: DataFrame, per_core: int = SPREAD_BYTES_PER_CORE) -> DataFr
     return df.repartition(cores) if cores > 1 and size < per_core * cores else df
 
 
+#: Shuffle files go as soon as the query that wrote them ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and
-    survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    survives the loss of executors.  What the write has shuffled is not needed
+    again and is given back at once, instead of when the driver next collects garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, compression="zstd")
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.parquet(path)
 
 
 def staged(spark: SparkSession, key: tuple, write) -> str:
