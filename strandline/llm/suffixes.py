@@ -97,20 +97,48 @@ def places(length: int):
     return find
 
 
-def outer_bytes(length: int):
-    """Rows ``t, p, a, b, s, e, rank, outer`` for texts with a list of places: the outer bytes, cut at the text's ends."""
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, pa.StructArray]]:
+    """Key, text and list of places, row by row, of few rows at a time."""
+    for whole in batches:
+        for batch in slices(whole, 1, rows=128):
+            for t, text, found in zip(batch.column(0), batch.column(1), batch.column(2)):
+                yield t.as_py(), text.as_py(), found.values
+
+
+def _bounds(found: pa.StructArray, n: int, length: int) -> tuple[np.ndarray, ...]:
+    """Places, first and last offset, and the outer bytes' start and end, cut at the text's ends."""
+    p, a, b = (found.field(k).to_numpy().astype(np.int64) for k in ("p", "a", "b"))
+    return p, a, b, np.maximum(p - b, 0), np.minimum(p - a + length, n)
+
+
+def outer_digests(length: int):
+    """Rows ``t, p, a, b, s, e, rank, whole`` for texts with a list of places: the digest of the outer bytes, if a text has
+    them all."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, text, found in _listed(batches):
+            p, a, b, s, e = _bounds(found, len(text), length)
+            whole = [xxhash.xxh3_128_digest(text[i:j], k) if j - i == n else None for i, j, k, n in
+                     zip(s.tolist(), e.tolist(), a.tolist(), (b - a + length).tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t] * len(p), pa.binary()), pa.array(p, pa.int32()), found.field("a"), found.field("b"),
+                 pa.array(s, pa.int32()), pa.array(e, pa.int32()), found.field("rank"), pa.array(whole, pa.binary())],
+                ["t", "p", "a", "b", "s", "e", "rank", "whole"])
+    return find
+
+
+def margins(length: int):
+    """Rows ``t, p, a, b, s, e, rank, core, left, right``: the digest of the inner bytes and the outer ones to both sides."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, 1, rows=128):
-                for t, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    v = found.values
-                    p, a, b = (v.field(k).to_numpy().astype(np.int64) for k in ("p", "a", "b"))
-                    s, e = np.maximum(p - b, 0), np.minimum(p - a + length, len(text))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([t] * len(p), pa.binary()), pa.array(p, pa.int32()), v.field("a"), v.field("b"),
-                         pa.array(s, pa.int32()), pa.array(e, pa.int32()), v.field("rank"),
-                         pa.array([text[i:j] for i, j in zip(s.tolist(), e.tolist())], pa.binary())],
-                        ["t", "p", "a", "b", "s", "e", "rank", "outer"])
+        for t, text, found in _listed(batches):
+            p, a, b, s, e = _bounds(found, len(text), length)
+            at = list(zip(s.tolist(), (p - a).tolist(), (p - b + length).tolist(), e.tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t] * len(p), pa.binary()), pa.array(p, pa.int32()), found.field("a"), found.field("b"),
+                 pa.array(s, pa.int32()), pa.array(e, pa.int32()), found.field("rank"),
+                 pa.array([xxhash.xxh3_128_digest(text[j:k]) for _, j, k, _ in at], pa.binary()),
+                 pa.array([text[i:j] for i, j, _, _ in at], pa.binary()),
+                 pa.array([text[k:m] for _, _, k, m in at], pa.binary())],
+                ["t", "p", "a", "b", "s", "e", "rank", "core", "left", "right"])
     return cut
 
 
@@ -124,30 +152,35 @@ def reranked(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
     return materialise(many.orderBy(*keys).withColumn("next", F.monotonically_increasing_id()), name)
 
 
-def settle(rows: DataFrame, length: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """Spans (``t, s, e``) whose outer bytes occur elsewhere, and the rows that go on: one for all equal ones."""
-    full = (F.col("s") == F.col("p") - F.col("b")) & (F.col("e") == F.col("p") - F.col("a") + length)
-    rows = rows.withColumn("whole", F.when(full, digest128(F.col("outer"), F.col("a").cast("string").cast("binary"))))
+def settle(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Spans (``t, s, e``) whose outer bytes (``whole``) occur elsewhere, and the rows that go on, with the columns ``more``:
+    one for all equal ones."""
     shared = rows.where("whole IS NOT NULL").groupBy("whole") \
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p")).alias("speaker")).where("n > 1").drop("n")
     goes_on = F.col("speaker").isNull() | ((F.col("speaker.t") == F.col("t")) & (F.col("speaker.p") == F.col("p")))
-    judged = materialise(rows.join(shared, "whole", "left").select(
-        "t", "p", "a", "b", "s", "e", "rank", F.col("speaker").isNotNull().alias("hit"),
-        F.when(F.lit(not last) & goes_on, F.col("outer")).alias("outer")), "judged")
-    return judged.where("hit").select("t", "s", "e"), judged.where("outer IS NOT NULL")
+    judged = materialise(rows.join(shared, "whole", "left").withColumn("on", goes_on).where("on OR speaker IS NOT NULL").select(
+        "t", "p", "a", "b", "s", "e", F.col("speaker").isNotNull().alias("hit"), "on",
+        *[F.when(F.col("on"), F.col(c)).alias(c) for c in more]), "judged")
+    return judged.where("hit").select("t", "s", "e"), judged.where("on")
 
 
 def narrower(rows: DataFrame, width: int, length: int) -> DataFrame:
-    """Every row's narrower blocks, with the bytes by which the inner ones grow (``grown``, named by a hash)."""
+    """Every row's narrower blocks; ``grown`` names the bytes by which their inner bytes are longer."""
     firsts = F.sequence(F.col("a").cast("int"), F.col("b").cast("int"), F.lit(width))
     child = rows.withColumn("c", F.explode(firsts)).withColumn("d", F.least(F.col("c") + width - 1, F.col("b").cast("int")))
-    p, c, d = F.col("p"), F.col("c"), F.col("d")
-    child = child.where((p - c >= F.col("s")) & (p - d + length <= F.col("e")))
-    part = lambda x, y: F.substring("outer", (x - F.col("s") + 1).cast("int"), (y - x).cast("int"))
-    grown = F.xxhash64(c - F.col("a"), part(p - c, p - F.col("a")), part(p - F.col("b") + length, p - d + length))
-    start, end = F.greatest(F.col("s"), p - d), F.least(F.col("e"), p - c + length)
-    return child.select("t", "p", c.cast("short").alias("a"), d.cast("short").alias("b"), start.alias("s"), end.alias("e"),
-                        "rank", grown.alias("grown"), part(start, end).alias("outer"))
+    p, a, b, c, d, s, e = map(F.col, "pabcdse")
+    child = child.where((p - c >= s) & (p - d + length <= e))       # else no string of the block lies in the text
+    start, end = F.greatest(s, p - d), F.least(e, p - c + length)
+    part = lambda x, at, n: F.substring(x, (at + 1).cast("int"), n.cast("int"))
+    before, after = part("left", p - c - s, c - a), part("right", F.lit(0), b - d)
+    child = child.select(
+        "t", "p", c.cast("short").alias("a"), d.cast("short").alias("b"), start.alias("s"), end.alias("e"), "rank",
+        F.xxhash64(c - a, before, after).alias("grown"),
+        digest128(F.col("core"), before, after, (c - a).cast("string").cast("binary")).alias("core"),
+        part("left", start - s, p - c - start).alias("left"), part("right", b - d, end - (p - d + length)).alias("right"))
+    full = (s == p - b) & (e == p - a + length)
+    return child.withColumn("whole", F.when(full, digest128(F.col("core"), F.col("left"), F.col("right"),
+                                                            a.cast("string").cast("binary"))))
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -156,24 +189,24 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, D
 
     Spans overlap and repeat; together they cover just those bytes.
     """
+    lists = lambda rows: rows.groupBy("t").agg(F.collect_list(F.struct("p", "a", "b", "rank")).alias("found"))
     first = materialise(texts.where(F.octet_length("text") >= length).mapInArrow(
         places(length), "t binary, p int, a short, b short, inner long"), "places")
     ranks = reranked(first, ["inner"], "ranks")
-    kept = first.join(ranks, "inner").groupBy("t").agg(F.collect_list(
-        F.struct("p", "a", "b", F.col("next").alias("rank"))).alias("found"))
-    kept = materialise(kept, "places-kept")
-    held = materialise(texts.join(small(kept.select("t")), "t", "left_semi").join(kept, "t").select("t", "text", "found"), "texts-held")
-    rows = held.mapInArrow(outer_bytes(length),
-                           "t binary, p int, a short, b short, s int, e int, rank long, outer binary")
-    spans: DataFrame | None = None
-    steps = widths(length)
-    for k, width in enumerate(steps):
-        if k:
-            children = materialise(narrower(rows, width, length), "blocks")
-            ranks = reranked(children, ["rank", "grown"], "ranks")
-            rows = children.join(ranks, ["rank", "grown"]).withColumn("rank", F.col("next"))
-        hits, rows = settle(rows, length, k == len(steps) - 1)
-        spans = hits if spans is None else spans.unionAll(hits)
+    kept = materialise(lists(first.join(ranks, "inner").withColumnRenamed("next", "rank")), "places-kept")
+    held = materialise(texts.join(small(kept.select("t")), "t", "left_semi").join(kept, "t").select("t", "text", "found"),
+                       "texts-held")
+    spans, rows = settle(held.mapInArrow(outer_digests(length), "t binary, p int, a short, b short, s int, e int, rank long, "
+                                         "whole binary"), ["rank"])
+    rows = materialise(held.select("t", "text").join(lists(rows), "t").select("t", "text", "found").mapInArrow(
+        margins(length), "t binary, p int, a short, b short, s int, e int, rank long, core binary, left binary, right binary"),
+        "margins")
+    for width in widths(length)[1:]:
+        children = narrower(rows, width, length)
+        ranks = reranked(children, ["rank", "grown"], "ranks")
+        rows = children.join(ranks, ["rank", "grown"]).withColumn("rank", F.col("next"))
+        hits, rows = settle(rows, ["rank", "core", "left", "right"])
+        spans = spans.unionAll(hits)
     return spans, held.select("t", "text")
 
 
