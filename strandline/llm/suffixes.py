@@ -9,7 +9,8 @@ narrower block's inner bytes grow to both sides) and ranks them again.  What is
 occurs twice there; what has outer bytes that occur elsewhere is past the threshold and settled as a whole, one place going on for
 all equal ones.  In the last round a block is one string, inner and outer bytes are the same and nothing is left open.
 
-Ranks only choose what is compared; what is removed rests on equal 128-bit digests of outer bytes.
+Ranks only choose what is compared; what is removed rests on equal 128-bit digests of outer bytes, built up from those of inner
+bytes and the margins around them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,9 +72,17 @@ def sample_places(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return at[new], at[new] - where[last], at[new] - where[new]
 
 
+#: A place and its block in one number: place, first and last offset.
+_A, _B = 1 << 24, 1 << 12
+
+
+def _unpacked() -> tuple[Column, Column, Column]:
+    v = F.col("place")
+    return F.shiftright(v, 24), F.shiftright(v, 12).bitwiseAND(_B - 1), v.bitwiseAND(_B - 1)
+
+
 def places(length: int):
-    """Rows ``t, p, a, b, inner``: places in texts with the wide blocks (offsets a to b) that hold a string, and the digest of
-    the inner bytes."""
+    """Rows ``k, place, inner``: places in texts with the wide blocks that hold a string, and the digest of the inner bytes."""
     w, top = widths(length)[0], length - GRAM
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,133 +91,145 @@ def places(length: int):
             for batch in slices(whole, 1):
                 texts = [x.as_py() for x in batch.column(1)]
                 data = b"".join(texts)
-                ends = np.cumsum([len(x) for x in texts])
+                sizes = np.array([len(x) for x in texts])
+                ends = np.cumsum(sizes)
                 p, least, most = sample_places(data, ends, length)
                 owner = np.searchsorted(ends, p, side="right")
                 for a in range(0, top + 1, w):
                     b = min(a + w - 1, top)
                     has = (least <= b) & (most >= a)
-                    q = p[has]
+                    q, mine = p[has], owner[has]
                     inner = [digest(data[i:j], a) for i, j in zip((q - a).tolist(), (q - b + length).tolist())]
-                    mine = owner[has]
+                    place = (q - ends[mine] + sizes[mine]) * _A + a * _B + b
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(mine)), pa.array(q - (ends[mine] - np.diff(ends, prepend=0)[mine]), pa.int32()),
-                         pa.array(np.full(len(q), a, np.int16)), pa.array(np.full(len(q), b, np.int16)),
-                         pa.array(np.array(inner, np.uint64).view(np.int64))], ["t", "p", "a", "b", "inner"])
+                        [batch.column(0).take(pa.array(mine)), pa.array(place, pa.int64()),
+                         pa.array(np.array(inner, np.uint64).view(np.int64))], ["k", "place", "inner"])
     return find
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, pa.StructArray]]:
-    """Key, text and list of places, row by row, of few rows at a time."""
+def _listed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """Number, text, places, ranks and where outer and inner bytes start and end, row by row, of few rows at a time."""
     for whole in batches:
         for batch in slices(whole, 1, rows=128):
-            for t, text, found in zip(batch.column(0), batch.column(1), batch.column(2)):
-                yield t.as_py(), text.as_py(), found.values
+            for n, text, found in zip(batch.column(0), batch.column(1), batch.column(2)):
+                n, text, found = n.as_py(), text.as_py(), found.values
+                place, rank = (found.field(k).to_numpy() for k in ("place", "rank"))
+                p, a, b = place // _A, place // _B % _B, place % _B
+                here = (p >= a) & (p - b + length <= len(text))     # a list may hold places of another text, too
+                place, rank, p, a, b = (x[here] for x in (place, rank, p, a, b))
+                outer = np.maximum(p - b, 0), np.minimum(p - a + length, len(text))
+                yield n, text, place, rank, outer, (p - a, p - b + length), a
 
 
-def _bounds(found: pa.StructArray, n: int, length: int) -> tuple[np.ndarray, ...]:
-    """Places, first and last offset, and the outer bytes' start and end, cut at the text's ends."""
-    p, a, b = (found.field(k).to_numpy().astype(np.int64) for k in ("p", "a", "b"))
-    return p, a, b, np.maximum(p - b, 0), np.minimum(p - a + length, n)
+def _halves(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
 
 
 def outer_digests(length: int):
-    """Rows ``t, p, a, b, s, e, rank, whole`` for texts with a list of places: the digest of the outer bytes, if a text has
-    them all."""
+    """Rows ``n, place, rank, w1, w2`` for texts with a list of places: the digest of the outer bytes, null where the text has not
+    all of them."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, text, found in _listed(batches):
-            p, a, b, s, e = _bounds(found, len(text), length)
-            whole = [xxhash.xxh3_128_digest(text[i:j], k) if j - i == n else None for i, j, k, n in
-                     zip(s.tolist(), e.tolist(), a.tolist(), (b - a + length).tolist())]
+        for n, text, place, rank, (s, e), _, a in _listed(batches, length):
+            w = _halves([xxhash.xxh3_128_digest(text[i:j], k) for i, j, k in zip(s.tolist(), e.tolist(), a.tolist())])
+            part = pa.array(e - s < length + place % _B - a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([t] * len(p), pa.binary()), pa.array(p, pa.int32()), found.field("a"), found.field("b"),
-                 pa.array(s, pa.int32()), pa.array(e, pa.int32()), found.field("rank"), pa.array(whole, pa.binary())],
-                ["t", "p", "a", "b", "s", "e", "rank", "whole"])
+                [pa.array(np.full(len(place), n)), pa.array(place), pa.array(rank),
+                 *[pc.if_else(part, pa.scalar(None, pa.int64()), x) for x in w]], ["n", "place", "rank", "w1", "w2"])
     return find
 
 
 def margins(length: int):
-    """Rows ``t, p, a, b, s, e, rank, core, left, right``: the digest of the inner bytes and the outer ones to both sides."""
+    """Rows ``n, place, rank, c1, c2, left, right``: the digest of the inner bytes and the outer ones to both sides."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, text, found in _listed(batches):
-            p, a, b, s, e = _bounds(found, len(text), length)
-            at = list(zip(s.tolist(), (p - a).tolist(), (p - b + length).tolist(), e.tolist()))
+        for n, text, place, rank, (s, e), (i, j), a in _listed(batches, length):
+            at = list(zip(s.tolist(), i.tolist(), j.tolist(), e.tolist()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([t] * len(p), pa.binary()), pa.array(p, pa.int32()), found.field("a"), found.field("b"),
-                 pa.array(s, pa.int32()), pa.array(e, pa.int32()), found.field("rank"),
-                 pa.array([xxhash.xxh3_128_digest(text[j:k]) for _, j, k, _ in at], pa.binary()),
-                 pa.array([text[i:j] for i, j, _, _ in at], pa.binary()),
-                 pa.array([text[k:m] for _, _, k, m in at], pa.binary())],
-                ["t", "p", "a", "b", "s", "e", "rank", "core", "left", "right"])
+                [pa.array(np.full(len(place), n)), pa.array(place), pa.array(rank),
+                 *_halves([xxhash.xxh3_128_digest(text[x:y]) for _, x, y, _ in at]),
+                 pa.array([text[x:y] for x, y, _, _ in at], pa.binary()),
+                 pa.array([text[x:y] for _, _, x, y in at], pa.binary())],
+                ["n", "place", "rank", "c1", "c2", "left", "right"])
     return cut
 
 
-def digest128(*parts: Column) -> Column:
-    return F.unhex(F.substring(F.sha2(F.concat(*parts), 256), 1, 32))
+def digest(*parts: Column) -> list[Column]:
+    """128 bits as two numbers."""
+    return [F.xxhash64(F.lit(k), *parts) for k in (1, 2)]
 
 
 def reranked(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """The keys that occur more than once, with their rank in sorted order."""
-    many = pairs.groupBy(*keys).count().where("count > 1").select(*keys)
-    return materialise(many.orderBy(*keys).withColumn("next", F.monotonically_increasing_id()), name)
-
-
-def settle(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Spans (``t, s, e``) whose outer bytes (``whole``) occur elsewhere, and the rows that go on, with the columns ``more``:
-    one for all equal ones."""
-    shared = rows.where("whole IS NOT NULL").groupBy("whole") \
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "p")).alias("speaker")).where("n > 1").drop("n")
-    goes_on = F.col("speaker").isNull() | ((F.col("speaker.t") == F.col("t")) & (F.col("speaker.p") == F.col("p")))
-    judged = materialise(rows.join(shared, "whole", "left").withColumn("on", goes_on).where("on OR speaker IS NOT NULL").select(
-        "t", "p", "a", "b", "s", "e", F.col("speaker").isNotNull().alias("hit"), "on",
-        *[F.when(F.col("on"), F.col(c)).alias(c) for c in more]), "judged")
-    return judged.where("hit").select("t", "s", "e"), judged.where("on")
+    """The keys that occur more than once, at a row that is still open, with their rank in sorted order."""
+    many = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("many"), F.max("open").alias("open")).where("many > 1 AND open")
+    return materialise(many.select(*keys).orderBy(*keys).withColumn("next", F.monotonically_increasing_id()), name)
+
+
+def settle(rows: DataFrame, more: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (``n, s, e``) whose outer bytes (``w1, w2``) occur elsewhere, and the rows that go on, with the columns ``more``:
+    one for all equal ones.  It is not ``open`` any more, but others are compared with it."""
+    me = F.struct("n", "place")
+    shared = rows.where("w1 IS NOT NULL").groupBy("w1", "w2").agg(F.min(me).alias("speaker"), F.max(me).alias("other")) \
+        .where("speaker <> other").select("w1", "w2", F.col("speaker.n").alias("n0"), F.col("speaker.place").alias("place0"))
+    both = rows.join(shared, ["w1", "w2"], "left").withColumn("open", F.col("n0").isNull())
+    on = F.col("open") | ((F.col("n0") == F.col("n")) & (F.col("place0") == F.col("place")))
+    if not more:                                    # the last round
+        both, on = both.where("NOT open"), F.lit(False)
+    judged = materialise(both.withColumn("on", on).select(
+        "n", "place", "open", "on", *[F.when(F.col("on"), F.col(c)).alias(c) for c in more]), "judged")
+    p, a, b = _unpacked()
+    return judged.where("NOT open").select("n", (p - b).alias("s"), (p - a + length).alias("e")), judged.where("on")
 
 
 def narrower(rows: DataFrame, width: int, length: int) -> DataFrame:
     """Every row's narrower blocks; ``grown`` names the bytes by which their inner bytes are longer."""
-    firsts = F.sequence(F.col("a").cast("int"), F.col("b").cast("int"), F.lit(width))
-    child = rows.withColumn("c", F.explode(firsts)).withColumn("d", F.least(F.col("c") + width - 1, F.col("b").cast("int")))
-    p, a, b, c, d, s, e = map(F.col, "pabcdse")
-    child = child.where((p - c >= s) & (p - d + length <= e))       # else no string of the block lies in the text
-    start, end = F.greatest(s, p - d), F.least(e, p - c + length)
-    part = lambda x, at, n: F.substring(x, (at + 1).cast("int"), n.cast("int"))
-    before, after = part("left", p - c - s, c - a), part("right", F.lit(0), b - d)
+    p, a, b = _unpacked()
+    rows = rows.select("*", p.alias("p"), a.cast("int").alias("a"), b.cast("int").alias("b"),
+                       F.octet_length("left").alias("l"), F.octet_length("right").alias("r"))
+    child = rows.withColumn("c", F.explode(F.sequence(F.col("a"), F.col("b"), F.lit(width)))) \
+        .withColumn("d", F.least(F.col("c") + width - 1, F.col("b")))
+    a, b, c, d, l, r = map(F.col, "abcdlr")
+    child = child.where((c - a <= l) & (b - d <= r))                # else no string of the block lies in the text
+    # of the margins, what the block's inner bytes grow by and what its outer bytes still have
+    before, after = F.substring("left", l - (c - a) + 1, c - a), F.substring("right", F.lit(1), b - d)
+    more_l, more_r = F.least(d - c, l - (c - a)), F.least(d - c, r - (b - d))
+    left, right = F.substring("left", l - (c - a) - more_l + 1, more_l), F.substring("right", b - d + 1, more_r)
+    core = digest(F.col("c1"), F.col("c2"), before, after, c - a)
     child = child.select(
-        "t", "p", c.cast("short").alias("a"), d.cast("short").alias("b"), start.alias("s"), end.alias("e"), "rank",
-        F.xxhash64(c - a, before, after).alias("grown"),
-        digest128(F.col("core"), before, after, (c - a).cast("string").cast("binary")).alias("core"),
-        part("left", start - s, p - c - start).alias("left"), part("right", b - d, end - (p - d + length)).alias("right"))
-    full = (s == p - b) & (e == p - a + length)
-    return child.withColumn("whole", F.when(full, digest128(F.col("core"), F.col("left"), F.col("right"),
-                                                            a.cast("string").cast("binary"))))
+        "n", (F.col("p") * _A + c * _B + d).alias("place"), "rank", "open", F.xxhash64(c - a, before, after).alias("grown"),
+        core[0].alias("c1"), core[1].alias("c2"), left.alias("left"), right.alias("right"),
+        ((more_l == d - c) & (more_r == d - c)).alias("full"))
+    whole = digest(F.col("c1"), F.col("c2"), F.col("left"), F.col("right"), F.col("place").bitwiseAND(_A - 1))
+    return child.withColumns({f"w{k + 1}": F.when(F.col("full"), w) for k, w in enumerate(whole)}).drop("full")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Spans ``t, s, e`` of the texts (``t, text``, each text once) whose strings of ``length`` bytes also start elsewhere
-    among them, and the texts that hold some such spans.
+    """Spans ``n, s, e`` of the texts (``t, text``, each text once) whose strings of ``length`` bytes also start elsewhere
+    among them, and the texts that hold some such spans as ``n, t, text``.
 
     Spans overlap and repeat; together they cover just those bytes.
     """
-    lists = lambda rows: rows.groupBy("t").agg(F.collect_list(F.struct("p", "a", "b", "rank")).alias("found"))
-    first = materialise(texts.where(F.octet_length("text") >= length).mapInArrow(
-        places(length), "t binary, p int, a short, b short, inner long"), "places")
-    ranks = reranked(first, ["inner"], "ranks")
-    kept = materialise(lists(first.join(ranks, "inner").withColumnRenamed("next", "rank")), "places-kept")
-    held = materialise(texts.join(small(kept.select("t")), "t", "left_semi").join(kept, "t").select("t", "text", "found"),
-                       "texts-held")
-    spans, rows = settle(held.mapInArrow(outer_digests(length), "t binary, p int, a short, b short, s int, e int, rank long, "
-                                         "whole binary"), ["rank"])
-    rows = materialise(held.select("t", "text").join(lists(rows), "t").select("t", "text", "found").mapInArrow(
-        margins(length), "t binary, p int, a short, b short, s int, e int, rank long, core binary, left binary, right binary"),
-        "margins")
-    for width in widths(length)[1:]:
-        children = narrower(rows, width, length)
-        ranks = reranked(children, ["rank", "grown"], "ranks")
-        rows = children.join(ranks, ["rank", "grown"]).withColumn("rank", F.col("next"))
-        hits, rows = settle(rows, ["rank", "core", "left", "right"])
+    lists = lambda rows, key: rows.groupBy(key).agg(F.collect_list(F.struct("place", "rank")).alias("found"))
+    texts = texts.where(F.octet_length("text") >= length).select(F.xxhash64("t").alias("k"), "text", "t")
+    first = materialise(texts.select("k", "text").mapInArrow(places(length), "k long, place long, inner long"), "places")
+    ranks = reranked(first.select("inner", F.lit(True).alias("open")), ["inner"], "ranks")
+    kept = materialise(lists(first.join(ranks, "inner").withColumnRenamed("next", "rank"), "k"), "places-kept")
+    held = materialise(texts.join(small(kept.select("k")), "k", "left_semi").join(kept, "k").select(
+        F.monotonically_increasing_id().alias("n"), "text", "found", "t"), "texts-held")
+    spans, rows = settle(held.select("n", "text", "found").mapInArrow(
+        outer_digests(length), "n long, place long, rank long, w1 long, w2 long"), ["rank"], length)
+    going = rows.groupBy("n").agg(F.collect_list(F.struct("place", "rank")).alias("found"))
+    cut = materialise(held.select("n", "text").join(going, "n").mapInArrow(
+        margins(length), "n long, place long, rank long, c1 long, c2 long, left binary, right binary"), "margins")
+    rows = cut.join(rows.select("n", "place", "open"), ["n", "place"])
+    steps = widths(length)[1:]
+    for width in steps:
+        rows = narrower(rows, width, length)
+        if width > 1:
+            ranks = reranked(rows, ["rank", "grown"], "ranks")
+            rows = rows.join(ranks, ["rank", "grown"]).withColumn("rank", F.col("next"))
+        hits, rows = settle(rows, ["rank", "c1", "c2", "left", "right"] if width > 1 else [], length)
         spans = spans.unionAll(hits)
-    return spans, held.select("t", "text")
+    return spans, held.select("n", "t", "text")
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +256,8 @@ def remove_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     the input and never cross texts.  Null texts are empty; an empty text loses nothing.  Rows of equal texts lose
     all (if they have ``length`` bytes), repeated rows and rows without id too; equal rows get equal results.
     """
-    if length < 3 * GRAM:
-        raise ValueError("strings must be some grams long")
+    if not 3 * GRAM <= length < _B:
+        raise ValueError(f"strings must have {3 * GRAM} to {_B - 1} bytes")
     data = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), data.alias("text")) \
         .select("doc_id", "text", F.sha2("text", 256).alias("sha")) \
@@ -246,8 +268,8 @@ def remove_matches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # of equal texts the row of the smallest id speaks for all (rows that share it repeat places of a text that goes as a whole)
     one = rows.where(long).join(small(copies), "t", "left").where("n IS NULL OR doc_id <=> first_id").select("t", "text")
     spans, held = repeated_spans(one, length)
-    lists = spans.groupBy("t").agg(F.collect_set(F.struct("s", "e")).alias("found"))
-    cut = materialise(held.join(lists, "t").select("t", "text", "found").mapInArrow(
+    lists = spans.groupBy("n").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    cut = materialise(held.join(lists, "n").select("t", "text", "found").mapInArrow(
         cut_spans, "t binary, n_removed long, n_spans long, kept binary").dropDuplicates(["t"]), "cut")
     out = rows.select("doc_id", "t", F.octet_length("text").cast("long").alias("n_bytes"), "sha") \
         .join(small(copies.select("t", "n")), "t", "left").join(cut, "t", "left")
