@@ -1,6 +1,6 @@
 """Registered queries with the SQL that must give the same rows."""
 
-from . import inference, jsonqueries, loading, scanning, texts  # noqa: F401  (registration)
+from . import inference, jsonqueries, loading, locations, scanning, texts  # noqa: F401  (registration)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

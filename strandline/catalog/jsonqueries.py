@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import jsonops, jsonprofile
-from ..sources import jsondocs
+from ..sources import jsonarrays, jsondocs
+from ..workspace import staged
 from .registry import ORDER_DOC_SQL, order_docs, query, table
 
 # what the shape rules give for the derived documents, computed from the base columns
@@ -273,3 +274,25 @@ def _scalars(spark, sf):
 @query("q_preview_json", f"""SELECT o_orderkey, json_extract_string(doc, '$.id') AS id, json_extract_string(doc, '$.status') AS status FROM ({ORDER_DOC_SQL}) ORDER BY o_orderkey LIMIT 50""")
 def _preview_json(spark, sf):
     return jsonops.preview_json(order_docs(spark, sf).select("o_orderkey", "doc"), 50, "o_orderkey").select("o_orderkey", "id", "status")
+
+
+def array_copy(spark, sf) -> str:
+    """All order documents as one array in one file."""
+    def write(path):
+        d = order_docs(spark, sf).select("o_orderkey", "doc")
+        last = d.agg(F.max("o_orderkey")).first()[0]
+        comma = F.when(F.col("o_orderkey") == last, F.col("doc")).otherwise(F.concat("doc", F.lit(",")))
+        rows = d.select(F.col("o_orderkey").alias("k"), comma.alias("value")) \
+            .unionAll(spark.createDataFrame([(-1, "["), (last + 1, "]")], "k long, value string"))
+        rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    return staged(spark, (sf, "orders", "array"), write)
+
+
+@query("scan_json_array", f"""SELECT json_extract_string(doc, '$.status') AS status, count(*) AS n, CAST(sum(length(doc)) AS BIGINT) AS chars,
+  CAST(sum(CAST(json_extract_string(doc, '$.id') AS BIGINT)) AS BIGINT) AS ids FROM ({ORDER_DOC_SQL}) GROUP BY 1""")
+def _array(spark, sf):
+    """Elements of one large array, cut by many tasks."""
+    d = jsonarrays.array_elements(spark, [array_copy(spark, sf)])
+    return d.groupBy(F.get_json_object("doc", "$.status").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("doc")).cast("long").alias("chars"),
+        F.sum(F.get_json_object("doc", "$.id").cast("long")).alias("ids"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.lookups import MAX_TABLE_COLUMNS, text_array
+from ..functions.lookups import text_array
 from ..functions.types import map_type, target_type, with_type_overrides
 
 # What a token can be, as bits of the per-column evidence mask.
@@ -139,7 +139,7 @@ def merge_tokens(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 _MAPPED: dict[str, Column] = {}
 
 
-def _mapped_type() -> Column:
+def mapped_type() -> Column:
     """``map_type`` of the evidence columns; the large expression is built once."""
     from pyspark import SparkContext
     key = SparkContext._active_spark_context.applicationId
@@ -158,7 +158,7 @@ def finish_columns(evidence: DataFrame, full: bool = True, has_header: bool = Tr
     detected = delimited_type(F.col("mask"), F.col("int_digits"), F.col("scale"))
     observed = F.when(F.col("detected_type") == "object", F.col("width")).cast("long")
     max_len = F.when(F.lit(full), tk.sized(F.col("observed_max_length")))
-    effective = _mapped_type()
+    effective = mapped_type()
     bool_text = (F.col("detected_type") == "bool") & F.lit(delimited)
     out = (evidence.withColumn("detected_type", detected)
            .withColumn("observed_max_length", observed)
@@ -194,9 +194,10 @@ def effective_type(detected: Column, inference: Column, override: Column, max_le
 
 
 def check_column_limit(columns: DataFrame, by: Sequence[str] = ("path",),
-                       max_columns: int = MAX_TABLE_COLUMNS) -> DataFrame:
+                       max_columns: int | None = None) -> DataFrame:
+    """Column counts; with a target's ``max_columns`` (1024 is usual) whether a typed table may hold them."""
     return columns.groupBy(*by).agg(F.count(F.lit(1)).alias("column_count")).withColumn(
-        "typed_table_allowed", F.col("column_count") <= max_columns)
+        "typed_table_allowed", F.lit(True) if max_columns is None else F.col("column_count") <= max_columns)
 
 
 def duplicate_names(columns: DataFrame, by: Sequence[str] = ("path",), name: str = "name") -> DataFrame:

@@ -120,10 +120,11 @@ def shred(df: DataFrame, col: str, schema: T.StructType | str, keep: Sequence[st
     return df.select(*keep, F.from_json(col, schema).alias("d")).select(*keep, "d.*")
 
 
-def shred_profiled(df: DataFrame, col: str, columns: Sequence[dict], keep: Sequence[str] = ()) -> DataFrame:
+def shred_profiled(df: DataFrame, col: str, columns: Sequence[dict], keep: Sequence[str] = (),
+                   max_columns: int | None = None) -> DataFrame:
     """Typed projection by a profile's columns (``name, spark_type, safe``); refused
-    (entries are the way then) when the evidence does not carry it."""
-    if not columns or len(columns) > 1024 or not all(c["safe"] for c in columns):
+    (entries are the way then) when the evidence does not carry it, or a target's ``max_columns`` is passed."""
+    if not columns or (max_columns and len(columns) > max_columns) or not all(c["safe"] for c in columns):
         raise ValueError("typed projection is not safe for these documents; use json_entries")
     fields = ", ".join("`" + c["name"].replace("`", "``") + "` " + c["spark_type"] for c in columns)
     return shred(df, col, fields, keep)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lookups import DIALECT_SAMPLE_CHARS, ENCODING_SAMPLE_BYTES
 from ..functions.types import map_type
-from ..sources import columnar, delimited, detect, inventory as inv_mod, jsondocs
-from ..operators import infer, jsonprofile, setops
+from ..sources import columnar, detect, dialects, inventory as inv_mod, jsondocs
+from ..workspace import materialise
+from ..operators import infer, jsonprofile
 
 
 def detect_units(spark: SparkSession, root: str) -> DataFrame:
@@ -22,53 +22,39 @@ def detect_units(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("file_type", F.coalesce("file_type", "sniffed", F.lit("unknown"))).drop("sniffed"))
 
 
-def text_dialects(units: DataFrame) -> DataFrame:
-    """Encoding and dialect of the delimited files, from their heads."""
-    csvs = units.filter("file_type = 'csv'")
-    heads = inv_mod.heads(csvs, ENCODING_SAMPLE_BYTES).filter("error is null")
-    enc = detect.detect_encoding(heads, "head", "truncated")
-    utf16 = F.decode("head", "UTF-16")
-    # fixed-width charsets only need their own decoder; the rest is ASCII-compatible for sniffing
-    text = (F.when(F.col("encoding") == "utf-16-le", F.decode("head", "UTF-16LE"))
-            .when(F.col("encoding") == "utf-16-be", F.decode("head", "UTF-16BE"))
-            .when(F.col("encoding") == "utf-16", utf16)
-            .when(F.col("encoding").startswith("utf"), F.decode("head", "UTF-8"))
-            .otherwise(F.decode("head", "ISO-8859-1")))
-    sample = F.substring(F.regexp_replace(text, "^﻿", ""), 1, DIALECT_SAMPLE_CHARS)
-    return detect.detect_dialect(enc.withColumn("sample", sample))
+def folder(path: Column) -> Column:
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
 def profile_csvs(spark: SparkSession, units: DataFrame) -> DataFrame | None:
-    """Column profiles of all delimited files, one read per distinct dialect and header.
+    """Columns of all delimited files in one plan, whatever their dialects; ``path`` is the unit, if units have a column ``unit``.
 
-    The driver sees folders and dialects, never data: a folder whose delimited
-    files all share a dialect is read as a folder, and only mixed folders give
-    their files one by one.
+    Charset, delimiter, quotes and widths rest on all lines of a file, the names on its first record.  Only folder names and
+    patterns come to the driver, never one plan a file or dialect.  A file that cannot be read is a row with ``error``.
     """
-    keys = ["delimiter", "encoding", "has_header", "header"]
-    from ..workspace import materialise
-    d = materialise(text_dialects(units).select(
-        "path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"),
-        F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("suffix"), *keys), "dialects")
-    kinds = d.select("folder", *keys).distinct().groupBy("folder").agg(F.count(F.lit(1)).alias("kinds"))
-    d = d.join(kinds, "folder")
-    place = F.when(F.col("kinds") == 1, F.concat("folder", F.lit("/*"), "suffix")).otherwise(F.col("path"))
-    places = d.select(place.alias("place"), *keys).distinct()
-    groups: dict[tuple, dict] = {}
-    for r in places.toLocalIterator():
-        k = (r["delimiter"], r["encoding"], r["has_header"], tuple(r["header"]))
-        groups.setdefault(k, {**r.asDict(), "paths": []})["paths"].append(r["place"])
-    parts = []
-    for g in groups.values():
-        if not g["header"]:
-            continue
-        dialect = delimited.Dialect(g["header"], g["delimiter"], g["has_header"], g["encoding"])
-        stats = delimited.line_stats(delimited.read_lines(spark, g["paths"], g["encoding"]))
-        if stats.agg(F.max("quoted_breaks")).first()[0]:
-            dialect.multiline = True
-        parts.append(delimited.profile_delimited(spark, g["paths"], dialect, per_file=True)
-                     .withColumn("delimiter", F.lit(g["delimiter"])).withColumn("encoding", F.lit(g["encoding"])))
-    return setops.union_all(parts) if parts else None
+    unit = F.col("unit") if "unit" in units.columns else F.col("path")
+    csvs = materialise(units.where("file_type = 'csv'").select("path", unit.alias("unit")), "delimited-files")
+    suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    named = F.when(F.lower(suffix).isin(".csv", ".tsv"), F.concat(folder(F.col("path")), F.lit("/*"), suffix))
+    places = [r["place"] for r in csvs.select(F.coalesce(named, "path").alias("place")).distinct().toLocalIterator()]
+    if not places:
+        return None
+    firsts = materialise(dialects.first_records(csvs), "first-records")
+    plain = firsts.where("wide IS NULL AND error IS NULL").select("path")
+    lines = dialects.raw_lines(spark, places).join(plain, "path", "left_semi") \
+        .unionByName(dialects.wide_lines(firsts.where("wide IS NOT NULL")))
+    facts = materialise(dialects.line_facts(lines), "line-facts")
+    found = materialise(dialects.dialects(lines, firsts, facts), "dialects")
+    cells = dialects.file_cells(lines, facts, found).where("row_kind <> 'long'")
+    evidence = infer.merge_tokens(cells.select("path", F.posexplode("cells").alias("pos", "token")), ["path"])
+    names = found.where("error IS NULL").join(csvs, "path").select(
+        "path", "unit", "encoding", "delimiter", F.posexplode("header").alias("pos", "name"))
+    merged = infer.merge_evidence({c: F.col(c) for c in ("mask", "int_digits", "scale", "width", "missing", "rows")})
+    whole = names.join(evidence, ["path", "pos"], "left").groupBy("unit", "pos", "name", "encoding", "delimiter") \
+        .agg(*[v.alias(k) for k, v in merged.items()]).fillna(0, ["mask", "missing", "rows"])
+    done = infer.finish_columns(whole).withColumnRenamed("unit", "path")
+    broken = found.where("error IS NOT NULL").select("path", "error")
+    return done.unionByName(broken, allowMissingColumns=True)
 
 
 def profile_json(spark: SparkSession, units: DataFrame) -> DataFrame | None:

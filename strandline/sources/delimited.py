@@ -149,8 +149,8 @@ def profile_delimited(spark: SparkSession, paths, d: Dialect, mode: str = "full"
     types; per-file results are keyed by path.
     """
     kept, _ = split_ragged(read_delimited(spark, paths, d, ragged=True), d)
-    if mode == "sample":
-        kept = kept.limit(sample)
+    if mode == "sample":            # in the order of files and rows, so that runs agree
+        kept = kept.withColumn(RAW, F.monotonically_increasing_id()).orderBy("path", RAW).limit(sample).drop(RAW)
     by = ["path"] if per_file else []
     return infer.infer_columns(kept, list(d.names), by=by, full=mode == "full")
 

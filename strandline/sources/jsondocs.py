@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import parse_document
-from ..functions.lookups import ENCODING_CHARSETS, JSON_DOC_BYTES, JSON_SAMPLE_CHARS
+from ..functions.lookups import ENCODING_CHARSETS, JSON_SAMPLE_CHARS
 
 
 def frame_documents(spark: SparkSession, paths, per: str = "line", encoding: str = "utf-8") -> DataFrame:
@@ -94,15 +94,20 @@ def json_shape(whole: DataFrame, doc: str = "doc") -> DataFrame:
             .withColumn("doc_variant", v))
 
 
-def read_json_prefix(whole: DataFrame, doc: str = "doc", max_doc_bytes: int = JSON_DOC_BYTES,
+def read_json_prefix(whole: DataFrame, doc: str = "doc", max_doc_bytes: int | None = None,
                      sample_rows: int = 200, sample_chars: int = JSON_SAMPLE_CHARS) -> DataFrame:
-    """Bounded look at oversize documents: the leading objects of an array.
+    """The elements of documents; with ``max_doc_bytes`` only a bounded look at larger ones.
 
-    A document within the limit is taken whole.  Of a larger array the prefix
+    A document within the limit is taken whole, and every document is without one.  Of a larger array the prefix
     up to its last complete element is used, ``row_count`` stays unknown and
-    ``analysis_truncated`` is set; a larger non-array is an error row.
+    ``analysis_truncated`` is set; a larger non-array is an error row.  Arrays that do not fit into one value are read
+    with ``jsonarrays.array_elements``.
     """
     text = F.col(doc)
+    if max_doc_bytes is None:
+        items = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+        return whole.withColumns({"items": items, "row_count": F.json_array_length(text).cast("long"),
+                                  "analysis_truncated": F.lit(False), "error": F.lit(None).cast("string")})
     big = F.octet_length(text) > max_doc_bytes
     is_array = text.rlike(r"^\s*\[")
     head = F.substring(text, 1, sample_chars)
@@ -114,7 +119,7 @@ def read_json_prefix(whole: DataFrame, doc: str = "doc", max_doc_bytes: int = JS
     return (whole.withColumn("items", F.when(big, F.slice(items, 1, sample_rows)).otherwise(items))
             .withColumn("row_count", F.when(~big, F.json_array_length(text).cast("long")))
             .withColumn("analysis_truncated", big)
-            .withColumn("error", F.when(big & ~is_array, F.lit("Document is too large to analyse."))))
+            .withColumn("error", F.when(big & ~is_array, F.format_string("document_too_large(%d)", F.octet_length(text)))))
 
 
 def read_blob(spark: SparkSession, paths, encoding: str = "utf-8") -> DataFrame:
