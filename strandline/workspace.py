@@ -75,8 +75,9 @@ def spread_small(df: DataFrame, per_core: int = SPREAD_BYTES_PER_CORE) -> DataFr
     return df.repartition(cores) if cores > 1 and size < per_core * cores else df
 
 
-#: Shuffle files go as soon as the query that wrote them ends.
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While a table is written: shuffle files go as soon as the query that wrote them ends, and the driver does not
+# print and keep a plan of any length at each of its changes.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "1000"}
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -85,12 +86,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     again and is given back at once, instead of when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path, compression="zstd")
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.parquet(path)
 
 
