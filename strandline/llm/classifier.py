@@ -12,6 +12,7 @@ size, and that of the broadcast, is fixed.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,24 +159,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, label: st
 
 def train_model(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality",
                 per_class: int = PER_CLASS) -> dict:
-    """Only the sample's vectors (a fixed number of fixed length) come to the driver."""
+    """Fitted by one task on the sample's vectors (a fixed number of fixed length); only the model comes to the driver."""
     sample = labelled_sample(docs, labels, train, label, per_class)
 
     def vectors(batches):
         for b in batches:
             yield pd.DataFrame({"v": [term_counts(t or b"").tobytes() for t in b["text"]], "label": b["label"],
                                 "doc_id": b["doc_id"]})
+
+    def model(batches):
+        x, y = [], []
+        for b in batches:
+            x += [np.frombuffer(v, dtype=np.float32) for v in b["v"]]
+            y += b["label"].tolist()
+        if y:
+            yield pd.DataFrame({"model": [pickle.dumps(fit(np.array(x), np.array(y, dtype=np.float32)))]})
     # the sample is bounded by 2 * per_class rows
     rows = (docs.select("doc_id", F.col("text").cast("binary").alias("text"))
             .join(F.broadcast(sample), "doc_id")
             .mapInPandas(vectors, "v binary, label int, doc_id long")
-            .orderBy("doc_id", "v").limit(4 * per_class).collect())
-    x = np.array([np.frombuffer(r["v"], dtype=np.float32) for r in rows]).reshape(-1, TERMS)
-    y = np.array([r["label"] for r in rows], dtype=np.float32)
-    if not len(y):
+            .orderBy("doc_id", "v").limit(4 * per_class))
+    found = rows.repartition(1).sortWithinPartitions("doc_id", "v").mapInPandas(model, "model binary").first()
+    if found is None:
         return {"axes": np.zeros((TERMS, 1), np.float32), "points": np.zeros((0, 1), np.float32),
-                "labels": y, "prior": 0.5}
-    return fit(x, y)
+                "labels": np.zeros(0, np.float32), "prior": 0.5}
+    return pickle.loads(found[0])
 
 
 def score_column(docs: DataFrame, model: dict, text: str = "text") -> Column:
