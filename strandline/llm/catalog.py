@@ -59,7 +59,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source_table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
-    placed = shuffle_into_shards(docs, 8, [F.col("doc_id"), F.col("text_hash")])
+    placed = shuffle_into_shards(docs, 8, [F.col("doc_id"), F.col("text_hash")], stored=True)
     return placed.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
 

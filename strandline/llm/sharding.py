@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..workspace import materialise
+from .common import small
 
 #: Least and most virtual partitions, and the rows one holds on average before their number doubles.
 PARTITIONS, MOST_PARTITIONS = 1 << 8, 1 << 16
@@ -82,22 +83,38 @@ def partition_bits(total: int, rows: int = ROWS_PER_PARTITION) -> int:
     return min(MOST_PARTITIONS.bit_length() - 1, max(PARTITIONS.bit_length() - 1, (wanted - 1).bit_length()))
 
 
+def _told_apart(rows: DataFrame, identity: list[Column], seed: int, stored: bool) -> DataFrame:
+    """``row, h1, h2``: the columns in a struct, and two hashes by which rows are dealt out and ordered.
+
+    Rows of one identity would stay together in every order, so each gets its place in the table into its hashes; those
+    of an identity of its own do not depend on where they are stored.
+    """
+    hashes = [F.xxhash64(F.lit(seed + k), *identity).alias(f"h{k + 1}") for k in range(2)]
+    repeated = materialise(rows.select(*hashes).groupBy("h1", "h2").count().where("count > 1")
+                           .select("h1", "h2", F.lit(True).alias("again")), "shard-repeated")
+    base = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *hashes)
+    if repeated.limit(1).count() == 0:
+        return base
+    base = base.withColumn("nth", F.monotonically_increasing_id())
+    base = (base if stored else materialise(base, "shard-rows")).join(small(repeated), ["h1", "h2"], "left")
+    apart = lambda h: F.when(F.col("again"), F.xxhash64(F.col(h), F.col("nth"))).otherwise(F.col(h)).alias(h)
+    return base.select("row", apart("h1"), apart("h2"))
+
+
 def shuffle_into_shards(rows: DataFrame, shards: int, identity: list[Column], seed: int = 0,
-                        rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+                        rows_per_partition: int = ROWS_PER_PARTITION, stored: bool = False) -> DataFrame:
     """The columns of ``rows`` in a struct ``row``, with ``shard`` and ``slot``.
 
-    ``identity`` are the columns that tell rows apart; equal rows are
-    interchangeable, so whichever of them takes a place the result is the same
-    set of rows.  Shard sizes differ by one at most, slots run from 0 without a
+    ``identity`` are the columns that tell rows apart.  Rows that share one are numbered by their place in the table, so that
+    copies are spread like any other rows; they are written once for that, unless ``stored`` says that ``rows`` are read from a
+    table as it is.  Shard sizes differ by one at most, slots run from 0 without a
     gap.  Null columns take part like any value; an empty table stays empty.
-    ``identity`` alone decides, so that any partitioning of the input gives the
+    For rows of an identity of their own it alone decides, so that any partitioning of the input gives the
     same shards.
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    dealt = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
-                        F.xxhash64(F.lit(seed), *identity).alias("h1"),
-                        F.xxhash64(F.lit(seed + 1), *identity).alias("h2"))
+    dealt = _told_apart(rows, identity, seed, stored)
     # counted in the finest partitions, at most MOST_PARTITIONS rows; coarser ones are sums of these
     fine = dealt.groupBy(F.pmod("h1", F.lit(MOST_PARTITIONS)).cast("int").alias("p")).count().collect()
     bits = partition_bits(sum(n for _, n in fine), rows_per_partition)

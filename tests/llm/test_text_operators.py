@@ -402,6 +402,24 @@ def test_sharding(docs, none):
     assert sharding.shuffle_into_shards(none, 4, [F.col("doc_id")]).count() == 0
 
 
+def test_copies_are_spread_like_other_rows(spark):
+    """Pairs of equal rows share a shard in an eighth of the cases, and meet in adjacent slots by chance only."""
+    rows = spark.range(4000).unionAll(spark.range(4000)).unionAll(spark.range(1).selectExpr("9999 id")).repartition(6)
+    for stored in (False, True):
+        where = collections.defaultdict(list)
+        for r in sharding.shuffle_into_shards(rows.sortWithinPartitions("id") if stored else rows, 8, [F.col("id")],
+                                              stored=stored).collect():
+            where[r["row"]["id"]].append((r["shard"], r["slot"]))
+        pairs = [v for v in where.values() if len(v) == 2]
+        assert len(pairs) == 4000 and len({p for v in where.values() for p in v}) == 8001
+        together = [v for v in pairs if v[0][0] == v[1][0]]
+        assert 400 < len(together) < 600                            # 500, nine standard deviations of about 21 are 190
+        assert sum(abs(a[1] - b[1]) == 1 for a, b in together) < 12          # about one
+        # places of copies over eight parts of their shards: chi-square with seven degrees of freedom
+        counts = collections.Counter(slot * 8 // 1001 for v in pairs for _, slot in v)
+        assert sum((n - 1000) ** 2 / 1000 for n in counts.values()) < 40
+
+
 def test_sharding_grows(spark):
     assert [sharding.partition_bits(n) for n in (0, 1 << 28, (1 << 28) + 1, 3 * 10 ** 10, 10 ** 15)] == [8, 8, 9, 15, 16]
     out = sharding.shuffle_into_shards(spark.range(3000), 7, [F.col("id")], rows_per_partition=4).collect()
