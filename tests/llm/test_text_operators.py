@@ -1,6 +1,7 @@
 """Every text operator against a plain version on small rows with awkward cases."""
 
 import collections
+import time
 import hashlib
 import re
 import zlib
@@ -488,6 +489,100 @@ def test_page_with_as_much_text_elsewhere_keeps_both():
     assert maintext.text_below(found, "body>div.a") == "x" * 60 + "\n" + "y" * 100
 
 
+BODY = "word " * 60
+KEPT = [
+    ("<article><h1>T</h1><p>{b}</p><section class='related-work'><p>Earlier work</p></section></article>", "T\n{b}\nEarlier work"),
+    ("<article><p>{b}</p><div class='share-price'>12.5</div><div class='search-algorithms'>A star</div></article>", "{b}\n12.5\nA star"),
+    ("<form action='/x'><div class=page><h1>T</h1><p>{b}</p><label>Name</label><button>Go</button></div></form>", "T\n{b}"),
+    ("<form id=aspnet><main><p>Few words</p></main><div class=footer>{b}</div></form>", "Few words"),
+    ("<article><header class='entry-header'><h1>Ti<i>t</i>le</h1><p>by someone</p></header><p>{b}</p></article>", "Title\n{b}"),
+    ("<article><p>{b}</p><div class='social share-buttons'>Send</div><ul class='related-posts'><li>Other</ul>"
+     "<section class='comment-list'>First!</section><form><p>Say something</p></form></article>", "{b}"),
+    ("<article><p>{b}</p></article><form class=box><p>Write to us</p><label>Your mail</label></form>", "{b}")]
+
+
+@pytest.mark.parametrize("page, want", KEPT)
+def test_main_text_keeps_what_the_article_holds(page, want):
+    read = maintext.read_page(f"<body>{MENU}{page.format(b=BODY)}</body>")
+    assert maintext.main_text(read, None) == want.format(b=BODY.strip())
+
+
+def test_main_text_is_linear_in_nesting():
+    page = "<div class=a><p>text" * 50_000
+    start = time.monotonic()
+    read = maintext.read_page(page)
+    assert maintext.main_text(read, None).count("text") == 50_000 and len(page) == 10 ** 6
+    assert time.monotonic() - start < 20
+
+
+def plain_scores(found):
+    """Scores with paths as tuples of steps."""
+    scores = collections.Counter()
+    for path, text, linked in found:
+        scores[path] += len(text) * (1 - linked)
+        if len(path) > 1:
+            scores[path[:-1]] += 0.5 * len(text) * (1 - linked)
+    total = scores.total()
+    return {p: v / total for p, v in scores.items()} if total else {}
+
+
+def plain_main_text(found, wanted):
+    within = lambda p, q: q[:len(p)] == p
+    below = lambda p: [t for q, t, _ in found if within(p, q)]
+    size = lambda p: sum(map(len, below(p)))
+
+    def whole(path):
+        ups = [path[:k] for k in range(len(path), -1, -1)]
+        value = lambda p: sum(len(t) * (1 - k) for q, t, k in found if within(p, q))
+        named = [p for p in ups if p and p[-1].split(".")[0] in ("article", "main")]
+        return (named + [p for p in ups if value(p) >= 0.9 * value(())])[0]
+    scores = plain_scores(found)
+    own = whole(max(scores, key=scores.get))
+    if wanted is None or not below(wanted):
+        return "\n".join(below(own))
+    best = whole(wanted)
+    if not within(best, own) and size(own) >= size(best):
+        best = tuple(a for k, a in enumerate(best) if best[:k + 1] == own[:k + 1])
+    return "\n".join(below(best))
+
+
+def random_blocks(r):
+    steps = ["div.a", "div.b", "section", "article", "td"]
+    return [(("body", *(steps[r.integers(5)] for _ in range(r.integers(5)))), "x" * int(r.integers(1, 10 ** 6)),
+             [0.0, 0.25, 1.0][r.integers(3)]) for _ in range(r.integers(1, 9))] + [(("body", "div.a"), "y" * 777_777, 0.125)]
+
+
+def test_main_text_against_a_plain_version():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        found = random_blocks(r)
+        for wanted in (None, found[0][0], ("body", "div.none"), ("body",)):
+            assert maintext.text_below(found, None if wanted is None else ">".join(wanted)) == plain_main_text(found, wanted)
+
+
+def test_host_votes_against_a_plain_version(spark):
+    """The winners by paths as they are, counted on the driver."""
+    r, pages, votes = np.random.default_rng(6), [], collections.Counter()
+    for k in range(60):
+        parts, found = "", []
+        for _ in range(r.integers(1, 5)):
+            path = ("body", *(["div.a", "div.b", "section"][r.integers(3)] for _ in range(r.integers(1, 4))))
+            text = "w" * int(r.integers(1, 999))
+            inner = "".join("<section>" if s == "section" else f"<div class={s[4:]}{k}>" for s in path[1:])
+            parts += inner + text + "".join(f"</{s.split('.')[0]}>" for s in reversed(path[1:]))
+            found.append((path, text, 0.0))
+        pages.append((f"http://h{k % 4}.example/{k}", f"<body>{parts}</body>"))
+        for path, share in plain_scores(found).items():
+            votes[k % 4, path] += int(share * 1e6)
+    got = {r["host"]: r["path"] for r in maintext.host_paths(spark.createDataFrame(pages, "url string, html string")).collect()}
+    for h in range(4):
+        best = max((p for g, p in votes if g == h), key=lambda p: votes[h, p])
+        tree, node = maintext.Page(), 0
+        for step in best:
+            node = tree.child(node, step)
+        assert got[f"h{h}.example"] == tree.keys[node]
+
+
 def plain_tokens(token, scores):
     best = [(0, 0)]
     for end in range(1, len(token) + 1):
