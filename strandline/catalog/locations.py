@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import lake, location
-from ..sources import dialects
+from ..sources import dialects, ranges, settings
 from ..workspace import materialise, staged
 from .inference import TEXT, infer_sql, text_sql, text_table
 from .jsonqueries import KEYS_SQL
@@ -89,3 +89,44 @@ def _consensus(spark, sf):
     d = dialects.delimiters(dialects.records(lines, facts, files), files).join(files.select("path", "lines"), "path")
     return d.groupBy("delimiter", F.col("width").cast("int").alias("width")).agg(
         (F.sum("lines") - F.count(F.lit(1))).alias("lines"))
+
+
+@query("dlm_overrides_read", """SELECT 'documents' AS place, lang AS word, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars,
+  CAST(sum(doc_id) AS BIGINT) AS keys, 'detected' AS encoding_source, 'override' AS quote_source FROM documents GROUP BY 2
+UNION ALL SELECT 'customer', c_mktsegment, count(*), CAST(sum(length(c_name)) AS BIGINT), CAST(sum(c_custkey) AS BIGINT), 'override', 'detected'
+  FROM customer GROUP BY 2""")
+def _override_read(spark, sf):
+    """Two places read as settings say: records that end in a separator character, cells in single quotes, header lines passed
+    over; and a code page with a delimiter that detection would not try."""
+    def write(path):
+        out = lambda df: df.write.option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False)
+        docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+        out(docs).option("sep", "~").option("quote", "'").option("escape", "'").option("lineSep", "\u001e").option("quoteAll", True) \
+            .csv(f"{path}/documents")
+        c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+        out(c).option("sep", "^").option("encoding", "windows-1252").csv(f"{path}/customer")
+    root = staged(spark, (sf, "settings"), write)
+    read = settings.read_with_settings(spark, [
+        (f"{root}/documents", {"fieldDelimiter": "~", "quoteCharacter": "'", "rowTerminator": "0x1e", "firstRow": "2"}),
+        (f"{root}/customer", {"fieldDelimiter": "^", "codepage": "1252"})])
+    place = F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("place")
+    return read.groupBy(place, F.col("cells")[2].alias("word"), "encoding_source", "quote_source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col("cells")[1])).alias("chars"),
+        F.sum(F.col("cells")[0].cast("long")).alias("keys"))
+
+
+@query("enc_wide_ranges", """SELECT lang, count(*) AS n, CAST(sum(length(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS BIGINT) AS chars,
+  CAST(sum(doc_id) AS BIGINT) AS keys FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def _wide(spark, sf):
+    """Quoted UTF-16 text over many lines, each file read as ranges by many tasks."""
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string"), "lang", "text")
+    path = staged(spark, (sf, "documents", "utf16-ranges"), lambda p: docs.write.option("escape", '"').option("quoteAll", True).option(
+        "encoding", "UTF-16LE").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(p))
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.lit("utf-16-le").alias("wide"))
+    lines = ranges.wide_lines(files, 1 << 18)
+    facts = materialise(dialects.line_facts(lines), "line-facts")
+    rows = dialects.records(lines, facts, dialects.file_facts(facts))
+    c = rows.select(dialects.cells(F.col("line"), F.lit(","), F.lit(True)).alias("c"))
+    return c.groupBy(F.col("c")[1].alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col("c")[2])).alias("chars"),
+                                                      F.sum(F.col("c")[0].cast("long")).alias("keys"))

@@ -312,7 +312,7 @@ def _estimate(spark, sf):
     o = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("value"))
     path = staged(spark, (sf, "orders", "fixed"), lambda p: o.write.text(p))
     inv = inventory.inventory(spark, path)
-    e = delimited.estimate_rows(spark, inv, path, delimited.Dialect(["line"], has_header=False))
+    e = delimited.estimate_rows(inv, delimited.Dialect(["line"], has_header=False))
     return e.agg(F.sum("row_count").alias("row_count"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import map_type
-from ..sources import columnar, detect, dialects, inventory as inv_mod, jsondocs
+from ..sources import columnar, detect, dialects, inventory as inv_mod, jsondocs, ranges
 from ..workspace import materialise
 from ..operators import infer, jsonprofile
 
@@ -42,7 +42,7 @@ def profile_csvs(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     firsts = materialise(dialects.first_records(csvs), "first-records")
     plain = firsts.where("wide IS NULL AND error IS NULL").select("path")
     lines = dialects.raw_lines(spark, places).join(plain, "path", "left_semi") \
-        .unionByName(dialects.wide_lines(firsts.where("wide IS NOT NULL")))
+        .unionByName(ranges.wide_lines(firsts.where("wide IS NOT NULL")))
     facts = materialise(dialects.line_facts(lines), "line-facts")
     found = materialise(dialects.dialects(lines, firsts, facts), "dialects")
     cells = dialects.file_cells(lines, facts, found).where("row_kind <> 'long'")

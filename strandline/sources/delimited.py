@@ -120,20 +120,14 @@ def logical_rows(spark: SparkSession, paths, d: Dialect) -> DataFrame:
         "path", (F.coalesce("records", F.lit(0)) + F.coalesce("blank", F.lit(0))).alias("row_count"))
 
 
-def estimate_rows(spark: SparkSession, inv: DataFrame, paths, d: Dialect, sample: int = 500) -> DataFrame:
-    """Opt-in estimate per file: size over the mean length of its first lines."""
-    from pyspark.sql import Window
-
-    from .jsondocs import frame_documents
-    width = F.octet_length(F.encode("doc", ENCODING_CHARSETS.get(d.encoding, "UTF-8"))) + 1
-    w = Window.partitionBy("path").orderBy("row_id")
-    lines = frame_documents(spark, paths, encoding=d.encoding).select("path", "row_id", width.alias("w"))
-    firsts = lines.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= sample)
-    mean = firsts.groupBy("path").agg(F.avg("w").alias("w"))
-    rows = F.floor(F.col("size") / F.col("w")) - (1 if d.has_header else 0)
-    return inv.select("path", "size").join(mean, "path").select(
-        "path", F.greatest(rows, F.lit(0)).cast("long").alias("row_count"),
-        F.lit(True).alias("row_count_estimated"))
+def estimate_rows(inv: DataFrame, d: Dialect, windows: int = 16, window_bytes: int = 1 << 16) -> DataFrame:
+    """Opt-in estimate per file from a few ranges of it, with its error (``ranges.estimate_lines``); small files are counted."""
+    from .ranges import estimate_lines
+    e = estimate_lines(inv, windows, window_bytes)
+    rows = F.floor(F.round("lines", 6)) - (1 if d.has_header else 0)
+    return e.select("path", F.greatest(rows, F.lit(0)).cast("long").alias("row_count"),
+                    (F.col("bytes_read") < F.col("size")).alias("row_count_estimated"),
+                    F.ceil("error").cast("long").alias("row_count_error"), "bytes_read")
 
 
 def scan_mode(size: Column, limit: int = FULL_SCAN_BYTES) -> Column:

@@ -236,6 +236,16 @@ OVERRIDE_RULES = {
 }
 
 
+def check_overrides(overrides: dict[str, str]) -> None:
+    """Fails for a setting that is not known or a value that it cannot have."""
+    import re
+    if not isinstance(overrides, dict):
+        raise TypeError("overrides is a dict of setting -> value")
+    for k, v in overrides.items():
+        if k not in OVERRIDE_RULES or not re.match(OVERRIDE_RULES[k], str(v), re.S):
+            raise ValueError(f"setting {k} is not valid")
+
+
 def with_overrides(df: DataFrame, overrides: DataFrame | dict[str, str],
                    detected: dict[str, str]) -> DataFrame:
     """User overrides win over detection; each column says where it came from.
@@ -243,12 +253,7 @@ def with_overrides(df: DataFrame, overrides: DataFrame | dict[str, str],
     ``detected`` maps override keys to the columns that hold the detected value.
     Values are checked before they are used; a bad one fails the call.
     """
-    import re
-    if not isinstance(overrides, dict):
-        raise TypeError("overrides is a dict of setting -> value")
-    for k, v in overrides.items():
-        if k not in OVERRIDE_RULES or not re.match(OVERRIDE_RULES[k], str(v), re.S):
-            raise ValueError(f"setting {k} is not valid")
+    check_overrides(overrides)
     for k, column in detected.items():
         given = overrides.get(k)
         df = (df.withColumn(f"{column}_source", F.lit("override" if given is not None else "detected"))

@@ -9,6 +9,7 @@ dialect, which is a column like any other.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -28,13 +29,12 @@ STEP = 1 << 16
 CHARSET_LINES = 200
 #: Stands for a delimiter outside quotes while a record is taken apart.
 CUT = "\u0000"
-WIDE = {"utf-16": "utf-16", "utf-16-le": "utf-16-le", "utf-16-be": "utf-16-be", "utf-32": "utf-32"}
 
-FIRST_SCHEMA = "path string, head binary, record binary, wide string, error string"
+FIRST_SCHEMA = "path string, size long, head binary, record binary, wide string, error string"
 
 
 def first_records(files: DataFrame) -> DataFrame:
-    """``path, head, record, wide, error``: the bytes up to the end of the first record, however long it is.
+    """``path, size, record, wide, error``: the bytes up to the end of the first record, however long it is.
 
     ``wide`` names the charset of files in 16- or 32-bit units, which lines are not looked for in bytes.  A file that
     cannot be read is a row with ``error``.
@@ -55,10 +55,11 @@ def first_records(files: DataFrame) -> DataFrame:
                             data += more
                         wide = next((n for mark, n in ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"),
                                                        (codecs.BOM_UTF16_BE, "utf-16")) if data.startswith(mark)), None)
-                        rows.append((path, data[:STEP], data[:_end(data)], wide, None))
+                        rows.append((path, f.size(), data[:STEP], data[:_end(data)], wide, None))
                 except Exception as e:          # one unreadable file is a row, not a failed batch
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"[:500]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIRST_SCHEMA.split(", ")])
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"[:500]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FIRST_SCHEMA.split(", ")]) \
+                .astype({"size": "Int64"})
 
     found = spread(files.select("path")).mapInPandas(read, FIRST_SCHEMA)
     return found.withColumn("wide", F.coalesce("wide", F.when(bom(F.col("head")).startswith("utf-16"), bom(F.col("head"))),
@@ -81,32 +82,19 @@ def _end(data: bytes) -> int:
             return at
 
 
-def raw_lines(spark: SparkSession, places: Sequence[str]) -> DataFrame:
+def raw_lines(spark: SparkSession, places: Sequence[str], terminator: str | None = None) -> DataFrame:
     """``path, block, at, line``: lines as they are, with their file's split and their order in it."""
-    r = spark.read.format("text").load(list(places))
+    r = spark.read.format("text")
+    r = (r if terminator is None else r.option("lineSep", terminator)).load(list(places))
     # as listings write it: no authority, nothing escaped
     path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/"), F.lit("+"), F.lit("%2B")))
     return r.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
 
 
-def wide_lines(files: DataFrame) -> DataFrame:
-    """The same for files in 16- or 32-bit units (``path, wide``), decoded piece by piece by one task a file."""
-    def read(batches):
-        import io
-
-        from .opening import open_input
-        for pdf in batches:
-            for path, name in zip(pdf["path"], pdf["wide"]):
-                with open_input(path) as f:
-                    kept, at = [], 0
-                    for line in io.TextIOWrapper(f, encoding=name, errors="replace", newline=None):
-                        kept.append(line.rstrip("\n").removeprefix("﻿" if not at and not kept else "\0"))
-                        if len(kept) == 10_000:
-                            yield pd.DataFrame({"path": path, "block": 0, "at": range(at, at + len(kept)), "line": kept})
-                            at, kept = at + len(kept), []
-                    yield pd.DataFrame({"path": path, "block": 0, "at": range(at, at + len(kept)), "line": kept})
-    return files.select("path", "wide").mapInPandas(read, "path string, block long, at long, line string")
+def without_mark(line: Column) -> Column:
+    """A line without a byte order mark at its start."""
+    return F.when(line.startswith("\ufeff"), F.substring(line, F.lit(2), F.length(line))).otherwise(line)
 
 
 def _count(text: Column, char: str) -> Column:
@@ -118,9 +106,9 @@ def _outside(line: Column) -> Column:
     return F.when(line.contains(QUOTE), F.regexp_replace(line, f"{QUOTE}[^{QUOTE}]*{QUOTE}", "")).otherwise(line)
 
 
-def line_facts(lines: DataFrame) -> DataFrame:
+def line_facts(lines: DataFrame, delimiters: str = "".join(SNIFF_DELIMITERS)) -> DataFrame:
     """Per file and block what all its lines say, in numbers that are merged map-side."""
-    line, candidates = F.col("line"), "".join(SNIFF_DELIMITERS)
+    line, candidates = F.col("line"), re.escape(delimiters)
     # an odd run of quotes between other characters: it neither starts nor ends a cell, nor stands for a quote in one
     loose = f'(?<=[^{candidates}{QUOTE}]){QUOTE}(?:{QUOTE}{QUOTE})*(?=[^{candidates}{QUOTE}])'
     return lines.groupBy("path", "block").agg(
