@@ -181,6 +181,18 @@ def _title(spark, sf):
     return html.page_titles(table(spark, sf, "pages"))
 
 
+_NO_TITLE = "(?is)<title[^>]*>.*?</title>"
+
+
+@query("html_title_or_segment", f"""SELECT page_id, CASE WHEN page_id % 3 = 0 OR t = '' THEN regexp_extract(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '([^/]*)$', 1)
+  ELSE t END AS title FROM (SELECT page_id, url, trim(split_part({_COLL.format(_UNESC.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))}, '|', 1)) AS t FROM pages)""")
+def _title_or_segment(spark, sf):
+    """Every third page loses its title and is called by its address."""
+    pages = spread_table(spark, sf, "pages", "page_id", "url", "html")
+    untitled = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("html", _NO_TITLE, "")).otherwise(F.col("html"))
+    return html.page_titles(pages.withColumn("html", untitled), url="url")
+
+
 _LINKS = f"""
 WITH a AS (SELECT page_id, url AS base, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href, unnest(l) AS label FROM (
   SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a\\s*>', 1) AS h,

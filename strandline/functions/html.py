@@ -6,12 +6,8 @@ ever split across tasks and only the (small) findings are exploded.
 
 from __future__ import annotations
 
-import html as _html
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .text import data_extension
 from .tokens import bind
@@ -27,26 +23,75 @@ TAG = r"(?s)<[^>]*>"
 CODE_TAG = r"(?i)<(?:code|pre)\b"
 
 
-@F.pandas_udf(T.StringType())
-def unescape(s: pd.Series) -> pd.Series:
-    """Character references of the HTML standard (its table is Python's)."""
-    return s.map(_html.unescape, na_action="ignore")
+ENTRY, VALUE = "\u0001", "\u0002"
+
+
+def _named() -> dict[str, str]:
+    from html.entities import html5
+    return html5
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A map that is folded into the plan once."""
+    return F.str_to_map(F.lit(ENTRY.join(k + VALUE + v for k, v in sorted(entries.items()))), F.lit(ENTRY), F.lit(VALUE))
+
+
+# Most references of most pages; they need no look into the table.
+_USUAL = ("amp;", "lt;", "gt;", "quot;", "nbsp;")
+# What numbers 128 to 159 stand for: the Windows characters where there is one.
+_WINDOWS = "".join(bytes([n]).decode("cp1252") if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(n) for n in range(128, 160))
+
 
+def _number(body: Column) -> Column:
+    """The character of a numeric reference: a mark for what is none, nothing for control characters and non-characters."""
+    hexadecimal = body.rlike("^#[xX]")
+    digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    code = F.when(digits == "", F.lit(0)).when(F.length(digits) > 7, F.lit(0x110000)) \
+        .when(hexadecimal, F.conv(digits, 16, 10).try_cast("long")).otherwise(digits.try_cast("long")).cast("long")
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unescape_all(s: pd.Series) -> pd.Series:
-    return s.map(lambda xs: [x if x is None else _html.unescape(x) for x in xs], na_action="ignore")
+    def character(n: Column) -> Column:
+        # behind a byte order mark, so that one that is meant is kept
+        plain = F.call_function("decode", F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), F.lit("UTF-32"))
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+                .when(n.between(0x80, 0x9F), F.substring(F.lit(_WINDOWS), n.cast("int") - 127, F.lit(1)))
+                .when(n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+                      | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE), F.lit("")).otherwise(plain))
+    return bind(code, character)
+
+
+def _name(body: Column) -> Column:
+    """The characters of a named reference; old names also count without semicolon, as the longest start of a word."""
+    named = _named()
+    old = {k: v for k, v in named.items() if not k.endswith(";")}
+    start = lambda n: F.when(F.length(body) >= n, F.concat(F.try_element_at(_table(old), F.substring(body, 1, n)),
+                                                           F.substring(body, F.lit(n + 1), F.length(body))))
+    usual = F.lit(None).cast("string")
+    for k in _USUAL:
+        usual = F.when(body == k, F.lit(named[k])).otherwise(usual)
+    return F.coalesce(usual, F.try_element_at(_table(named), body), *[
+        start(n) for n in range(max(map(len, old)), min(map(len, old)) - 1, -1)], F.concat(F.lit("&"), body))
+
+
+def _reference(after: Column) -> Column:
+    """Text that follows an ampersand, with the reference it may start with decoded."""
+    body = F.regexp_extract(after, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+    return bind(body, lambda b: F.concat(
+        F.when(b == "", F.lit("&")).when(b.startswith("#"), _number(b)).otherwise(_name(b)),
+        F.substring(after, F.length(b) + 1, F.length(after))))
 
 
 def decode(c: Column) -> Column:
-    """Text with its character references decoded; text without an ampersand
-    does not travel to the Python worker."""
-    return F.coalesce(unescape(F.when(c.contains("&"), c)), c)
+    """Text with the character references of the HTML standard decoded, inside the JVM.
+
+    A null stays null; an ampersand that starts no reference stays as it is.
+    """
+    parts = F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_reference(p)))
+    return F.when(c.contains("&"), F.array_join(parts, "")).otherwise(c)
 
 
 def decode_all(c: Column) -> Column:
     """The same for an array of texts."""
-    return F.coalesce(unescape_all(F.when(F.exists(c, lambda x: x.contains("&")), c)), c)
+    return F.when(F.exists(c, lambda x: x.contains("&")), F.transform(c, lambda x: decode(x))).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
@@ -57,10 +102,16 @@ def raw_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
 
 
-def page_titles(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """First ``<title>``, white space collapsed, up to the first ``|``."""
-    titles = df.select(key, raw_title(F.col(html)).alias("t"))
-    return titles.select(key, F.trim(F.substring_index(collapse(decode(F.col("t"))), "|", 1)).alias("title"))
+def page_titles(df: DataFrame, key: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """First ``<title>``, white space collapsed, up to the first ``|``.
+
+    With ``url`` a page without one is called by the last segment of its address, without query and fragment.
+    """
+    address = F.lit("") if url is None else F.coalesce(F.col(url), F.lit(""))
+    titles = df.select(key, raw_title(F.col(html)).alias("t"), address.alias("a"))
+    title = F.trim(F.substring_index(collapse(decode(F.col("t"))), "|", 1))
+    segment = F.regexp_extract(F.col("a"), r"^[^?#]*?([^/?#]*)/*(?:[?#]|$)", 1)
+    return titles.select(key, F.when(F.coalesce(title, F.lit("")) == "", segment).otherwise(title).alias("title"))
 
 
 def _resolve(href: Column, base: Column) -> Column:
