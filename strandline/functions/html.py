@@ -31,9 +31,12 @@ def _named() -> dict[str, str]:
     return html5
 
 
-def _table(entries: dict[str, str]) -> Column:
-    """A map that is folded into the plan once."""
-    return F.str_to_map(F.lit(ENTRY.join(k + VALUE + v for k, v in sorted(entries.items()))), F.lit(ENTRY), F.lit(VALUE))
+def _find(key: Column, entries: dict[str, str]) -> Column:
+    """Value of a key in a table that is one text in the plan, which is cheaper to plan than a map; null if there is none."""
+    text = F.lit(ENTRY + ENTRY.join(k + VALUE + v for k, v in sorted(entries.items())) + ENTRY)
+    longest = max(map(len, entries.values())) + 1
+    return bind(F.call_function("locate", F.concat(F.lit(ENTRY), key, F.lit(VALUE)), text), lambda at: F.when(
+        at > 0, F.substring_index(F.substring(text, at + F.length(key) + 2, F.lit(longest)), ENTRY, 1)))
 
 
 # Most references of most pages; they need no look into the table.
@@ -63,13 +66,12 @@ def _name(body: Column) -> Column:
     """The characters of a named reference; old names also count without semicolon, as the longest start of a word."""
     named = _named()
     old = {k: v for k, v in named.items() if not k.endswith(";")}
-    start = lambda n: F.when(F.length(body) >= n, F.concat(F.try_element_at(_table(old), F.substring(body, 1, n)),
-                                                           F.substring(body, F.lit(n + 1), F.length(body))))
+    start = F.regexp_extract(body, f"^({'|'.join(sorted(old, key=lambda k: (-len(k), k)))})", 1)
     usual = F.lit(None).cast("string")
     for k in _USUAL:
         usual = F.when(body == k, F.lit(named[k])).otherwise(usual)
-    return F.coalesce(usual, F.try_element_at(_table(named), body), *[
-        start(n) for n in range(max(map(len, old)), min(map(len, old)) - 1, -1)], F.concat(F.lit("&"), body))
+    by_start = bind(start, lambda s: F.when(s != "", F.concat(_find(s, old), F.substring(body, F.length(s) + 1, F.length(body)))))
+    return F.coalesce(usual, _find(body, named), by_start, F.concat(F.lit("&"), body))
 
 
 def _reference(after: Column) -> Column:
@@ -145,12 +147,17 @@ def _dot_free(path: Column) -> Column:
     return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), text).otherwise(path)
 
 
-def anchors(html: Column) -> Column:
-    """``array<struct(href, label)>`` of a page, in document order; comments, scripts and styles hold none."""
+def anchor_texts(html: Column) -> Column:
+    """Whole anchors of a page, in document order; comments, scripts and styles hold none."""
     seen = F.when(html.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(html, UNSEEN, "")).otherwise(html)
-    group = lambda i: F.regexp_extract_all(seen, F.lit(ANCHOR), F.lit(i))
-    return F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"),
-                        group(4).alias("label"))
+    return F.regexp_extract_all(seen, F.lit(ANCHOR), F.lit(0))
+
+
+def anchors(html: Column) -> Column:
+    """``array<struct(href, label)>`` of a page's anchors, taken from the short texts that one pass over the page finds."""
+    group = lambda a, i: F.regexp_extract(a, ANCHOR, i)
+    return F.transform(anchor_texts(html), lambda a: F.struct(
+        F.concat(group(a, 1), group(a, 2), group(a, 3)).alias("href"), group(a, 4).alias("label")))
 
 
 def page_links(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
@@ -162,12 +169,13 @@ def page_links(df: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     found = df.select(key, F.col(url).alias("base"), F.filter(
         F.transform(anchors(F.col(html)), lambda x, i: F.struct(
-            i.alias("pos"), F.when(x["a"] != "", x["a"]).when(x["b"] != "", x["b"]).otherwise(x["c"]).alias("href"),
+            i.alias("pos"), x["href"].alias("href"),
             F.regexp_replace(x["label"], TAG, "").alias("label"))), lambda x: x["href"] != "").alias("x"))
     found = found.filter(F.size("x") > 0)
     # references are decoded after the anchors are isolated, on short strings only
-    decoded = found.select(key, "base", F.col("x.pos").alias("pos"), decode_all(F.col("x.href")).alias("href"),
-                           decode_all(F.col("x.label")).alias("label"))
+    n = F.size("pos")
+    decoded = found.select(key, "base", F.col("x.pos").alias("pos"), decode_all(F.concat("x.href", "x.label")).alias("both")) \
+        .select(key, "base", "pos", F.slice("both", F.lit(1), n).alias("href"), F.slice("both", n + 1, n).alias("label"))
     links = F.transform(F.arrays_zip("href", "pos", "label"), lambda x: F.struct(
         _resolve(x["href"], F.col("base")).alias("url"), x["pos"].alias("pos"), collapse(x["label"]).alias("label")))
     ordered = decoded.select(key, F.array_sort(links).alias("links"))
@@ -217,7 +225,7 @@ def page_kind(df: DataFrame, key: str = "page_id", url: str = "url", html: str =
     is a dataset page; one that only links on is a catalog.
     """
     code = F.when(F.col(html).rlike(CODE_TAG), code_text(F.col(html)))
-    base = df.select(key, F.col(url).alias("url"), F.size(anchors(F.col(html))).alias("links"), code.alias("t"))
+    base = df.select(key, F.col(url).alias("url"), F.size(anchor_texts(F.col(html))).alias("links"), code.alias("t"))
     decoded = base.select(key, "url", "links", decode(F.col("t")).alias("t"))
     j = decoded.select(key, "url", F.col("links").cast("long").alias("links"), F.coalesce(
         F.when(F.col("t").isNotNull(), F.size(_candidates(F.col("t")))), F.lit(0)).cast("long").alias("candidates"))
