@@ -236,8 +236,7 @@ def _mode(spark, sf):
 # --- delimited and text files ----------------------------------------------------
 
 def csv_copy(spark, sf, name):
-    t = text_table(spark, sf, name)
-    return staged(spark, (sf, name, "csv"), lambda p: t.write.option("header", True).option("escape", '"').csv(p))
+    return staged(spark, (sf, name, "csv"), lambda p: text_table(spark, sf, name).write.option("header", True).option("escape", '"').csv(p))
 
 
 @query("scan_delimited", """SELECT c_mktsegment, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total,

@@ -14,7 +14,7 @@ from .lookups import (
 )
 
 # Numeric token syntax (ASCII digits only) and the blanks around it.
-NUMERIC_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMERIC_PATTERN = r"^[+-]?(?:[0-9]++(?:\.[0-9]*+)?|\.[0-9]++)(?:[eE][+-]?[0-9]++)?$"
 BLANKS = (" \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
           "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -25,7 +25,7 @@ def strip_blanks(c: Column) -> Column:
     Most tokens carry none, so the trim runs only for those that start or end
     with something that is not visible ASCII.
     """
-    visible = lambda x: F.ascii(x).between(33, 126)
+    visible = lambda x: (x >= "!") & (x < "\x7f")
     return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(F.btrim(c, F.lit(BLANKS)))
 
 
@@ -45,6 +45,15 @@ def is_numeric_token(trimmed: Column) -> Column:
     return (F.octet_length(trimmed) <= MAX_NUMERIC_TOKEN) & trimmed.rlike(NUMERIC_PATTERN)
 
 
+def significant(trimmed: Column) -> Column:
+    """The number without its sign and leading zeros, null when the token is not numeric.
+
+    Most text starts with a letter, which one comparison of the first byte tells.
+    """
+    could_be = (trimmed >= "+") & (trimmed < ":")
+    return F.when(could_be & is_numeric_token(trimmed), F.ltrim(trimmed, F.lit("+-0")))
+
+
 def utf16_len(c: Column) -> Column:
     """UTF-16 code units.  ASCII text, the usual case, needs no re-encoding."""
     plain = F.octet_length(c) == F.length(c)
@@ -77,17 +86,6 @@ def _unsigned_parts(t: Column) -> tuple[Column, Column]:
     return whole, frac
 
 
-def plain_integer_digits(t: Column) -> Column:
-    """Integer digits of a numeric token that has no exponent."""
-    whole, _ = _unsigned_parts(t)
-    return F.length(F.ltrim(whole, F.lit("0")))
-
-
-def plain_scale(t: Column) -> Column:
-    _, frac = _unsigned_parts(t)
-    return F.length(frac)
-
-
 def numeric_token(c: Column) -> Column:
     """Struct of the token's exact shape, or null when it is not numeric.
 

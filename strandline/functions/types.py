@@ -92,6 +92,20 @@ def map_type(name: Column, max_len: Column | None = None) -> Column:
                     spark_type(name, max_len).alias("spark_type"))
 
 
+def inferred_types(name: Column, max_len: Column) -> tuple[Column, Column]:
+    """``map_type`` for the few names that inference from text gives: bool, int32, int64, decimal, object."""
+    few = ("bool", "int32", "int64")
+    width = text_width_bucket(max_len)
+    unsized = max_len.isNull() | width.isNull()
+
+    def mapped(table: dict[str, str], prefix: str, text: str) -> Column:
+        return (F.when(name == "object", F.when(unsized, F.lit(text)).otherwise(F.format_string(prefix + "(%d)", width)))
+                .when(name.isin(*few), lookup_column({k: table[k] for k in few}, name))
+                .otherwise(_decimal(name, "DECIMAL", text)))
+
+    return mapped(TARGET_TYPES, "NVARCHAR", "NVARCHAR(MAX)"), mapped(SPARK_TYPES, "VARCHAR", "STRING")
+
+
 def iceberg_type(raw: Column) -> Column:
     """Detected type name of an Iceberg type (nested types by their kind)."""
     n = F.lower(F.trim(raw))

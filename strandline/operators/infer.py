@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.lookups import text_array
-from ..functions.types import map_type, target_type, with_type_overrides
+from ..functions.types import inferred_types, map_type, target_type, with_type_overrides
 
 # What a token can be, as bits of the per-column evidence mask.
 BOOL, INT32, INT64, DECIMAL, EXPONENT, TEXT = (1 << i for i in range(6))
@@ -26,51 +26,65 @@ def _fits(digits: Column, negative: Column, low: str, high: str) -> Column:
     Compared as text: a cast that fails raises inside the JVM and costs far more
     than the comparison, and on text columns nearly every cast would fail.
     """
-    n = F.length(digits)
+    n = F.octet_length(digits)
     limit = F.when(negative, F.lit(low)).otherwise(F.lit(high))
     return (n < len(high)) | ((n == len(high)) & (digits <= limit))
 
 
-def token_bit(c: Column, t: Column) -> Column:
-    """Class bit of a raw token ``c`` with its trimmed form ``t``; 0 = missing."""
-    digits = F.ltrim(F.ltrim(t, F.lit("+-")), F.lit("0"))
+_BUILT: dict[tuple, Column] = {}
+
+
+def built(key: tuple, make) -> Column:
+    """A large expression over fixed column names, built once per application."""
+    from pyspark import SparkContext
+    full = (SparkContext._active_spark_context.applicationId, *key)
+    if full not in _BUILT:
+        _BUILT[full] = make()
+    return _BUILT[full]
+
+
+def token_bit(n: str) -> Column:
+    """Class bit of the token prepared by ``with_token_bits``; 0 = missing.
+
+    No missing or boolean token is numeric, so numbers need only the one test.
+    """
+    c, t, digits = F.col(f"{n}_c"), F.col(f"{n}_t"), F.col(f"{n}_d")
     negative = t.startswith("-")
-    number = (F.when(t.contains("."), F.when(_has_exponent(t), F.lit(EXPONENT)).otherwise(F.lit(DECIMAL)))
-              .when(_fits(digits, negative, "2147483648", "2147483647") & ~_has_exponent(t), F.lit(INT32))
-              .when(_has_exponent(t), F.lit(EXPONENT))
-              .when(_fits(digits, negative, "9223372036854775808", "9223372036854775807"), F.lit(INT64))
-              .otherwise(F.lit(DECIMAL)))
-    # no missing or boolean token is numeric, so numbers need only the one test
-    return (F.when(tk.is_numeric_token(t), number)
+    exponent = t.contains("e") | t.contains("E")
+    return (F.when(digits.isNotNull(),
+                   F.when(exponent, F.lit(EXPONENT)).when(F.col(f"{n}_p") > 0, F.lit(DECIMAL))
+                   .when(_fits(digits, negative, "2147483648", "2147483647"), F.lit(INT32))
+                   .when(_fits(digits, negative, "9223372036854775808", "9223372036854775807"), F.lit(INT64))
+                   .otherwise(F.lit(DECIMAL)))
             .when(tk.is_missing(c), F.lit(0))
             .when(tk.is_bool_token(c), F.lit(BOOL))
             .otherwise(F.lit(TEXT)))
 
 
-def _has_exponent(t: Column) -> Column:
-    return t.contains("e") | t.contains("E")
-
-
 def with_token_bits(df: DataFrame, cells: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
-    """``<n>_c`` raw, ``<n>_t`` trimmed and ``<n>_b`` class bit for every cell.
+    """For every cell ``<n>_c`` raw, ``<n>_t`` trimmed, ``<n>_d`` the number without sign and leading
+    zeros (null unless numeric), ``<n>_p`` the place of the point in it and ``<n>_b`` class bit.
 
-    Three stacked projections on purpose: each value is computed once per token
+    Stacked projections on purpose: each value is computed once per token
     and only referenced afterwards, where one nested expression would repeat it.
     """
-    raw = df.select(*keep, *[v.alias(f"{n}_c") for n, v in cells.items()])
-    trimmed = raw.select("*", *[tk.strip_blanks(F.col(f"{n}_c")).alias(f"{n}_t") for n in cells])
-    return trimmed.select("*", *[token_bit(F.col(f"{n}_c"), F.col(f"{n}_t")).alias(f"{n}_b")
-                                 for n in cells])
+    steps = [("t", lambda n: tk.strip_blanks(F.col(f"{n}_c"))), ("d", lambda n: tk.significant(F.col(f"{n}_t"))),
+             ("p", lambda n: F.instr(F.col(f"{n}_d"), ".")), ("b", token_bit)]
+    out = df.select(*keep, *[v.alias(f"{n}_c") for n, v in cells.items()])
+    for suffix, make in steps:
+        out = out.select("*", *[built(("token", suffix, n), lambda n=n: make(n)).alias(f"{n}_{suffix}") for n in cells])
+    return out
 
 
 def token_features(n: str) -> dict[str, Column]:
     """The numbers one token contributes to its column's evidence."""
-    c, t, bit = F.col(f"{n}_c"), F.col(f"{n}_t"), F.col(f"{n}_b")
+    c, digits, point, bit = F.col(f"{n}_c"), F.col(f"{n}_d"), F.col(f"{n}_p"), F.col(f"{n}_b")
     numeric = bit.bitwiseAND(F.lit(INT32 | INT64 | DECIMAL)) != 0
+    length = F.octet_length(digits)
     return {
         "mask": bit,
-        "int_digits": F.when(numeric, tk.plain_integer_digits(t)),
-        "scale": F.when(bit == DECIMAL, tk.plain_scale(t)).when(numeric, F.lit(0)),
+        "int_digits": F.when(numeric, F.when(point > 0, point - 1).otherwise(length)),
+        "scale": F.when(numeric, F.when(point > 0, length - point).otherwise(F.lit(0))),
         "width": F.when(bit != 0, tk.utf16_len(c)),
         "missing": F.when(bit == 0, F.lit(1)).otherwise(F.lit(0)),
     }
@@ -132,20 +146,14 @@ def melt(df: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFra
 
 def merge_tokens(tokens: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     bits = with_token_bits(tokens, {"x": F.col("token")}, keep=[*by, "pos"])
-    merged = merge_evidence(token_features("x"))
-    return bits.groupBy(*by, "pos").agg(*[v.alias(k) for k, v in merged.items()])
-
-
-_MAPPED: dict[str, Column] = {}
+    parts = ("mask", "int_digits", "scale", "width", "missing", "rows")
+    return bits.groupBy(*by, "pos").agg(*[
+        built(("merged", k), lambda k=k: merge_evidence(token_features("x"))[k]).alias(k) for k in parts])
 
 
 def mapped_type() -> Column:
-    """``map_type`` of the evidence columns; the large expression is built once."""
-    from pyspark import SparkContext
-    key = SparkContext._active_spark_context.applicationId
-    if key not in _MAPPED:
-        _MAPPED[key] = map_type(F.col("detected_type"), F.col("max_length"))
-    return _MAPPED[key]
+    """``map_type`` of the evidence columns, any type name."""
+    return built(("mapped",), lambda: map_type(F.col("detected_type"), F.col("max_length")))
 
 
 def finish_columns(evidence: DataFrame, full: bool = True, has_header: bool = True,
@@ -155,23 +163,23 @@ def finish_columns(evidence: DataFrame, full: bool = True, has_header: bool = Tr
     ``full=False`` marks sampled evidence: the detected type is still reported
     but the effective type is text, because unread rows could disagree.
     """
-    detected = delimited_type(F.col("mask"), F.col("int_digits"), F.col("scale"))
+    detected = built(("detected",), lambda: delimited_type(F.col("mask"), F.col("int_digits"), F.col("scale")))
     observed = F.when(F.col("detected_type") == "object", F.col("width")).cast("long")
     max_len = F.when(F.lit(full), tk.sized(F.col("observed_max_length")))
-    effective = mapped_type()
-    bool_text = (F.col("detected_type") == "bool") & F.lit(delimited)
+    target, stored = (built(("inferred", i), lambda i=i: inferred_types(F.col("detected_type"), F.col("max_length"))[i])
+                      for i in range(2))
     out = (evidence.withColumn("detected_type", detected)
            .withColumn("observed_max_length", observed)
-           .withColumn("max_length", max_len)
-           .withColumn("mapped", effective))
+           .withColumn("max_length", max_len))
     keep = [c for c in evidence.columns if c not in
             {"mask", "int_digits", "scale", "width", "missing", "rows"}]
-    unsure = F.lit(not full)
+    if not full:                            # unread rows could disagree
+        target, stored = F.lit("NVARCHAR(MAX)"), F.lit("STRING")
+    elif delimited:
+        target = F.when(F.col("detected_type") == "bool", F.lit("NVARCHAR(5)")).otherwise(target)
     return out.select(
         *keep, "detected_type", "observed_max_length", "max_length",
-        F.when(unsure, F.lit("NVARCHAR(MAX)")).when(bool_text, F.lit("NVARCHAR(5)"))
-        .otherwise(F.col("mapped.target_type")).alias("target_type"),
-        F.when(unsure, F.lit("STRING")).otherwise(F.col("mapped.spark_type")).alias("spark_type"),
+        target.alias("target_type"), stored.alias("spark_type"),
         F.col("missing").cast("long").alias("missing"), F.col("rows").cast("long").alias("rows"),
         F.lit(True).alias("nullable"),          # inferred columns are never promised non-null
         F.lit("full" if full else "sampled").alias("schema_inference"),

@@ -143,3 +143,27 @@ def test_array_and_lines_give_the_same_profile(spark, rows):
     a, b = jsonprofile.json_profile(d), jsonprofile.json_profile(items)
     names = lambda p: {r["name"] for r in p.collect()}
     assert names(a) == names(b) == {"a", "b", "c"}
+
+
+def test_token_evidence_against_plain_python(spark):
+    """Class, digits and scale of single tokens; the few inferred names map like any type name."""
+    import re
+    tokens = ["5", "-5", "+7", "12.34", "12.", "00.50", ".5", "0", "-0", "000", ".", "-.", "+.", "1e5", "1E-3", "1e", "--1", "+-1",
+              "1_0", "0x1F", "-", "abc", "1,5", "9" * 25, "-" + "0" * 40 + "5", "NaN", "1d", "1/2", "1.2.3", "12 34", " 8 ", " 8",
+              "5\x01", "2147483647", "2147483648", "-2147483648", "-2147483649", "9223372036854775807", "9223372036854775808", "~x", "\x7f"]
+    cells = spark.createDataFrame([(t,) for t in tokens], "token string").withColumn("pos", F.monotonically_increasing_id())
+    got = {r["token"]: r for r in infer.merge_tokens(cells.withColumn("k", F.col("token")), ["k"]).withColumnRenamed("k", "token").collect()}
+    for token in tokens:
+        t, r = token.strip("  "), got[token]
+        numeric = re.fullmatch(r"[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?", t)
+        assert bool(r["mask"] & (infer.INT32 | infer.INT64 | infer.DECIMAL | infer.EXPONENT)) == bool(numeric), token
+        if numeric and "e" not in t.lower():
+            whole, _, frac = t.lstrip("+-").partition(".")
+            assert (r["int_digits"], r["scale"]) == (len(whole.lstrip("0")), len(frac)), token
+            kind = infer.DECIMAL if "." in t or not -2**63 <= int(t) < 2**63 else infer.INT32 if -2**31 <= int(t) < 2**31 else infer.INT64
+            assert r["mask"] == kind, token
+    names = spark.createDataFrame([(n, w) for n in ("bool", "int32", "int64", "object", "decimal(5,2)", "decimal(38,38)", "decimal(39,0)")
+                                   for w in (None, 0, 3, 200, 201, 3999, 4000, 4001)], "n string, w long")
+    target, stored = ty.inferred_types(F.col("n"), F.col("w"))
+    rows = names.select(target.alias("a"), stored.alias("b"), ty.map_type(F.col("n"), F.col("w")).alias("m")).collect()
+    assert all((r["a"], r["b"]) == tuple(r["m"]) for r in rows)
