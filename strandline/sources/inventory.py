@@ -138,7 +138,8 @@ def table_root(path: Column) -> Column:
 def table_roots(inv: DataFrame) -> DataFrame:
     """Distinct table folders ``(root, kind)``; Delta wins when both apply."""
     proof = inv.select(table_root(F.col("path")).alias("t")).filter("t is not null")
-    return proof.groupBy(F.col("t.root").alias("root")).agg(F.min("t.kind").alias("kind"))
+    return proof.groupBy(F.col("t.root").alias("root")).agg(
+        F.when(F.bool_or(F.col("t.kind") == "delta"), F.lit("delta")).otherwise(F.lit("iceberg")).alias("kind"))
 
 
 def ancestors(path: Column) -> Column:
@@ -148,30 +149,41 @@ def ancestors(path: Column) -> Column:
     return F.transform(upto, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+def outermost(roots: DataFrame) -> DataFrame:
+    """Table folders that lie in no other one; the files below them are disjoint intervals of the sorted paths."""
+    above = roots.select("root", F.explode(ancestors(F.col("root"))).alias("outer")).filter("outer <> root")
+    inner = above.join(roots.select(F.col("root").alias("outer")), "outer", "left_semi").select("root")
+    return roots.join(inner, "root", "left_anti")
+
+
 def assign_roots(inv: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every file with its outermost table folder (null for loose files).
+    """Every file with its outermost table folder ``(root, kind)``, both null for loose files.
 
-    Prefix matching is an equi-join: folders, not files, are joined with the
-    roots, so the big side is reduced to distinct folders before any shuffle
-    and files of one huge folder meet the join once.
+    A file lies in at most one outermost folder, and the folder's depth tells which prefix of the path to look up.
+    The listing is therefore neither grouped nor sorted: it is joined once for every depth at which there are
+    table folders, and each of these joins is a broadcast as long as the stored folders are as small as Spark's own
+    limit asks; beyond it a folder with most of the files is split like any skewed join key.
     """
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    with_folder = inv.withColumn("folder", folder)
-    folders = with_folder.select("folder").distinct()
-    pairs = folders.select("folder", F.explode(ancestors(F.concat("folder", F.lit("/x")))).alias("root"))
-    owned = (pairs.join(roots, "root")
-             .groupBy("folder").agg(F.min(F.struct(F.length("root").alias("n"), "root", "kind")).alias("m"))
-             .select("folder", F.col("m.root").alias("root"), F.col("m.kind").alias("kind")))
-    return with_folder.join(owned, "folder", "left").drop("folder")
+    from ..workspace import materialise
+    depth = F.length("root") - F.length(F.replace("root", F.lit("/")))
+    top = materialise(outermost(roots.select("root", "kind")).withColumn("depth", depth), "table-folders")
+    out, found = inv, []
+    for d in sorted(r[0] for r in top.select("depth").distinct().collect()):      # as many as the deepest path has parts
+        key, hit = f"_key{d}", f"_hit{d}"
+        prefix = F.substring_index("path", "/", d + 1)
+        out = out.withColumn(key, F.when(prefix != F.col("path"), prefix)).join(
+            top.filter(F.col("depth") == d).select(F.col("root").alias(key), F.col("kind").alias(hit)), key, "left")
+        found.append(F.when(F.col(hit).isNotNull(), F.struct(F.col(key).alias("root"), F.col(hit).alias("kind"))))
+    owner = F.coalesce(*found) if found else F.lit(None).cast("struct<root:string,kind:string>")
+    return out.select(*[F.col(f"`{c}`") for c in inv.columns], owner["root"].alias("root"), owner["kind"].alias("kind"))
 
 
 def collapse_tables(inv: DataFrame) -> DataFrame:
     """Table folders as one row each (size = all members), loose files as they are."""
     owned = assign_roots(inv, table_roots(inv))
-    unit = F.coalesce("root", "path")
-    typed = owned.withColumn("by_name", lookup_column(EXTENSION_FORMATS, extension(F.col("path"))))
-    return typed.groupBy(unit.alias("path")).agg(
-        F.max(F.coalesce("kind", "by_name")).alias("file_type"),
+    kind = F.coalesce("kind", lookup_column(EXTENSION_FORMATS, extension(F.col("path"))))
+    # a unit has one type, so that the type can be a key and the aggregate stays hashed
+    return owned.groupBy(F.coalesce("root", "path").alias("path"), kind.alias("file_type")).agg(
         F.sum("size").cast("long").alias("size"),
         F.count(F.lit(1)).alias("members"),
         F.max("mtime").alias("mtime"))

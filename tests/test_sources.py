@@ -319,3 +319,25 @@ def test_wide_parquet_keeps_all_readable_columns(spark, tmp_path):
 def test_legacy_charset(spark, text, codec):
     df = spark.createDataFrame([(bytearray(text.encode(codec)),)], "head binary")
     assert df.select(detect.legacy_charset(F.col("head")).alias("g")).first()["g"]["encoding"] == codec
+
+
+def test_files_find_their_outermost_table_folder(spark):
+    """Nested folders, folders at several depths, a file named like a folder, prefixes that end inside a name."""
+    paths = (["a/t/_delta_log/0.json", "a/t/x.parquet", "a/t/sub/metadata/v1.metadata.json", "a/t/sub/y.parquet", "a/t2/x.parquet",
+              "a/t.csv", "b/c/d/ice/metadata/v1.metadata.json", "b/c/d/ice/data/z.parquet", "b/c/d/ice2", "a/both/_delta_log/1.json",
+              "a/both/metadata/v1.metadata.json", "b/c/d/x/ice", "loose"] + [f"a/t/p={i % 3}/{i}.parquet" for i in range(300)])
+    inv = spark.createDataFrame([(p, 1, None) for p in paths], "path string, size long, mtime timestamp")
+    roots = inventory.table_roots(inv)
+    assert {tuple(r) for r in roots.collect()} == {("a/t", "delta"), ("a/t/sub", "iceberg"), ("b/c/d/ice", "iceberg"), ("a/both", "delta")}
+    owned = inventory.assign_roots(inv, roots)
+    tops = {"a/t": "delta", "b/c/d/ice": "iceberg", "a/both": "delta"}
+    for r in owned.collect():
+        expected = next(((t, k) for t, k in tops.items() if r["path"].startswith(t + "/")), (None, None))
+        assert (r["root"], r["kind"]) == expected, r["path"]
+    assert owned.count() == len(paths)
+    plan = owned._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    units = {r["path"]: (r["file_type"], r["members"]) for r in inventory.collapse_tables(inv).collect()}
+    assert units["a/t"] == ("delta", 304) and units["a/t.csv"] == ("csv", 1) and units["loose"] == (None, 1) and "a/t/sub" not in units
+    none = inventory.assign_roots(inv.filter("path = 'loose'"), inventory.table_roots(inv.filter("path = 'loose'")))
+    assert [tuple(r) for r in none.collect()] == [("loose", 1, None, None, None)]
