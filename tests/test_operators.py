@@ -224,6 +224,47 @@ def test_stream_equals_batch(spark, tmp_path, rows):
     assert sorted(rows(incremental.stored_profile(spark, store).select(cols))) == sorted(rows(infer.infer_columns(df).select(cols)))
 
 
+def test_stored_profile_after_many_batches_and_rewritten_files(spark, tmp_path, rows):
+    """Every step equals a scan of the files; the number of folders stays bounded; changed files replace their evidence."""
+    from strandline.operators import infer
+    from strandline.streaming import incremental
+    src, store, ck = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "ck")
+    src.mkdir()
+    names = ["path", "b"]                       # a column may be called like anything
+    cols = ["pos", "name", "detected_type", "observed_max_length", "missing", "rows"]
+
+    def put(name, lines):
+        (src / name).write_text("path,b\n" + "".join(f"{x},{y}\n" for x, y in lines))
+
+    def same():
+        whole = spark.read.schema("path string, b string").option("header", True).csv(str(src))
+        assert sorted(rows(incremental.stored_profile(spark, store).select(cols))) == sorted(rows(infer.infer_columns(whole).select(cols)))
+
+    for i in range(14):
+        put(f"f{i:02d}.csv", [(k, "x" * (i + 1)) for k in range(5)])
+    incremental.profile_stream(spark, str(src), names, store, ck, files_per_trigger=1, compact_after=3).awaitTermination()
+    same()
+    assert len(incremental.steps(spark, store)) <= 8 and incremental.steps(spark, store)[-1][0] == 14
+    assert incremental.refresh(spark, str(src), names, store) == 0
+    put("f03.csv", [("1.5", "y" * 40), ("NA", "")])             # rewritten
+    put("f04.csv", [])                                          # rewritten, no rows left
+    put("new [1] a.csv", [("7", "z")])                          # added beside the stream
+    (src / "f05.csv").unlink()
+    assert incremental.refresh(spark, str(src), names, store, compact_after=100) == 4
+    same()
+    assert incremental.refresh(spark, str(src), names, store, compact_after=100) == 0
+    newest = incremental.steps(spark, store)[-1][0]
+    before = {r["name"]: r["rows"] for r in incremental.stored_profile(spark, store, as_of=14).collect()}
+    assert newest > 14 and before["b"] == 70
+    with pytest.raises(ValueError):
+        incremental.stored_profile(spark, store, as_of=1)
+    incremental.compact(spark, store, 1)
+    same()
+    assert incremental.refresh(spark, str(src), names, store) == 0
+    with pytest.raises(FileNotFoundError):
+        incremental.stored_profile(spark, str(tmp_path / "nothing"))
+
+
 def test_links_only_from_real_anchors(spark):
     from strandline.functions import html
     page = ('<a data-href="/no" href="/yes">a</a><!-- <a href="/old">b</a> --><script>"<a href=\'/js\'>c</a>"</script>'
