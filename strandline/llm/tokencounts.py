@@ -26,7 +26,7 @@ MARK = "▁"
 #: Score of a byte of a character that no piece covers.
 BYTE_SCORE = -14_000
 #: Counts remembered between parts of a task's rows.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -45,13 +45,15 @@ def read_pieces(path: str) -> list[str]:
 
 
 class PieceScores:
+    """Scores of pieces in a tree read from a piece's last character to its first; an empty key holds the score."""
+
     def __init__(self, scores: dict[str, int]):
-        self.scores = scores
-        # pieces by last character and length: only lengths that occur are tried
-        lengths: dict[str, set[int]] = {}
-        for p in scores:
-            lengths.setdefault(p[-1], set()).add(len(p))
-        self.lengths = {c: sorted(v) for c, v in lengths.items()}
+        self.root: dict = {}
+        for piece, score in scores.items():
+            node = self.root
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = score
 
     def counts(self, tokens: Iterable[str]) -> dict[str, int]:
         """Tokens of the best segmentation of each pre-token; of equal scores the one with fewer tokens.
@@ -59,25 +61,28 @@ class PieceScores:
         ``best[i]`` is the (score, -tokens) of the first i characters on the path from the root.
         """
         out: dict[str, int] = {}
-        scores, lengths = self.scores, self.lengths
+        root, nothing = self.root, {}
         before, best = "", [(0, 0)]
         for token in sorted(tokens):
             shared = len(os.path.commonprefix((before, token)))
             del best[shared + 1:]
             for end in range(shared + 1, len(token) + 1):
                 c = token[end - 1]
-                n = len(c.encode("utf-8", "surrogatepass"))
+                n = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
                 s, k = best[end - 1]
-                top = (s + n * BYTE_SCORE, k - n)
-                for size in lengths.get(c, ()):
-                    if size > end:
+                top, tokens_less = s + n * BYTE_SCORE, k - n
+                node, at = root.get(c, nothing), end - 1
+                while node:                     # pieces that end here, from the shortest; most walks stop early
+                    if "" in node:
+                        s, k = best[at]
+                        s += node[""]
+                        if s > top or (s == top and k - 1 > tokens_less):
+                            top, tokens_less = s, k - 1
+                    if not at:
                         break
-                    v = scores.get(token[end - size:end])
-                    if v is not None:
-                        s, k = best[end - size]
-                        if (s + v, k - 1) > top:
-                            top = (s + v, k - 1)
-                best.append(top)
+                    at -= 1
+                    node = node.get(token[at])
+                best.append((top, tokens_less))
             out[token] = -best[-1][1]
             before = token
         return out
