@@ -248,6 +248,19 @@ def _catalog(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ty.delta_type(d).alias("delta"), ty.iceberg_type(c).alias("iceberg"))
 
 
+ICE_MORE = ["int", "FLOAT", " double ", "boolean", "string", "date", "time", "timestamp", "timestamp_ns", "timestamptz_ns", "binary",
+            "decimal(38, 0)", "decimal", "unknown", '{"type":"struct","fields":[]}', '{"type":"map","key":"string","value":"int"}']
+ICE_MORE_OUT = ["int32", "float32", "float64", "bool", "str", "date", "time64[us]", "timestamp[us]", "timestamp[ns]", "timestamp[ns, tz=UTC]", "binary",
+                "decimal(38,0)", "decimal128", "str", "dict", "dict"]
+
+
+@query("inf_iceberg_type", f"""SELECT o_orderstatus, {_list(ICE_MORE_OUT)}[o_custkey % 16 + 1] AS detected, count(*) AS n FROM orders GROUP BY 1, 2""")
+def _iceberg_names(spark, sf):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ICE_MORE]), (F.col("o_custkey") % 16 + 1).cast("int"))
+    named = table(spark, sf, "orders").select("o_orderstatus", ty.iceberg_type(raw).alias("detected"))
+    return named.groupBy("o_orderstatus", "detected").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("inf_override", """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'INT' WHEN p_size % 3 = 1 THEN 'DECIMAL(10,2)'
   ELSE 'NVARCHAR(MAX)' END AS t FROM part""")
 def _override(spark, sf):

@@ -41,6 +41,20 @@ def _props(spark, sf):
         ev.select(F.col("key").alias("name"), "seen"), "name")
 
 
+@query("inf_json_nesting", """WITH d AS (SELECT lang, doc_id % 5 AS k, CASE doc_id % 5 WHEN 0 THEN 'object' WHEN 1 THEN 'array'
+    WHEN 2 THEN CASE WHEN n_chars % 2 = 0 THEN 'object' ELSE 'array' END WHEN 3 THEN CASE WHEN n_chars % 2 = 0 THEN 'array' END ELSE 'scalar' END AS f FROM documents)
+  SELECT lang, 'k' || k AS name, CASE WHEN min(f) = max(f) THEN min(f) ELSE 'scalar' END AS nesting FROM d GROUP BY lang, k""")
+def _nesting(spark, sf):
+    """A key is an object or an array only if all its values are; nulls do not count, a mixture is scalar."""
+    k, even = F.col("doc_id") % 5, F.col("n_chars") % 2 == 0
+    value = (F.when(k == 0, F.lit('{"a":[1]}')).when(k == 1, F.lit('[{"a":1}]'))
+             .when(k == 2, F.when(even, F.lit("{}")).otherwise(F.lit("[]")))
+             .when(k == 3, F.when(even, F.lit("[null]")).otherwise(F.lit("null"))).otherwise(F.lit('"[1]"')))
+    d = table(spark, sf, "documents").select("lang", F.col("doc_id").alias("row_id"), F.concat(
+        F.lit('{"k'), k.cast("string"), F.lit('":'), value, F.lit("}")).alias("doc"))
+    return jsonprofile.json_profile(d, ["lang"]).select("lang", "name", "nesting")
+
+
 @query("inf_json_rejected", """SELECT o_orderstatus, bool_or(length(r) > 256) AS rejected_numeric FROM (
   SELECT o_orderstatus, repeat('1', CAST(CASE WHEN o_orderstatus = 'F' THEN 200 + o_custkey % 100 ELSE 1 + o_custkey % 30 END AS BIGINT)) AS r FROM orders) GROUP BY 1""")
 def _rejected(spark, sf):

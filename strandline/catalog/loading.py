@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.text import clean_name, table_name
 from ..operators import infer, jsonprofile, load, setops, validate
 from ..operators.validate import Assertion
+from ..sources import inventory
 from ..streaming import incremental
 from ..workspace import shared_dir, staged
 from .inference import DIRTY_SQL, NUM, TEXT, dirty, infer_sql, text_sql, text_table, OUT
@@ -247,6 +248,43 @@ def _manifest(spark, sf):
     return validate.manifest_diff(validate.content_digests(docs, "doc_id", "text"), manifest)
 
 
+@query("val_manifest_files", """WITH f AS (SELECT doc_id // 100 AS block, string_agg(doc_id || ':' || n_chars, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1),
+  m AS (SELECT block, CASE WHEN block % 3 = 0 THEN body || 'x' ELSE body END AS body FROM f WHERE block % 4 <> 0 UNION ALL SELECT -1, 'gone')
+  SELECT coalesce(f.block, m.block) AS block, octet_length(encode(f.body)) AS bytes, sha256(f.body) AS sha256,
+    CASE WHEN f.block IS NULL THEN 'missing' WHEN m.block IS NULL THEN 'extra' WHEN f.body = m.body THEN 'same' ELSE 'different' END AS status
+  FROM f FULL JOIN m ON f.block = m.block""")
+def _manifest_files(spark, sf):
+    """Digests of real files, read on executors, against a manifest that lacks, changes and invents some."""
+    def write(path):
+        lines = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", F.concat_ws(
+            ":", F.col("doc_id").cast("string"), F.col("n_chars").cast("string")).alias("value"))
+        lines.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "value").write.partitionBy("block").text(path)
+    files = inventory.inventory(spark, staged(spark, (sf, "documents", "blocks"), write))
+    block = F.regexp_extract("path", "/block=([^/]+)/", 1).cast("long")
+    found = validate.file_digests(files).select(block.alias("path"), "bytes", "sha256")
+    body = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))), lambda x: F.concat_ws(
+        ":", x["doc_id"].cast("string"), x["n_chars"].cast("string"))), "\n"), F.lit("\n"))
+    whole = table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 100).alias("path")).agg(body.alias("body")).filter("path % 4 <> 0")
+    known = whole.select("path", F.when(F.col("path") % 3 == 0, F.concat("body", F.lit("x"))).otherwise(F.col("body")).alias("body"))
+    known = known.unionByName(spark.createDataFrame([(-1, "gone")], "path long, body string")).select(
+        "path", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("sha256"))
+    status = validate.manifest_diff(found, known)
+    return status.join(found, "path", "left").select(F.col("path").alias("block"), "bytes", "sha256", "status")
+
+
+@query("val_error_number", """SELECT o_orderstatus, kind, expected, actual, ok FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), (VALUES
+  ('error_number', '8152', '8152', true), ('error_number', '4861', '8152', false), ('no_error', NULL, '8152', false)) v(kind, expected, actual, ok)
+  UNION ALL SELECT o_orderstatus, 'row_count', '7000', CAST(count(*) AS VARCHAR), count(*) = 7000 FROM orders GROUP BY 1""")
+def _error_number(spark, sf):
+    """A load that must fail with one number, reported next to the rows of each status."""
+    o = table(spark, sf, "orders")
+    wanted = [Assertion("error_number", 8152), Assertion("error_number", 4861), Assertion("no_error"), Assertion("row_count", 7000)]
+    parts = [validate.check(o.filter(F.col("o_orderstatus") == s), wanted, error_number=8152).select(
+        F.lit(s).alias("o_orderstatus"), "kind", "expected", "actual", "ok")
+        for s in sorted(r[0] for r in o.select("o_orderstatus").distinct().collect())]          # three statuses
+    return setops.union_all(parts)
+
+
 @query("val_summary", """SELECT event_type AS verdict, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'ACCEPTED', count(*) FROM events WHERE event_type <> 'error' AND event_type <> 'view'
   UNION ALL SELECT 'DEFECTS', count(*) FROM events WHERE event_type = 'error'""")
 def _verdicts(spark, sf):

@@ -76,6 +76,15 @@ def _clean(spark, sf):
                     text.escape_name(F.col("s_name"), "#").alias("escaped"))
 
 
+@query("tx_escape", """SELECT doc_id, length(e) AS n, md5(e) AS digest FROM (SELECT doc_id, replace(regexp_replace(coalesce(text, '') || chr(9) || chr(10) || '`e`',
+  '[\\x00-\\x1F\\x7F\\x{85}\\x{2028}\\x{2029}]+', ' ', 'g'), 'e', 'ee') AS e FROM documents)""")
+def _escape(spark, sf):
+    """Whole texts as names: runs of control characters become one blank, the quoting letter is doubled."""
+    d = spread_table(spark, sf, "documents", "doc_id", "text")
+    e = d.select("doc_id", text.escape_name(F.concat(F.coalesce("text", F.lit("")), F.lit("\t\n`e`")), "e").alias("e"))
+    return e.select("doc_id", F.length("e").cast("long").alias("n"), F.md5("e").alias("digest"))
+
+
 @query("tx_safe_file_name", """SELECT page_id, CASE WHEN n = '' THEN 'dataset' ELSE substr(n, 1, 120) END AS safe FROM (
   SELECT page_id, trim(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS n FROM pages)""")
 def _safe(spark, sf):

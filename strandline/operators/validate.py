@@ -64,7 +64,7 @@ def table_checksum(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 @dataclass(frozen=True)
 class Assertion:
-    kind: str            # row_count, column_count, value_equals, no_error, values_not_all_null, catalog_present
+    kind: str            # row_count, column_count, value_equals, no_error, error_number, values_not_all_null, catalog_present
     value: Any = None
     key: str | None = None
     detail: str = ""
@@ -72,9 +72,12 @@ class Assertion:
 
 def check(df: DataFrame | None, assertions: Sequence[Assertion], order: str | None = None,
           error: str | None = None, present: bool | None = None,
-          spark: SparkSession | None = None) -> DataFrame:
+          spark: SparkSession | None = None, error_number: int | None = None) -> DataFrame:
     """Assertion report ``(kind, expected, actual, ok, evaluated, detail)``.
 
+    ``error`` and ``error_number`` are what the statement under test reported; ``no_error`` wants neither,
+    ``error_number`` (a statement that must fail) just that number.
+
     One aggregate answers everything about the data; it is then laid out as one
     row per assertion.  What cannot be answered is not a failure.
     """
@@ -107,7 +110,10 @@ def check(df: DataFrame | None, assertions: Sequence[Assertion], order: str | No
             act = F.col(f"v{i}")
             ok = act.eqNullSafe(exp)
         elif a.kind == "no_error":
-            act, ok = F.lit(error), F.lit(error is None)
+            act = F.lit(error if error is not None or error_number is None else str(error_number))
+            ok = F.lit(error is None and error_number is None)
+        elif a.kind == "error_number":
+            act, ok = F.lit(None if error_number is None else str(error_number)), F.lit(error_number == a.value)
         elif a.kind == "values_not_all_null":
             exp = F.lit(">0")
             act = F.col("filled").cast("string")

@@ -265,6 +265,16 @@ def test_stored_profile_after_many_batches_and_rewritten_files(spark, tmp_path,
         incremental.stored_profile(spark, str(tmp_path / "nothing"))
 
 
+def test_a_statement_that_must_fail_with_a_number(spark):
+    from strandline.operators.validate import Assertion, check
+    wanted = [Assertion("error_number", 105), Assertion("no_error")]
+    ok = lambda **kw: [(r["actual"], r["ok"]) for r in check(None, wanted, spark=spark, **kw).collect()]
+    assert ok(error_number=105) == [("105", True), ("105", False)]
+    assert ok(error_number=7) == [("7", False), ("7", False)]
+    assert ok() == [(None, False), (None, True)]
+    assert ok(error="gone") == [(None, False), ("gone", False)]
+
+
 def test_links_only_from_real_anchors(spark):
     from strandline.functions import html
     page = ('<a data-href="/no" href="/yes">a</a><!-- <a href="/old">b</a> --><script>"<a href=\'/js\'>c</a>"</script>'
