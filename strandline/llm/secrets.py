@@ -4,7 +4,9 @@ Base findings are three patterns.  Beside them, weaker parts of credentials are
 found: identifiers, secrets and endpoints.  Alone they prove nothing and are not
 reported.  The text is covered by overlapping scopes; parts are joined with the
 scopes that hold them, and a weak part is reported when one of its
-scopes also holds a part of another role.  Only DataFrame functions are used.
+scopes also holds a part of another role, one of them a secret whose value looks
+like one (``SHAPE``): prose such as "pass: through" or a name next to an address
+completes nothing.  A weak secret made of plain letters is missed for that.  Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ BASE = [("assign", SECRET, ASSIGN, 1, 6), ("access", IDENTIFIER, ACCESS, 0, 20),
 KINDS = [k[0] for k in BASE + WEAK]
 ROLES = [k[1] for k in BASE + WEAK]
 
-#: What the whole match must also contain.
-ALSO = {"weak_blob": (r"[0-9]", r"[A-Z]", r"[a-z]")}
+#: What the measured group of a match must also contain.
+SHAPE = (r"[A-Za-z]", r"[0-9!#$%^&*+=~]")
+ALSO = {"weak_secret": SHAPE, "weak_blob": (r"[0-9]", r"[A-Z]", r"[a-z]")}
 
 #: Scopes are this long and begin at every half of it (code points).
 SCOPE = 512
@@ -66,16 +69,16 @@ SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 def pattern_spans(t: Column, number: int, pattern: str, group: int, least: int, also=()) -> Column:
     """Non-overlapping matches from the left whose ``group`` has at least ``least`` characters
-    and which contain every pattern in ``also``.
+    and contains every pattern in ``also``.
 
     Places follow from the lengths of the matches and of the text between them.
     """
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     lens = F.transform(found, lambda m: F.length(m).cast("long"))
-    checked = lens if not group else F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)),
-                                                 lambda m: F.length(m).cast("long"))
+    values = found if not group else F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+    checked = F.transform(values, lambda m: F.length(m).cast("long"))
     if also:
-        checked = F.transform(found, lambda m: F.when(
+        checked = F.transform(values, lambda m: F.when(
             functools.reduce(lambda a, b: a & b, [m.rlike(p) for p in also]), F.length(m).cast("long")).otherwise(0))
     gaps = F.transform(F.split(t, pattern, -1), lambda m: F.length(m).cast("long"))
 
@@ -98,27 +101,32 @@ def spans_text(spans: Column, kinds: list[str] = KINDS) -> Column:
 
 
 def find_parts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``weak`` spans (start, kind, end; sorted) and the key of its text."""
+    """``docs`` with ``base`` and ``weak`` spans (start, kind, end; sorted), the key of its text, and
+    ``proof``: the base spans that may complete weak parts, that is without assignments of prose."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs
     for number, (kind, _, pattern, group, least) in enumerate(BASE + WEAK):
         out = out.withColumn(f"_{kind}", pattern_spans(t, number, pattern, group, least, ALSO.get(kind, ())))
+    kind, _, pattern, group, least = BASE[0]
+    out = out.withColumn("_shaped", F.when(F.size(f"_{kind}") > 0, pattern_spans(t, 0, pattern, group, least, SHAPE))
+                         .otherwise(F.array().cast(SPAN)))
     base = F.concat(*[F.col(f"_{k[0]}") for k in BASE])
+    proof = F.concat("_shaped", *[F.col(f"_{k[0]}") for k in BASE[1:]])
     weak = F.concat(*[F.col(f"_{k[0]}") for k in WEAK])
     return out.withColumn("base", F.array_sort(base)).withColumn("weak", F.array_sort(weak)) \
-        .withColumn("text_key", F.sha2(t, 256)).drop(*[f"_{k}" for k in KINDS])
+        .withColumn("proof", proof).withColumn("text_key", F.sha2(t, 256)).drop("_shaped", *[f"_{k}" for k in KINDS])
 
 
 def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``text_key, linked``: weak spans that share a scope with a part of another role.
+    """``text_key, linked``: weak spans that share a scope with a part of another role, if one of the parts is a secret.
 
     Parts are joined with scopes by interval: each lies in the scopes of which it
     touches a half.  Per scope only the set of roles is kept, so a scope full of parts
     stays one row, and no pairs are listed.
     """
-    parts = (found.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1))
+    parts = (found.where((F.size("weak") > 0) & (F.size("weak") + F.size("proof") > 1))
              .dropDuplicates(["text_key"])
-             .select("text_key", F.explode(F.concat("base", "weak")).alias("s")))
+             .select("text_key", F.explode(F.concat("proof", "weak")).alias("s")))
     role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("s.kind"))
     half = scope // 2
     first, last = F.floor(F.col("s.start") / half), F.floor((F.col("s.end") - 1) / half)
@@ -126,7 +134,7 @@ def link_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
                           F.explode(F.sequence(first - 1, last)).alias("scope"))
     scopes = placed.groupBy("text_key", "scope").agg(F.bit_or("role").alias("roles"))
     return (placed.where(F.col("s.kind") >= len(BASE)).join(scopes, ["text_key", "scope"])
-            .where(F.col("roles") != F.col("role"))
+            .where((F.col("roles") != F.col("role")) & (F.col("roles").bitwiseAND(F.lit(SECRET)) != 0))
             .groupBy("text_key").agg(F.array_sort(F.collect_set("s")).alias("linked")))
 
 
@@ -137,7 +145,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     A null text counts as empty and has none.  Repeated rows get the same spans; each distinct text is linked once.
     Places are code points, ends exclusive.
     """
-    found = materialise(find_parts(docs.select(*keep, text), text).select(*keep, "text_key", "base", "weak"),
+    found = materialise(find_parts(docs.select(*keep, text), text).select(*keep, "text_key", "base", "weak", "proof"),
                         "secret-parts")
     linked = materialise(link_parts(found, scope), "secret-links")
     return found.join(linked, "text_key", "left").select(

@@ -298,6 +298,38 @@ def test_secrets(spark, docs, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def plain_links(t, scope=secrets.SCOPE):
+    """Weak spans that share a scope with another role, a secret among them, by trying all scopes and parts."""
+    parts = []
+    for number, (kind, role, pattern, group, least) in enumerate(secrets.BASE + secrets.WEAK):
+        also = secrets.SHAPE if kind == "assign" else secrets.ALSO.get(kind, ())
+        parts += [(m.start(), number, m.end(), role) for m in re.finditer(pattern, t)
+                  if len(m[group]) >= least and all(re.search(p, m[group]) for p in also)]
+    out = set()
+    for begin in range(-scope, len(t) + scope, scope // 2):
+        # a part counts for a scope if it touches one of its halves
+        inside = [p for p in parts if p[0] < begin + scope and p[2] > begin]
+        roles = {p[3] for p in inside}
+        if len(roles) > 1 and secrets.SECRET in roles:
+            out |= {p[:3] for p in inside if p[1] >= len(secrets.BASE)}
+    return sorted(out)
+
+
+def test_links_of_secrets_against_all_scopes(spark):
+    bits = ["user_name: carol", "Account: main.", "Pass: through the door", "pwd=Tr0ub4dor", "see http://news.example/a", "password: required",
+            "token=ab12cd34", "AKIA" + "B7" * 10, "f" * 30, "Zm9vYmFy" * 3 + "QUJD012345", "passphrase: 'x=1;y'", "client_id=42af", "s3://b/k", "login: me"]
+    texts = ["Account: main. Pass: through the door and see http://news.example", "Password: required, see https://help.example for your account: settings",
+             "user=admin pwd=Tr0ub4dor https://db.example/x"]
+    for _ in range(60):
+        picked = RNG.integers(0, len(bits), int(RNG.integers(1, 7)))
+        texts.append(" ".join(bits[i] + " " + "plain words " * int(RNG.choice([1, 20, 45])) for i in picked))
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["linked"]]
+           for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[0], got[1]] == [[], []] and len(got[2]) == 3
+    for i, t in enumerate(texts):
+        assert sorted(got[i]) == plain_links(t), t
+
+
 def test_running_sums(spark):
     n = [int(x) for x in RNG.integers(0, 9, 1000)]
     got = spark.createDataFrame([(n,), ([],)], "a array<long>").select(secrets.running_sums(F.col("a"))).collect()
