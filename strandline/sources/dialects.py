@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions.lookups import SNIFF_DELIMITERS
 from ..functions.tokens import bind
+from ..workspace import few
 from .detect import bom, bomless_utf16, charset, guess_header, legacy_charset, normalise_header, numbered_header
 from .inventory import spread
 
@@ -133,7 +134,7 @@ def delimiters(rows: DataFrame, files: DataFrame) -> DataFrame:
 
     A width must be two or more and that of over half of the records.  Blank lines say nothing.
     """
-    whole = rows.join(files.select("path", "quoted"), "path").where(F.col("line") != "")
+    whole = rows.join(few(files.select("path", "quoted")), "path").where(F.col("line") != "")
     text = F.when(F.col("quoted"), _outside(F.col("line"))).otherwise(F.col("line"))
     widths = whole.select("path", text.alias("t")).select(
         "path", *[(_count(F.col("t"), d) + 1).alias(f"w{k}") for k, d in enumerate(SNIFF_DELIMITERS)])
@@ -210,14 +211,14 @@ def records(lines: DataFrame, facts: DataFrame, files: DataFrame) -> DataFrame:
         "path", "block", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).alias("carry"))
     inside = Window.partitionBy("path", "block").orderBy("at")
     earlier = F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = lines.withColumn("q", _count(F.col("line"), QUOTE)).join(carried, ["path", "block"])
+    counted = lines.withColumn("q", _count(F.col("line"), QUOTE)).join(few(carried), ["path", "block"])
     marked = counted.withColumn("starts", (F.col("carry") + earlier) % 2 == 0) \
         .withColumn("own", F.max(F.when(F.col("starts"), F.col("at"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     lasts = marked.groupBy("path", "block").agg(F.max("own").alias("last"))
     left = F.struct(F.col("block").alias("block"), F.col("last").alias("at"))
     open_ = lasts.select("path", "block", F.max(F.when(F.col("last").isNotNull(), left)).over(before).alias("open"))
     here = F.struct(F.col("block").alias("block"), F.col("own").alias("at"))
-    keyed = marked.join(open_, ["path", "block"]).withColumn("r", F.coalesce(F.when(F.col("own").isNotNull(), here), "open"))
+    keyed = marked.join(open_.hint("shuffle_hash"), ["path", "block"]).withColumn("r", F.coalesce(F.when(F.col("own").isNotNull(), here), "open"))
     joined = keyed.groupBy("path", F.col("r.block").alias("rb"), F.col("r.at").alias("ra")).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"]), "\n").alias("line"))
     whole = lines.join(spanning, "path", "left_anti").select("path", "block", "at", "line")
@@ -227,7 +228,7 @@ def records(lines: DataFrame, facts: DataFrame, files: DataFrame) -> DataFrame:
 def file_cells(lines: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
     """``path, cells, row_kind`` of every record below the header: ``ok``, ``short`` (filled up with nulls) or ``long``."""
     good = found.where((F.size("header") > 0) & F.col("error").isNull())
-    rows = records(lines, facts, good.select("path", "multiline")).join(good, "path")
+    rows = records(lines, facts, good.select("path", "multiline")).join(few(good), "path")
     header = F.col("has_header") & (F.col("block") == F.col("first.block")) & (F.col("at") == F.col("first.first_at"))
     text = F.regexp_replace(decoded(F.col("line"), F.col("encoding")), "^﻿", "")
     rows = rows.where(~header & (F.col("line") != "")).select("path", "header", "delimiter", "quoted", text.alias("text"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lookups import ENCODING_CODEPAGES, SNIFF_DELIMITERS
-from ..workspace import materialise
+from ..workspace import few, materialise
 from . import dialects
 from .detect import check_overrides, guess_header, normalise_header, numbered_header
 from .ranges import STREAMS, stream_lines, wide_lines
@@ -84,7 +84,7 @@ def _from_row(lines: DataFrame, first_row: int) -> DataFrame:
     blocks = materialise(lines.groupBy("path", "block").agg(F.min("at").alias("a"), F.count(F.lit(1)).alias("n")), "line-counts") \
         .select("path", "block", "a", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     # lines of a block are numbered without a gap where they are read
-    return lines.join(blocks, ["path", "block"]).where(F.col("earlier") + F.col("at") - F.col("a") >= first_row - 1) \
+    return lines.join(few(blocks), ["path", "block"]).where(F.col("earlier") + F.col("at") - F.col("a") >= first_row - 1) \
         .select("path", "block", "at", "line")
 
 
@@ -123,7 +123,7 @@ def read_with_settings(spark: SparkSession, settings: Sequence[tuple[str, dict[s
         .withColumn("charset", F.when(F.col("read_as_text"), F.lit("utf-8")).otherwise(F.col("encoding"))) \
         .withColumn("delimiter", F.coalesce("given_delimiter", "delimiter", F.when(F.lower("path").contains(".tsv"), F.lit("\t")).otherwise(F.lit(","))))
     found = materialise(found, "dialects")
-    firsts = rows.join(found.select("path", "first", "charset", "delimiter", "quoted"), "path") \
+    firsts = rows.join(few(found.select("path", "first", "charset", "delimiter", "quoted")), "path") \
         .where((F.col("block") == F.col("first.block")) & (F.col("at") == F.col("first.first_at"))) \
         .select("path", F.when(F.col("line") != "", dialects.cells(
             dialects.decoded(F.col("line"), F.col("charset")), F.col("delimiter"), F.col("quoted"))).alias("names"))
@@ -141,5 +141,5 @@ def read_with_settings(spark: SparkSession, settings: Sequence[tuple[str, dict[s
     told = found.select("path", "setting", "header", "encoding", "delimiter", F.coalesce("given_quote", F.lit(dialects.QUOTE)).alias("quote"),
                         source("given_encoding").alias("encoding_source"), source("given_delimiter").alias("delimiter_source"),
                         source("given_quote").alias("quote_source"))
-    return cells.join(told, "path").select("path", "header", back.alias("cells"), "row_kind", "encoding", "encoding_source",
+    return cells.join(few(told), "path").select("path", "header", back.alias("cells"), "row_kind", "encoding", "encoding_source",
                                            "delimiter", "delimiter_source", "quote", "quote_source")

@@ -10,7 +10,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.sources import ranges, settings
+from strandline.sources import dialects, ranges, settings
+from strandline.workspace import materialise
 
 RNG = random.Random(11)
 
@@ -111,3 +112,24 @@ def test_settings_leave_the_rest_to_detection(spark, tmp_path):
     for bad in ({"fieldDelimiter": ""}, {"codepage": "437"}, {"compression": "SNAPPY"}, {"nothing": "1"}, {"format": "json"}):
         with pytest.raises(ValueError):
             settings.read_with_settings(spark, [(f"file:{tmp_path}", bad)])
+
+
+def test_lines_of_ranges_are_never_broadcast(spark, tmp_path):
+    text = "".join(f'{i},"a\nb{i}"\r\n' for i in range(3000))
+    (tmp_path / "a.csv").write_bytes(text.encode("utf-16-le"))
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", F.col("length").alias("size"), F.lit("utf-16-le").alias("wide"))
+    lines = ranges.wide_lines(files, 4096)
+    assert lines.rdd.getNumPartitions() > 4                         # one task before
+    facts = materialise(dialects.line_facts(lines), "test-facts")
+    rows = dialects.records(lines, facts, dialects.file_facts(facts))
+    assert sorted(r["line"] for r in rows.collect()) == sorted(f'{i},"a\nb{i}"' for i in range(3000))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan  # lines are on the left
+
+
+def test_text_ranges_cut_between_characters():
+    for _ in range(200):
+        data = "".join(RNG.choice("aé€😀\n") for _ in range(RNG.randrange(40))).encode() + RNG.choice([b"", b"\xff\x80\x80"])
+        size = RNG.randrange(4, 12)
+        parts = [ranges.text_range(lambda at, n: data[at:at + n], start, start + size, len(data)) for start in range(0, max(1, len(data)), size)]
+        assert b"".join(parts) == data and all(p.decode("utf-8", "replace").count("�") <= 4 for p in parts)
