@@ -341,3 +341,17 @@ def test_files_find_their_outermost_table_folder(spark):
     assert units["a/t"] == ("delta", 304) and units["a/t.csv"] == ("csv", 1) and units["loose"] == (None, 1) and "a/t/sub" not in units
     none = inventory.assign_roots(inv.filter("path = 'loose'"), inventory.table_roots(inv.filter("path = 'loose'")))
     assert [tuple(r) for r in none.collect()] == [("loose", 1, None, None, None)]
+
+
+def test_blobs_of_large_files_come_in_parts(spark, tmp_path):
+    import gzip
+    text = "é€😀\n" * 500
+    (tmp_path / "large.txt").write_text("﻿" + text, encoding="utf-8")
+    (tmp_path / "small.txt").write_text("x\r\ny")
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "packed.txt.gz").write_bytes(gzip.compress(b"abc\n"))
+    got = {}
+    for r in jsondocs.read_blob(spark, str(tmp_path), size=64).orderBy("path", "part").collect():
+        got.setdefault(os.path.basename(r["path"]), []).append(r["content"])
+    assert {k: "".join(v) for k, v in got.items()} == {"large.txt": text, "small.txt": "x\r\ny", "packed.txt.gz": "abc\n"}      # listings pass over empty files
+    assert len(got["large.txt"]) > 50 and max(len(p.encode()) for p in got["large.txt"]) <= 67
