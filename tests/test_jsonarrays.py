@@ -40,3 +40,11 @@ def test_elements_cross_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_pieces_are_not_moved(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"a": i, "b": [i, "x,y"]} for i in range(300)]))
+    d = jsonarrays.array_elements(spark, [str(tmp_path)])
+    assert [json.loads(r["doc"])["a"] for r in d.orderBy("block", "at").collect()] == list(range(300))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan                                  # only stored parts, of which the edges are joined
