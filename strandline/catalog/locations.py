@@ -38,7 +38,7 @@ def mixed_location(spark, sf) -> str:
         o.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("decimal(12,2)").alias("total"),
                  F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 2 == 0).alias("flag"),
                  F.when(~F.col("o_orderstatus").isin("F", "O"), F.struct(F.col("o_custkey").alias("x"))).alias("extra")) \
-            .coalesce(1).write.json(f"{path}/orders")
+            .write.json(f"{path}/orders")
         table(spark, sf, "nation").coalesce(1).write.parquet(f"{path}/nation")
     return staged(spark, (sf, "mixed", "location"), write)
 
@@ -58,7 +58,7 @@ def _typed(name: str, sql: str) -> str:
 def _lake(spark, sf):
     """Every column of a folder with files of five kinds, none of which is announced."""
     p = location.profile_location(spark, mixed_location(spark, sf), by="folder")
-    place = F.when(F.col("file_type") == "csv", F.col("unit")).otherwise(lake.folder(F.col("unit")))
+    place = F.when(F.col("file_type").isin("csv", "json"), F.col("unit")).otherwise(lake.folder(F.col("unit")))
     return p.select(F.regexp_extract(place, "([^/]+)$", 1).alias("folder"), "name", "detected_type", "observed_max_length", "rows")
 
 

@@ -63,6 +63,17 @@ def key_evidence(fields: DataFrame, by: Sequence[str] = (), row_id: str = "row_i
         F.count(F.lit(1)).alias("seen"))
 
 
+def merge_files(evidence: DataFrame, place: Column) -> DataFrame:
+    """Evidence of files (``path``) merged by ``place``, which becomes the path; keys of files with smaller names come first."""
+    first = F.min(F.struct("path", "first_row", "first_pos"))
+    value = F.when(F.col("first_value_row").isNotNull(), F.struct("path", "first_value_row"))
+    merged = evidence.withColumn("place", place).groupBy("place", "key").agg(
+        F.bit_or("families").alias("families"), F.bit_or("mask").alias("mask"), F.max("int_digits").alias("int_digits"),
+        F.max("scale").alias("scale"), F.bool_or("rejected").alias("rejected"), F.max("width").alias("width"),
+        first.alias("first_row"), F.min(value)["first_value_row"].alias("first_value_row"), F.sum("seen").alias("seen"))
+    return merged.withColumn("first_pos", F.col("first_row.first_pos")).withColumnRenamed("place", "path")
+
+
 def cap_keys(evidence: DataFrame, by: Sequence[str] = (), max_keys: int | None = None) -> DataFrame:
     """Keys in order of appearance, with their position; with ``max_keys`` the first so many, and that
     there were more is reported through ``keys_truncated``.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import map_type
 from ..sources import columnar, detect, dialects, inventory as inv_mod, jsondocs, ranges
-from ..workspace import materialise
+from ..workspace import few, materialise
 from ..operators import infer, jsonprofile
 
 
@@ -57,8 +57,11 @@ def profile_csvs(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     return done.unionByName(broken, allowMissingColumns=True)
 
 
-def profile_json(spark: SparkSession, units: DataFrame) -> DataFrame | None:
-    """Key profiles of all line-framed JSON files in one plan."""
+def profile_json(spark: SparkSession, units: DataFrame, by_folder: bool = False) -> DataFrame | None:
+    """Key profiles of all line-framed JSON files in one plan; ``path`` is the file, or its folder for ``by_folder``.
+
+    Documents are taken apart where they are read; only evidence of a file's keys is moved.
+    """
     suffix = F.regexp_extract("path", r"(\.[^./]*)$", 1)
     named = F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/*"), suffix)
     # files named as JSON are read by folder; only those found by content are named one by one
@@ -68,9 +71,12 @@ def profile_json(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     if not paths:
         return None
     lines = jsondocs.read_ndjson(spark, paths)
-    ok = jsondocs.ndjson_decision(lines).filter("is_ndjson").select("path")
-    docs = lines.filter("family = 'object'").join(ok, "path", "left_semi")
-    p = jsonprofile.json_profile(docs, by=["path"])
+    ok = materialise(jsondocs.ndjson_decision(lines).filter("is_ndjson").select("path"), "line-framed")
+    docs = lines.filter("family = 'object'").join(few(ok), "path", "left_semi")
+    evidence = jsonprofile.key_evidence(jsonprofile.json_fields(docs, ["path"]), ["path"])
+    if by_folder:
+        evidence = jsonprofile.merge_files(evidence, folder(F.col("path")))
+    p = jsonprofile.finish_keys(jsonprofile.cap_keys(evidence, ["path"]), ["path"])
     return p.select("path", "pos", "name", "detected_type", "nesting", "observed_max_length", "max_length",
                     "safe", "schema_inference", "nullable",
                     map_type(F.col("detected_type"), F.col("max_length"))["spark_type"].alias("spark_type"))

@@ -22,9 +22,9 @@ def delimited_units(spark: SparkSession, units: DataFrame) -> DataFrame | None:
     return None if p is None else p.withColumnRenamed("path", "unit").withColumn("file_type", F.lit("csv")).select(*COLUMNS)
 
 
-def json_units(spark: SparkSession, units: DataFrame) -> DataFrame | None:
-    """Keys of all line-framed JSON files, folder by folder or file by file as ``unit`` says."""
-    p = lake.profile_json(spark, units)
+def json_units(spark: SparkSession, units: DataFrame, by: str = "file") -> DataFrame | None:
+    """Keys of all line-framed JSON files, folder by folder or file by file."""
+    p = lake.profile_json(spark, units, by == "folder")
     if p is None:
         return None
     return p.select(F.col("path").alias("unit"), F.lit("json").alias("file_type"), "pos", "name", "detected_type", "observed_max_length",
@@ -47,14 +47,14 @@ def columnar_units(units: DataFrame) -> DataFrame:
 def profile_location(spark: SparkSession, root: str, by: str = "file") -> DataFrame:
     """Every column of every delimited, line-framed JSON, parquet and ORC file below ``root``.
 
-    With ``by="folder"`` the delimited files of one folder with one dialect count as one table.  Charset, delimiter, quotes,
+    With ``by="folder"`` the delimited files of one folder with one dialect count as one table, and so do its JSON files.  Charset, delimiter, quotes,
     types and widths rest on all lines of a file; only its column names come from its first record.  Files that cannot be read
     are rows with ``error``; empty files have no columns.
     """
     if by not in ("file", "folder"):
         raise ValueError("by is file or folder")
     units = materialise(lake.detect_units(spark, root).withColumn("unit", F.col("path") if by == "file" else lake.folder(F.col("path"))), "units")
-    parts = [p for p in (delimited_units(spark, units), json_units(spark, units), columnar_units(units)) if p is not None]
+    parts = [p for p in (delimited_units(spark, units), json_units(spark, units, by), columnar_units(units)) if p is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -111,3 +111,15 @@ def test_records_cross_blocks(spark, tmp_path, small_blocks):
 def test_cells(spark, record, quoted, expected):
     d = spark.createDataFrame([(record, ",", quoted)], "r string, d string, q boolean")
     assert d.select(dialects.cells(F.col("r"), F.col("d"), F.col("q"))).first()[0] == expected
+
+
+def test_json_files_of_one_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    put(tmp_path, "t/a.json", '{"id":1,"v":"x"}\n{"id":2}\n')
+    put(tmp_path, "t/b.json", '{"id":1.5,"w":null,"v":"long"}\n{"late":{"x":1},"id":3}\n')
+    put(tmp_path, "t/bad.json", '[1]\n{"id":"no"}\n')
+    by = lambda by: [(r["name"], r["pos"], r["detected_type"], r["observed_max_length"]) for r in location.profile_location(
+        spark, f"file:{tmp_path}", by=by).orderBy("unit", "pos").collect()]
+    assert by("folder") == [("id", 0, "decimal(2,1)", None), ("v", 1, "str", 4), ("w", 2, "str", None), ("late", 3, "dict", None)]
+    assert [r[:3] for r in by("file")] == [("id", 0, "int32"), ("v", 1, "str"), ("id", 0, "decimal(2,1)"), ("w", 1, "str"), ("v", 2, "str"),
+                                           ("late", 3, "dict")]
