@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from ..operators import jsonops, jsonprofile
 from ..sources import jsonarrays, jsondocs
-from ..workspace import staged
+from ..workspace import deal_out, staged
 from .registry import ORDER_DOC_SQL, order_docs, query, table
 
 # what the shape rules give for the derived documents, computed from the base columns
@@ -181,7 +181,7 @@ def _entries(spark, sf):
 def _exact_entries(spark, sf):
     c, t = F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("decimal(12,2)").cast("string")
     doc = F.concat(F.lit('{"tiny":'), c, F.lit('e-7,"long":'), t, F.lit('00,"text":"1.50","nest":{"y":['), c, F.lit('.50,"1.50"]}}'))
-    d = table(spark, sf, "orders").select("o_orderkey", doc.alias("doc"))
+    d = deal_out(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")).select("o_orderkey", doc.alias("doc"))
     inner = jsonops.json_expand(d, "doc", ["o_orderkey"], "$.nest").select(
         "o_orderkey", F.concat_ws(".", "parent_key", "child_key").alias("key"), F.col("child_value").alias("value"))
     paths = d.select("o_orderkey", F.inline(F.array(

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .tokens import bind
 
 MARK = "\u0001"
+# Stands behind a document while it is parsed.
+END = "end of the document"
 # Numbers whose text the JSON functions would rewrite: fractions, exponents, very long ones.
 LOSSY_NUMBER = r"[0-9](?:\.|[eE])|[0-9]{18}"
 # A tagged number inside the JSON text of a nested value.
@@ -16,13 +18,21 @@ TAGGED_INSIDE = r'"\\u0001(-?[0-9][0-9.eE+-]*)"'
 NEXT_NUMBER = r'\G((?:[^"\d-]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)(-?\d[\d.eE+-]*+)'
 
 
-def parse_document(doc: Column) -> Column:
+def parse_document(doc: Column, source: Column | None = None) -> Column:
     """Variant of a document, null unless the whole text is one JSON value.
 
     The variant parser stops after the first value and ignores what follows, so
-    the text is parsed as the only element of an array.  Trailing text that
-    closes that array early needs a bracket; then an object wrapper must hold too.
+    the text is parsed as the first of an array's two elements: the second, a text that
+    the document does not hold, is found only if the document is one value.  ``source`` is what
+    the document was made from by tagging numbers.
     """
+    ended = F.try_parse_json(F.concat(F.lit("["), doc, F.lit(f',"{END}"]')))
+    one = bind(ended, lambda w: F.when(F.try_variant_get(w, "$[1]", "string") == END, F.try_variant_get(w, "$[0]", "variant")))
+    return F.when((doc if source is None else source).contains(END), _parse_wrapped(doc)).otherwise(one)
+
+
+def _parse_wrapped(doc: Column) -> Column:
+    """``parse_document`` by two wrappers: text that closes an array early needs a bracket, and then an object must hold it too."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), doc, F.lit("]")))
     no_bracket = ~doc.contains("]")
     in_object = F.try_parse_json(F.concat(F.lit('{"a":'), doc, F.lit("}"))).isNotNull()
@@ -42,15 +52,25 @@ def tag_numbers(doc: Column) -> Column:
     Only documents that hold such a number are rewritten.  A string that starts
     with the mark itself gets a second one, which ``exact_text`` takes off again.
     """
+    return F.when(needs_tags(doc), _tagged(doc)).otherwise(doc)
+
+
+def _tagged(doc: Column) -> Column:
     doubled = F.replace(F.replace(doc, F.lit("\\u0001"), F.lit("\\u0001\\u0001")),
                         F.lit(MARK), F.lit("\\u0001\\u0001"))
-    tagged = F.regexp_replace(doubled, NEXT_NUMBER, "$1\"\\\\u0001$2\"")
-    return F.when(needs_tags(doc), tagged).otherwise(doc)
+    return F.regexp_replace(doubled, NEXT_NUMBER, "$1\"\\\\u0001$2\"")
 
 
 def parse_exact(doc: Column) -> Column:
     """``parse_document`` with tagged numbers.  Text that only the tags would make valid (``1.2.3``) stays null."""
-    return F.when(~needs_tags(doc) | F.try_parse_json(doc).isNotNull(), parse_document(tag_numbers(doc)))
+    return F.when(needs_tags(doc), F.when(F.try_parse_json(doc).isNotNull(), parse_document(_tagged(doc), doc))) \
+        .otherwise(parse_document(doc))
+
+
+def parse_tagged(doc: Column) -> Column:
+    """Variant of the first value of a text with tagged numbers, null if there is none without the tags."""
+    return F.when(needs_tags(doc), F.when(F.try_parse_json(doc).isNotNull(), F.try_parse_json(_tagged(doc)))) \
+        .otherwise(F.try_parse_json(doc))
 
 
 def is_tagged(text: Column) -> Column:

@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.jsontext import MARK, exact_text, is_tagged, needs_tags, parse_document, parse_exact, tag_numbers
+from ..functions.jsontext import MARK, exact_text, is_tagged, parse_document, parse_exact, parse_tagged
 from ..functions.tokens import bind
 
 # Entry type codes: 0 null, 1 string, 2 number, 3 bool, 4 array, 5 object.
 
 
 def entry_type(value: Column) -> Column:
-    t = F.schema_of_variant(value)
+    return type_code(F.schema_of_variant(value))
+
+
+def type_code(t: Column) -> Column:
+    """Entry type code of a variant's type."""
     return (F.when(t == "VOID", F.lit(0)).when(t == "STRING", F.lit(1)).when(t == "BOOLEAN", F.lit(3))
             .when(t.startswith("ARRAY"), F.lit(4)).when(t.startswith("OBJECT"), F.lit(5))
             .otherwise(F.lit(2)))
@@ -45,7 +49,7 @@ def _parts(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
     typed = rows.select(*keep, key.alias("key"), "pos", "value", F.schema_of_variant("value").alias("t"),
                         F.col("value").try_cast("string").alias("s"))
     kind = F.when(F.col("t") == "STRING", F.when(is_tagged(F.col("s")), 2).otherwise(1)) \
-        .when(F.col("t").isNotNull(), entry_type(F.col("value")))
+        .when(F.col("t").isNotNull(), type_code(F.col("t")))
     return typed.select(*keep, "key", "pos", "value", exact_text(F.col("t"), F.col("s")).alias("text"), kind.alias("type"))
 
 
@@ -66,8 +70,7 @@ def json_entries(df: DataFrame, col: str, keep: Sequence[str]) -> DataFrame:
 
 def _at(c: Column, path: str) -> Column:
     """Variant at a path, numbers tagged; null for text that is no JSON."""
-    return F.try_variant_get(F.when(~needs_tags(c) | F.try_parse_json(c).isNotNull(),
-                                    F.try_parse_json(tag_numbers(c))), path, "variant")
+    return F.try_variant_get(parse_tagged(c), path, "variant")
 
 
 def json_expand(df: DataFrame, col: str, keep: Sequence[str], path: str = "$") -> DataFrame:
@@ -103,16 +106,19 @@ def json_set(c: Column, key: str, value: Column) -> Column:
     return F.to_json(F.when(value.isNull(), rest).otherwise(added))
 
 
+def _nested(t: Column) -> Column:
+    return t.startswith("ARRAY") | t.startswith("OBJECT")
+
+
 def json_value(c: Column, path: str) -> Column:
     """Scalar at a path as text, numbers as written; objects and arrays give null."""
-    return bind(_at(c, path), lambda v: F.when(
-        ~entry_type(v).isin(0, 4, 5), exact_text(F.schema_of_variant(v), v.try_cast("string"))))
+    return bind(_at(c, path), lambda v: bind(F.schema_of_variant(v), lambda t: F.when(
+        ~(_nested(t) | (t == "VOID")), exact_text(t, v.try_cast("string")))))
 
 
 def json_query(c: Column, path: str) -> Column:
     """Object or array at a path as JSON text, numbers as written; scalars give null."""
-    return bind(_at(c, path), lambda v: F.when(
-        entry_type(v).isin(4, 5), exact_text(F.schema_of_variant(v), F.to_json(v))))
+    return bind(_at(c, path), lambda v: bind(F.schema_of_variant(v), lambda t: F.when(_nested(t), exact_text(t, F.to_json(v)))))
 
 
 def shred(df: DataFrame, col: str, schema: T.StructType | str, keep: Sequence[str] = ()) -> DataFrame:

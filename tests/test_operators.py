@@ -292,3 +292,26 @@ def test_exact_json_numbers(spark):
     assert got == {(3, "a"): ("1e-7", 2), (3, "b"): ("1.50", 1),
                    (3, "c"): ('[1.2300,"x"]', 4), (3, "d"): (None, 0),
                    (5, "\u0001k"): ("\u00011", 1), (5, "z"): ("1.0", 2), (6, "0"): ("1.20", 2)}
+
+
+def test_whole_documents_only(spark):
+    from strandline.functions import jsontext
+    end = jsontext.END
+    cases = {'{"a":1}': True, "1": True, "null": True, ' [1, {"b":"]"}] ': True, "1,2": False, "1]": False, "1],[2": False, "": False, "1}": False,
+             f'"{end}"': True, f'1,"{end}"': False, f'1,"{end}"],[2': False, f'{{"a":"{end}"}}': True, "1.2.3": False, '{"a":1.50}': True}
+    d = spark.createDataFrame([(k,) for k in cases], "doc string")
+    for parse in (jsontext.parse_document, jsontext.parse_exact):
+        assert {r[0]: r[1] for r in d.select("doc", parse(F.col("doc")).isNotNull()).collect()} == cases
+
+
+def test_narrow_rows_are_dealt_out(spark, tmp_path):
+    from strandline import workspace
+    from strandline.catalog import QUERIES
+    spark.range(4000).selectExpr("id AS o_orderkey", "id AS o_custkey", "CAST(id AS DOUBLE) / 4 AS o_totalprice").coalesce(1) \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    d = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    assert workspace.deal_out(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert workspace.deal_out(d, 4096).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    q = QUERIES["js_exact_numbers"](spark, str(tmp_path))
+    assert "RoundRobinPartitioning" in q._jdf.queryExecution().executedPlan().toString()
+    assert q.count() == 8 * 4000
