@@ -27,7 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each chain of texts whose five-word shingle sets are similar to 0.8 or more, that of the smallest id."""
+    """One document of each chain of texts whose five-word shingle sets are similar to 0.8 or more, that of the smallest id.
+
+    Near fingerprints (SimHash, pivot distance tables) are compared first, the prefix filter finds what they miss.
+    """
     return one_of_similar(docs)
 
 

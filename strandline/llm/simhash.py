@@ -13,7 +13,7 @@ inside: its members are keyed again by seven of ten blocks.  At most 2**21 finge
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,9 +53,14 @@ def shingle_hashes(data: bytes | None, shingle: int, seed: int = SEED) -> Iterat
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text's shingles."""
+    return fingerprint_of(shingle_hashes(data, shingle, seed))
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
     """Signed 64 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
     n, ones = 0, np.zeros(64, dtype=np.int64)
-    for hashes in shingle_hashes(data, shingle, seed):
+    for hashes in parts:
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         n += len(hashes)
         ones += bits.sum(axis=0, dtype=np.int64)

@@ -1,4 +1,8 @@
-"""Near-duplicates by exact similarity of their shingle sets.
+"""Near-duplicates by SimHash and exact similarity of their shingle sets.
+
+Fingerprints of the shingles within three bits, found by pivot distance tables as in ``simhash``, give the first pairs.  Each is
+verified on the whole sets, and what they connect is not compared again.  Similar texts often differ by more bits, so a
+prefix filter finds every pair that is left:
 
 Two sets of Jaccard similarity 4 / 5 or more share a shingle among the first fifth (and one) of each, whatever the order of
 shingles, as long as it is one order: the prefix filter.  Shingles that are common in a sample of the texts come last,
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from ..workspace import materialise
 from .common import small
 from .components import components
-from .simhash import first_rows, shingle_hashes
+from .simhash import fingerprint_of, first_rows, near_links, shingle_hashes
 
 SHINGLE = 5
 #: Least similarity, as numerator and denominator.
@@ -37,7 +41,10 @@ BITS = 1024
 
 def shingle_set(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of a text's shingles."""
-    parts = list(shingle_hashes(data, shingle))
+    return _set_of(list(shingle_hashes(data, shingle)))
+
+
+def _set_of(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
@@ -84,10 +91,10 @@ def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.n
     return keys[order], (len(keys) - np.arange(len(keys)))[order]
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
+def _pairs(groups: DataFrame, star: bool = False) -> DataFrame:
     """``a, b`` for ``members``, arrays of (size, node, part, sketch): members of different parts, sizes permitting.
 
-    Members without parts (null) are all compared in small groups, and with three of them in large ones.
+    With ``star`` members of large groups are compared with three of them only.
     """
     up, down = SIMILAR
 
@@ -95,18 +102,15 @@ def _pairs(groups: DataFrame) -> DataFrame:
         for batch in batches:
             for g in batch.column(0):
                 m = g.values
-                n, node = (m.field(k).to_numpy() for k in ("n", "node"))
-                part = m.field("part")
-                split = part.null_count == 0
-                part = part.to_numpy() if split else None
+                n, node, part = (m.field(k).to_numpy() for k in ("n", "node", "part"))
                 marks = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
-                large = len(n) > LARGE_KEY and not split
+                large = star and len(n) > LARGE_KEY
                 for i in {0, len(n) // 2, len(n) - 1} if large else range(len(n) - 1):
                     end = np.searchsorted(n, n[i] * down // up, side="right")     # members are sorted by size
                     start = np.searchsorted(n, -(-n[i] * up // down)) if large else i + 1
                     flipped = np.bitwise_count(marks[start:end] ^ marks[i]).sum(axis=1, dtype=np.int64)
                     near = (up + down) * flipped <= (down - up) * (n[start:end].astype(np.int64) + n[i])
-                    near &= part[start:end] != part[i] if split else node[start:end] != node[i]
+                    near &= part[start:end] != part[i]
                     other = node[start:end][near]
                     if len(other):
                         yield pa.RecordBatch.from_arrays(
@@ -135,6 +139,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return materialise(both.where(similar("a", "b", "text_a", "text_b")).select("a", "b"), "similar-pairs")
 
 
+def _near_pairs(marked: DataFrame) -> DataFrame:
+    """``a, b``: nodes that connect all texts whose fingerprints (``node, fp``) are equal or within reach of the pivot tables."""
+    fps = materialise(marked.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
+    links = materialise(near_links(fps.select("fp")).distinct(), "fingerprint-links")
+    side = lambda name: fps.select(F.col("fp").alias(name), F.col("first").alias(f"node_{name}"))
+    near = links.join(side("a"), "a").join(side("b"), "b").select("node_a", "node_b")
+    pairs = near.unionAll(marked.select("node", "fp").join(fps, "fp").select("first", "node"))
+    return pairs.where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def similar_parts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``node, component`` of the texts (``node``, ``text``; equal nodes have equal texts) with another one like them.
 
@@ -144,22 +158,26 @@ def similar_parts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     common, rank = _common(texts, texts.count(), shingle)
     shared = texts.sparkSession.sparkContext.broadcast((common, rank))
 
-    @F.pandas_udf("n int, keys array<bigint>, sketch binary")
+    @F.pandas_udf("n int, keys array<bigint>, sketch binary, fp long")
     def keys_of(text: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in text]
+        hashes = [list(shingle_hashes(t, shingle)) for t in text]
+        sets = [_set_of(parts) for parts in hashes]
         return pd.DataFrame({"n": np.array([len(s) for s in sets], "int32"), "keys": [prefix(s, *shared.value) for s in sets],
-                             "sketch": [sketch(s) for s in sets]})
+                             "sketch": [sketch(s) for s in sets], "fp": np.array([fingerprint_of(parts) for parts in hashes], "int64")})
     marked = materialise(texts.select("node", keys_of("text").alias("f")).select("node", "f.*"), "prefixes")
+    near = _verified(_near_pairs(marked), texts, shingle)
+    found = components(near)
     rows = marked.select("node", F.explode("keys").alias("key"))
     keys = materialise(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
                        .where("lo <> hi").select("key"), "shared-keys")
     held = materialise(rows.join(small(keys), "key").distinct(), "shared-rows")
-    texts_of = marked.join(small(held.select("node").distinct()), "node", "left_semi").select("node", "n", "sketch").distinct()
-    member = F.struct("n", "node", F.lit(None).cast("long").alias("part"), "sketch")
+    texts_of = marked.join(small(held.select("node").distinct()), "node", "left_semi").select("node", "n", "sketch").distinct() \
+        .join(small(found), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    member = F.struct("n", "node", "part", "sketch")
     groups = materialise(held.join(texts_of, "node").groupBy("key")
-                         .agg(F.array_sort(F.collect_set(member)).alias("members"))
-                         .select("members").distinct(), "key-groups")
-    links = _verified(_pairs(groups), texts, shingle)
+                         .agg(F.array_sort(F.collect_set(member)).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+                         .where("lo <> hi").select("members").distinct(), "key-groups")
+    links = near.unionAll(_verified(_pairs(groups, star=True), texts, shingle))
     parts = components(links)
     large = groups.where(F.size("members") > LARGE_KEY).select(F.xxhash64("members").alias("group"),
                                                               F.explode("members").alias("m"))

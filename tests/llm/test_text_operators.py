@@ -631,3 +631,16 @@ def test_token_counts(docs, none):
     want = [(r[0], len(split(r[1])), sum(plain_tokens("▁" + w, scores) for w in split(r[1]))) for r in ROWS]
     same(tokencounts.token_counts(docs, scores), want)
     assert tokencounts.token_counts(none, scores).count() == 0
+
+
+def test_similar_texts_by_fingerprints_first(spark, monkeypatch):
+    """Near fingerprints give the first pairs; what these connect is not compared again."""
+    base = prose(400).split()
+    texts = [" ".join([*base[:k], "changed", *base[k + 1:]]) for k in (100, 101, 102, 103)] + [prose(400), "", "one"]
+    monkeypatch.setattr(similar, "_pairs", lambda groups, star=False: spark.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in similar.one_of_similar(df).collect()}
+    pairs = [(a, b) for a in range(4) for b in range(a) if bin((simhash.fingerprint(texts[a].encode(), 5) ^ simhash.fingerprint(
+        texts[b].encode(), 5)) % (1 << 64)).count("1") <= 3]
+    parts = plain_components(range(4), lambda a, b: (max(a, b), min(a, b)) in pairs)
+    assert pairs and kept == {*[min(i for i in range(4) if parts[i] == p) for p in {parts[i] for i in range(4)}], 4, 5, 6}
