@@ -9,7 +9,7 @@ shingles, as long as it is one order: the prefix filter.  Shingles that are comm
 so that lines found everywhere are seldom keys; the sample decides on the order only, never on a result.
 
 Texts that share a key are pairs to be compared.  Keys of many texts are compared with three of their members
-first; what then is in different components is compared pair by pair.  Pairs whose sketches already differ too much
+together with the first pairs; what then is in different components is compared pair by pair.  Pairs whose sketches already differ too much
 are left out, every other pair is verified on the whole sets.
 """
 
@@ -142,11 +142,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 def _near_pairs(marked: DataFrame) -> DataFrame:
     """``a, b``: nodes that connect all texts whose fingerprints (``node, fp``) are equal or within reach of the pivot tables."""
     fps = materialise(marked.groupBy("fp").agg(F.min("node").alias("first")), "distinct-fingerprints")
-    links = materialise(near_links(fps.select("fp")).distinct(), "fingerprint-links")
+    links = near_links(fps.select("fp"))
     side = lambda name: fps.select(F.col("fp").alias(name), F.col("first").alias(f"node_{name}"))
     near = links.join(side("a"), "a").join(side("b"), "b").select("node_a", "node_b")
     pairs = near.unionAll(marked.select("node", "fp").join(fps, "fp").select("first", "node"))
-    return pairs.where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    return pairs.where("node_a <> node_b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
 
 def similar_parts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -165,29 +165,23 @@ def similar_parts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return pd.DataFrame({"n": np.array([len(s) for s in sets], "int32"), "keys": [prefix(s, *shared.value) for s in sets],
                              "sketch": [sketch(s) for s in sets], "fp": np.array([fingerprint_of(parts) for parts in hashes], "int64")})
     marked = materialise(texts.select("node", keys_of("text").alias("f")).select("node", "f.*"), "prefixes")
-    near = _verified(_near_pairs(marked), texts, shingle)
-    found = components(near)
     rows = marked.select("node", F.explode("keys").alias("key"))
     keys = materialise(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
                        .where("lo <> hi").select("key"), "shared-keys")
     held = materialise(rows.join(small(keys), "key").distinct(), "shared-rows")
-    texts_of = marked.join(small(held.select("node").distinct()), "node", "left_semi").select("node", "n", "sketch").distinct() \
-        .join(small(found), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    member = F.struct("n", "node", "part", "sketch")
-    groups = materialise(held.join(texts_of, "node").groupBy("key")
-                         .agg(F.array_sort(F.collect_set(member)).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-                         .where("lo <> hi").select("members").distinct(), "key-groups")
-    links = near.unionAll(_verified(_pairs(groups, star=True), texts, shingle))
+    texts_of = marked.join(small(held.select("node").distinct()), "node", "left_semi").select("node", "n", "sketch").distinct()
+
+    def groups(held: DataFrame, texts_of: DataFrame) -> DataFrame:
+        member = F.struct("n", "node", "part", "sketch")
+        return (held.join(texts_of, "node").groupBy("key")
+                .agg(F.array_sort(F.collect_set(member)).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+                .where("lo <> hi").select("members").distinct())
+    large = held.join(small(held.groupBy("key").count().where(F.col("count") > LARGE_KEY).select("key")), "key")
+    first = _pairs(groups(large, texts_of.withColumn("part", F.col("node"))), star=True)
+    links = _verified(_near_pairs(marked).unionAll(first).distinct(), texts, shingle)
     parts = components(links)
-    large = groups.where(F.size("members") > LARGE_KEY).select(F.xxhash64("members").alias("group"),
-                                                              F.explode("members").alias("m"))
-    known = F.coalesce("component", F.col("m.node"))
-    split = (large.join(parts, F.col("m.node") == F.col("node"), "left")
-             .groupBy("group").agg(F.array_sort(F.collect_list(F.struct("m.n", "m.node", known.alias("part"),
-                                                                            "m.sketch")))
-                                   .alias("members"), F.min(known).alias("lo"), F.max(known).alias("hi"))
-             .where("lo <> hi"))
-    more = _verified(_pairs(split), texts, shingle)
+    known = texts_of.join(small(parts), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    more = _verified(_pairs(groups(held, known)), texts, shingle)
     return components(links.unionAll(more))
 
 
