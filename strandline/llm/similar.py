@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workspace import materialise
-from .common import small
+from .common import slices, small
 from .components import components
 from .simhash import fingerprint_of, first_rows, near_links, shingle_hashes
 
@@ -35,6 +34,8 @@ SIMILAR = (4, 5)
 SAMPLE, COMMON, MOST_COMMON = 20_000, 5, 500_000
 #: Keys with more texts are compared with three of them first.
 LARGE_KEY = 64
+#: Rows and bytes of text that a task marks or compares at once, and hashes of sets that it remembers.
+ROWS, BYTES, REMEMBERED = 256, 1 << 20, 1 << 21
 #: Bits of the sketch that a set's shingles flip: two sets differ in as many shingles at least as their sketches in bits.
 BITS = 1024
 
@@ -70,6 +71,22 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(flips % 2 == 1).tobytes()
 
 
+def marks_of(batch: pa.RecordBatch, common: np.ndarray, rank: np.ndarray, shingle: int) -> pa.RecordBatch:
+    """``node, n, keys, sketch, fp`` for ``node, text``; only what is returned is held for more than one text."""
+    n, keys, sketches, fps = [], [], [], []
+    for t in batch.column(1):
+        parts = list(shingle_hashes(t.as_py(), shingle))
+        found = _set_of(parts)
+        n.append(len(found))
+        keys.append(prefix(found, common, rank).copy())      # a view would hold the whole set
+        sketches.append(sketch(found))
+        fps.append(fingerprint_of(parts))
+    edges = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(keys)))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), lists, pa.array(sketches, pa.binary()),
+                                       pa.array(fps, pa.int64())], ["node", "n", "keys", "sketch", "fp"])
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     up, down = SIMILAR
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -126,17 +143,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     found = materialise(texts.join(small(nodes), "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
     side = lambda name: found.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series, text_a: pd.Series, text_b: pd.Series) -> pd.Series:
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
+        held = 0
 
-        def of(node, text):
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            nonlocal held
             if node not in seen:
-                seen[node] = shingle_set(text, shingle)
+                if held > REMEMBERED:
+                    seen.clear()
+                    held = 0
+                seen[node] = shingle_set(text.as_py(), shingle)
+                held += len(seen[node])
             return seen[node]
-        return pd.Series([alike(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, text_a, text_b)], dtype="bool")
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return materialise(both.where(similar("a", "b", "text_a", "text_b")).select("a", "b"), "similar-pairs")
+        for batch in batches:
+            a, b = (batch.column(k).to_pylist() for k in (0, 1))
+            keep = [alike(of(i, s), of(j, t)) for i, j, s, t in zip(a, b, batch.column(2), batch.column(3))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    # the exchange of distinct() lets many small tasks end in few files
+    return materialise(both.mapInArrow(similar, "a long, b long").distinct(), "similar-pairs")
+
+
+def _groups(held: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """``members`` for :func:`_pairs`: the texts of several parts that share keys (``held``: key, node), each group once.
+
+    Keys collect only the nodes.  Sizes and sketches come to a group after the keys with the same nodes are one; two groups
+    of the same hash would be compared as one, which loses no pair.
+    """
+    sets = (held.join(texts_of.select("node", "part"), "node").groupBy("key")
+            .agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+            .where("lo <> hi").select("nodes").distinct())
+    member = F.struct("n", "node", "part", "sketch")
+    return (sets.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node")).join(texts_of, "node")
+            .groupBy("group").agg(F.array_sort(F.collect_list(member)).alias("members")))
 
 
 def _near_pairs(marked: DataFrame) -> DataFrame:
@@ -158,30 +198,23 @@ def similar_parts(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     common, rank = _common(texts, texts.count(), shingle)
     shared = texts.sparkSession.sparkContext.broadcast((common, rank))
 
-    @F.pandas_udf("n int, keys array<bigint>, sketch binary, fp long")
-    def keys_of(text: pd.Series) -> pd.DataFrame:
-        hashes = [list(shingle_hashes(t, shingle)) for t in text]
-        sets = [_set_of(parts) for parts in hashes]
-        return pd.DataFrame({"n": np.array([len(s) for s in sets], "int32"), "keys": [prefix(s, *shared.value) for s in sets],
-                             "sketch": [sketch(s) for s in sets], "fp": np.array([fingerprint_of(parts) for parts in hashes], "int64")})
-    marked = materialise(texts.select("node", keys_of("text").alias("f")).select("node", "f.*"), "prefixes")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, BYTES, ROWS):
+                yield marks_of(part, *shared.value, shingle)
+    marked = materialise(texts.mapInArrow(mark, "node long, n int, keys array<bigint>, sketch binary, fp long"), "prefixes")
     rows = marked.select("node", F.explode("keys").alias("key"))
     keys = materialise(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
                        .where("lo <> hi").select("key"), "shared-keys")
     held = materialise(rows.join(small(keys), "key").distinct(), "shared-rows")
-    texts_of = marked.join(small(held.select("node").distinct()), "node", "left_semi").select("node", "n", "sketch").distinct()
-
-    def groups(held: DataFrame, texts_of: DataFrame) -> DataFrame:
-        member = F.struct("n", "node", "part", "sketch")
-        return (held.join(texts_of, "node").groupBy("key")
-                .agg(F.array_sort(F.collect_set(member)).alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-                .where("lo <> hi").select("members").distinct())
+    texts_of = materialise(marked.join(small(held.select("node").distinct()), "node", "left_semi")
+                           .select("node", "n", "sketch").distinct(), "marks")
     large = held.join(small(held.groupBy("key").count().where(F.col("count") > LARGE_KEY).select("key")), "key")
-    first = _pairs(groups(large, texts_of.withColumn("part", F.col("node"))), star=True)
+    first = _pairs(_groups(large, texts_of.withColumn("part", F.col("node"))), star=True)
     links = _verified(_near_pairs(marked).unionAll(first).distinct(), texts, shingle)
     parts = components(links)
     known = texts_of.join(small(parts), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    more = _verified(_pairs(groups(held, known)), texts, shingle)
+    more = _verified(_pairs(_groups(held, known)), texts, shingle)
     return components(links.unionAll(more))
 
 

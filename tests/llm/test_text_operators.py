@@ -644,3 +644,34 @@ def test_similar_texts_by_fingerprints_first(spark, monkeypatch):
         texts[b].encode(), 5)) % (1 << 64)).count("1") <= 3]
     parts = plain_components(range(4), lambda a, b: (max(a, b), min(a, b)) in pairs)
     assert pairs and kept == {*[min(i for i in range(4) if parts[i] == p) for p in {parts[i] for i in range(4)}], 4, 5, 6}
+
+
+def test_similar_texts_are_marked_within_bounds():
+    """Marking holds the prefixes of its texts, not all their hashes; the marks are those of each text alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+    none = np.zeros(0, np.int64)
+    texts = [" ".join(f"w{i}x{k}" for k in range(2000)).encode() for i in range(150)] + [None, b"", b"one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["node", "text"])
+    tracemalloc.start()
+    got = similar.marks_of(batch, none, none, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * 2000 * 8, peak                  # all hashes once; they were held twice
+    for r in got.to_pylist():
+        found = similar.shingle_set(texts[r["node"]])
+        assert (r["n"], r["keys"], r["sketch"], r["fp"]) == (
+            len(found), similar.prefix(found, none, none).tolist(), similar.sketch(found), simhash.fingerprint(texts[r["node"]], 5))
+
+
+def test_groups_of_similar_texts_collect_nodes_only(spark):
+    """Keys of the same texts are one group, and no sketch moves for a key."""
+    texts = spark.createDataFrame([(i, 10 - i, bytearray([i] * 128), i // 2) for i in range(6)], "node long, n int, sketch binary, part long")
+    members = {100: [0, 2, 5], 101: [5, 0, 2], 102: [0, 1], 103: [3, 4]}
+    held = spark.createDataFrame([(k, i) for k, m in members.items() for i in m], "key long, node long")
+    found = similar._groups(held, texts)
+    got = sorted([(m["n"], m["node"], m["part"], bytes(m["sketch"])) for m in r["members"]] for r in found.collect())
+    assert got == sorted([(10 - i, i, i // 2, bytes([i] * 128)) for i in m] for m in ([5, 2, 0], [4, 3]))
+    by_key = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [key" in line]
+    assert by_key and not any("sketch" in line for line in by_key)
