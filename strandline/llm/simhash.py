@@ -194,11 +194,16 @@ def first_rows(docs: DataFrame, parts: DataFrame, text: str = "text", doc_id: st
     """One row of ``docs`` for each component of ``parts (doc_id, text_hash, component)``, ids before no id.
 
     Ids may repeat in several components, or be missing there; equal texts are in one component.
+
+    Whole rows are dealt out once, by a hash of id and text; conditions on these are written so that they do not become keys of
+    the join as well, whose rows would be dealt out again to leave one of each component.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     kept = parts.groupBy("component").agg(F.min(order).alias("k")) \
         .select("component", F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("_i"),
-                      F.xxhash64(text).alias("_h"))
-    best = row.join(kept, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    return best.dropDuplicates(["component"]).select("row.*")
+                      F.xxhash64(text).alias("_h")).withColumn("_at", F.xxhash64("_i", "_h"))
+    same = F.when(F.col("_i").isNull(), F.col("_id").isNull()).otherwise(F.col("_i") == F.col("_id")) \
+        & (F.col("_h").bitwiseXOR(F.col("_hash")) == 0)
+    best = row.join(kept.withColumn("_to", F.xxhash64("_id", "_hash")), (F.col("_at") == F.col("_to")) & same)
+    return best.dropDuplicates(["_at", "component"]).select("row.*")

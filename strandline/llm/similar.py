@@ -10,7 +10,9 @@ so that lines found everywhere are seldom keys; the sample decides on the order
 
 Texts that share a key are pairs to be compared.  Keys of many texts are compared with three of their members
 together with the first pairs; what then is in different components is compared pair by pair.  Pairs whose sketches already differ too much
-are left out, every other pair is verified on the whole sets.
+are left out.  The sketch says little of long texts: these have some more keys than the prefix filter needs, and similar ones share as many
+keys as either has more.  Two long texts that have a sentence in common are no pair by that, or pairs would grow with the square of such
+texts.  Every pair that is left is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SHINGLE = 5
 SIMILAR = (4, 5)
 #: Texts in the sample that orders shingles, and how many of these make a shingle common.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 5, 500_000
+#: A set of more shingles has one more key for every so many beyond.
+LONG, LONG_STEP = 1024, 64
 #: Keys with more texts are compared with three of them first.
 LARGE_KEY = 64
 #: Rows and bytes of text that a task marks or compares at once, and hashes of sets that it remembers.
@@ -49,13 +53,22 @@ def _set_of(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Keys that a set of ``n`` shingles shares at least with a similar one; the smaller number holds for a pair."""
+    return 1 + np.maximum(0, n - LONG) // LONG_STEP
+
+
 def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles in the order (rank among the common ones, hash), so many that similar sets share one."""
+    """The first shingles in the order (rank among the common ones, hash), so many that similar sets share ``least_shared``.
+
+    Of the shingles that two similar sets share, the first ``least_shared`` in the order are followed in each set by all others that
+    it shares, four fifths of the set or more together.
+    """
     up, down = SIMILAR
     n = len(found)
     if not n:
         return np.zeros(1, np.int64)                # texts without words are alike
-    take = n - -(-n * up // down) + 1
+    take = n - -(-n * up // down) + int(least_shared(n))
     at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
     known = common[at] == found if len(common) else np.zeros(n, bool)
     rare = found[~known]
@@ -109,7 +122,8 @@ def _common(texts: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.n
 
 
 def _pairs(groups: DataFrame, star: bool = False) -> DataFrame:
-    """``a, b`` for ``members``, arrays of (size, node, part, sketch): members of different parts, sizes permitting.
+    """``a, b`` for ``members``, arrays of (size, node, part, sketch) that share ``shared`` keys: members of different parts,
+    sizes and the keys that they share in all groups permitting.
 
     With ``star`` members of large groups are compared with three of them only.
     """
@@ -117,7 +131,7 @@ def _pairs(groups: DataFrame, star: bool = False) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g in batch.column(0):
+            for g, shared in zip(batch.column(0), batch.column(1).to_pylist()):
                 m = g.values
                 n, node, part = (m.field(k).to_numpy() for k in ("n", "node", "part"))
                 marks = np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint64).reshape(len(n), -1)
@@ -130,10 +144,14 @@ def _pairs(groups: DataFrame, star: bool = False) -> DataFrame:
                     near &= part[start:end] != part[i]
                     other = node[start:end][near]
                     if len(other):
+                        least = np.minimum(least_shared(n[start:end][near].astype(np.int64)), least_shared(int(n[i])))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], ["a", "b"])
+                            [pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i])),
+                             pa.array(np.full(len(other), shared, np.int64)), pa.array(least)], ["a", "b", "shared", "least"])
     spread = groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism)
-    return spread.select("members").mapInArrow(find, "a long, b long").distinct()
+    found = spread.select("members", "shared").mapInArrow(find, "a long, b long, shared long, least long")
+    return found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")) \
+        .where("shared >= least").select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -166,17 +184,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def _groups(held: DataFrame, texts_of: DataFrame) -> DataFrame:
-    """``members`` for :func:`_pairs`: the texts of several parts that share keys (``held``: key, node), each group once.
+    """``members, shared`` for :func:`_pairs`: the texts of several parts that share keys (``held``: key, node), each group once,
+    and how many keys these are.
 
     Keys collect only the nodes.  Sizes and sketches come to a group after the keys with the same nodes are one; two groups
     of the same hash would be compared as one, which loses no pair.
     """
     sets = (held.join(texts_of.select("node", "part"), "node").groupBy("key")
             .agg(F.array_sort(F.collect_list("node")).alias("nodes"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-            .where("lo <> hi").select("nodes").distinct())
+            .where("lo <> hi").groupBy("nodes").agg(F.count(F.lit(1)).alias("shared")))
     member = F.struct("n", "node", "part", "sketch")
-    return (sets.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node")).join(texts_of, "node")
-            .groupBy("group").agg(F.array_sort(F.collect_list(member)).alias("members")))
+    return (sets.select(F.xxhash64("nodes").alias("group"), "shared", F.explode("nodes").alias("node")).join(texts_of, "node")
+            .groupBy("group", "shared").agg(F.array_sort(F.collect_list(member)).alias("members")))
 
 
 def _near_pairs(marked: DataFrame) -> DataFrame:

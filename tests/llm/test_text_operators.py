@@ -675,3 +675,69 @@ def test_groups_of_similar_texts_collect_nodes_only(spark):
     assert got == sorted([(10 - i, i, i // 2, bytes([i] * 128)) for i in m] for m in ([5, 2, 0], [4, 3]))
     by_key = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [key" in line]
     assert by_key and not any("sketch" in line for line in by_key)
+
+
+def test_similar_long_sets_share_several_keys():
+    """Prefixes of similar sets have ``least_shared`` keys in common, also where common shingles come last."""
+    rng = np.random.default_rng(5)
+    for n in (900, 1100, 2304, 6000):
+        pool = rng.integers(-(1 << 62), 1 << 62, 2 * n)
+        common = np.sort(rng.choice(pool, n // 3, replace=False))
+        rank = rng.permutation(len(common))
+        for differ in (0, n // 20, n // 10, n // 9):               # of each set
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[differ:n], pool[n:n + differ // 2]]))
+            x, y = (similar.prefix(s, common, rank) for s in (a, b))
+            assert similar.alike(a, b)
+            assert len(np.intersect1d(x, y)) >= min(similar.least_shared(len(a)), similar.least_shared(len(b)))
+    assert [int(similar.least_shared(n)) for n in (0, 1024, 1088, 2304)] == [1, 1, 2, 21]
+
+
+def test_long_texts_that_share_a_sentence_are_no_pairs(spark):
+    """Sketches of long sets always differ by half their bits; the keys they share tell which are to be compared."""
+    rng = np.random.default_rng(6)
+    sketch = lambda: bytearray(rng.bytes(similar.BITS // 8))
+    long = [(4000 + i, i, i, sketch()) for i in range(30)]
+    short = [(900, 100 + i, i, bytearray(similar.BITS // 8)) for i in range(3)]
+    rows = [(long, 2), (long[:3], 50), (long[:2], 50), (short, 1)]
+    groups = spark.createDataFrame(rows, "members array<struct<n int, node long, part long, sketch binary>>, shared long")
+    need = int(similar.least_shared(4000))
+    assert 2 < need <= 52
+    got = sorted(map(tuple, similar._pairs(groups).collect()))
+    assert got == [(0, 1), (0, 2), (1, 2), (100, 101), (100, 102), (101, 102)]
+
+
+def test_one_of_similar_long_texts(spark):
+    rng = np.random.default_rng(7)
+    line = "this sentence of more than five words is found in all of the long texts here "
+    texts = []
+    for k in range(5):
+        base = [f"w{v}" for v in rng.integers(0, 400, int(rng.integers(1200, 2400)))]
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.integers(0, len(base), int(rng.integers(0, 80))):
+                copy[at] = f"new{rng.integers(1 << 30)}"
+            texts.append(line + " ".join(copy))
+    sets = [frozenset(" ".join(w[i:i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    part = plain_components(range(len(texts)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(part[i], i)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = [r["doc_id"] for r in similar.one_of_similar(df.repartition(3)).collect()]
+    assert 5 <= len(least) < len(texts) and sorted(kept) == sorted(least.values())
+
+
+def test_whole_rows_are_dealt_out_once(spark):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, "c", "z"), (2, "c", "v"), (None, "d", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).withColumn("component", F.col("text_hash"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first = simhash.first_rows(docs, parts)
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        got = first.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(component") == 1, plan         # of ids, not of rows
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[5]]))
