@@ -355,3 +355,38 @@ def test_blobs_of_large_files_come_in_parts(spark, tmp_path):
         got.setdefault(os.path.basename(r["path"]), []).append(r["content"])
     assert {k: "".join(v) for k, v in got.items()} == {"large.txt": text, "small.txt": "x\r\ny", "packed.txt.gz": "abc\n"}      # listings pass over empty files
     assert len(got["large.txt"]) > 50 and max(len(p.encode()) for p in got["large.txt"]) <= 67
+
+
+def test_whole_files_do_not_depend_on_the_size_of_their_parts(spark, tmp_path):
+    """One law for files of any size, plain and compressed, in any encoding, also where a cut meets broken bytes."""
+    import bz2
+    import gzip
+    import zlib
+    text = "aé€😀\r\n" * 50
+    broken = b"ok\xc3A\xe2\x82B\xf0\x9f\x98\x80\x80\x80\x80\x80\xff" * 40
+    files = {"utf-8": {"a.txt": b"\xef\xbb\xbf" + text.encode(), "b.txt": broken, "c.txt.gz": gzip.compress(text.encode()),
+                       "d.txt.bz2": bz2.compress(text.encode()), "e.deflate": zlib.compress(text.encode())},
+             "utf-16": {"a.txt": text.encode("utf-16"), "b.txt": b"\xfe\xff" + text.encode("utf-16-be"),
+                        "c.txt.gz": gzip.compress(text.encode("utf-16")), "d.txt": text.encode("utf-16-le")},
+             "shift_jis": {"a.txt": ("表ソ①\n" * 40).encode("cp932")}, "cp1252": {"a.txt": ("é€" * 99).encode("cp1252")}}
+    want = {"utf-8": dict.fromkeys("acde", text) | {"b": broken.decode("utf-8", "replace")}, "utf-16": dict.fromkeys("abcd", text),
+            "shift_jis": {"a": "表ソ①\n" * 40}, "cp1252": {"a": "é€" * 99}}
+    for encoding, found in files.items():
+        folder = tmp_path / encoding
+        folder.mkdir()
+        for name, data in found.items():
+            (folder / name).write_bytes(data)
+        for size in (32, 1 << 20):
+            got, most, chars = {}, 0, {}
+            for r in jsondocs.read_blob(spark, str(folder), encoding, size).selectExpr("*", "length(content) n").orderBy("path", "part").collect():
+                key = os.path.basename(r["path"])[0]
+                got[key] = got.get(key, "") + r["content"]
+                chars[key] = chars.get(key, 0) + r["n"]
+                most = max(most, r["n"])
+            assert got == want[encoding], (encoding, size)
+            assert chars == {k: len(v) for k, v in got.items()} and most <= size + 3
+    for kind in ("lz4", "snappy"):                  # only the text reader opens these
+        spark.createDataFrame([(text.replace("\r\n", "|"),)], "value string").coalesce(1).write.text(str(tmp_path / kind), compression=kind)
+        rows = jsondocs.read_blob(spark, str(tmp_path / kind), size=32).orderBy("part").collect()
+        assert "".join(r["content"] for r in rows) == text.replace("\r\n", "|") + "\n" and [r["part"] for r in rows] == list(range(len(rows)))
+        assert len(rows) == -(-(len(text) - 50 + 1) // 32)
